@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from durata.constants import PROB_COLS
 from durata.functions.columns import enforce_monotonicity
+from durata.models.base import HorizonModel
 from durata.operators.survival import kaplan_meier_probabilities
 
 
 @dataclass
-class KaplanMeierModel:
+class KaplanMeierModel(HorizonModel):
+    features: list[str] = field(default_factory=list)
     probs: dict[str, float] = field(default_factory=dict)
 
-    def fit(self, df: DataFrame) -> KaplanMeierModel:
+    def fit(self, df: DataFrame, features: list[str] | None = None) -> KaplanMeierModel:
         self.probs = kaplan_meier_probabilities(df)
         return self
 

@@ -34,7 +34,7 @@ def from_payload(d: dict) -> HorizonModel:
         models = [from_payload(m) for m in d["models"]]
         return SeedEnsemble(None, tuple(d["seeds"]), d["features"], models)
     if d["kind"] == "KaplanMeierModel":
-        return KaplanMeierModel(**json.loads(d["body"]))
+        return KaplanMeierModel(probs=json.loads(d["body"])["probs"])
     return KINDS[d["kind"]].from_json(d["body"])
 
 

@@ -3,16 +3,38 @@
 from __future__ import annotations
 
 import datetime
+import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from durata.constants import ID, PROB_COLS, SUBMISSION_COLUMNS, VALID_RANGES
+from durata.constants import EVENT, ID, PROB_COLS, SUBMISSION_COLUMNS, TIME, VALID_RANGES
 from durata.functions.columns import cast_to_schema, enforce_monotonicity
 from durata.functions.features import engineer_features
+from durata.models.base import default_features
+from durata.models.importance import compare_top_n, permutation_importance, recursive_elimination
+from durata.models.stacking import IsotonicCalibrator, MetaLearner
+from durata.models.validation import (
+    KEY_METRICS,
+    cross_validate,
+    holdout_predictions,
+    oof_predictions,
+    refit_and_predict,
+)
+from durata.operators.ensemble import optimize_weights, weighted_average
+from durata.operators.metrics import all_metrics, hybrid_score
 from durata.operators.quality import validate_dataset, validate_submission
-from durata.sources.tables import read_csv, read_parquet, write_csv, write_parquet
+from durata.sources.tables import (
+    best_model,
+    metrics_to_long,
+    read_csv,
+    read_parquet,
+    write_csv,
+    write_parquet,
+    write_results,
+)
 
 
 def process_dataset(
@@ -56,3 +78,165 @@ def write_submission(
 ) -> str:
     path = f"{folder}/submission_{model}_{datetime.date.today().isoformat()}"
     return write_csv(format_submission(predictions, expected_ids), path)
+
+
+def train_and_compare(
+    factories: dict,
+    train: DataFrame,
+    features: list[str] | None = None,
+    k: int = 5,
+    seed: int = 42,
+    results_path: str | None = None,
+) -> DataFrame:
+    """Cross-validate and fully fit every model; one failing model does not stop the others.
+
+    Long table (model, metric, value, error, seconds): ``<metric>_mean_cv``, ``_std_cv``
+    and the full-fit scores.
+    """
+    spark = train.sparkSession
+    parts = []
+    for name, factory in factories.items():
+        began = time.monotonic()
+        try:
+            cv = cross_validate(factory, train, features, k, seed, name)
+            tall = cv.selectExpr(
+                "model", "inline(array("
+                "named_struct('metric', concat(metric, '_mean_cv'), 'value', mean),"
+                "named_struct('metric', concat(metric, '_std_cv'), 'value', std)))",
+            )
+            fitted = factory().fit(train, features)
+            scored = fitted.predict(train).select(ID, TIME, EVENT, *PROB_COLS).persist()
+            full = all_metrics(scored).drop("n").withColumn("model", F.lit(name))
+            rows = [
+                (r["model"], r["metric"], r["value"])
+                for r in tall.unionByName(metrics_to_long(full, ["model"])).collect()
+            ]
+            error = None
+        except Exception as e:  # noqa: BLE001 - the error is part of the comparison
+            rows, error = [(name, "hybrid_score_mean_cv", None)], str(e)[:200]
+        seconds = time.monotonic() - began
+        parts += [(*r, error, seconds) for r in rows]
+    out = spark.createDataFrame(
+        parts, "model string, metric string, value double, error string, seconds double"
+    )
+    if results_path:
+        write_results(out, results_path, "overwrite")
+    return out
+
+
+def pick_best(results: DataFrame, metric: str = "hybrid_score_mean_cv") -> str | None:
+    scores = results.filter(F.col("metric") == metric).withColumnRenamed("value", "score")
+    return best_model(scores, "score")
+
+
+def selection_report(
+    df: DataFrame,
+    factory,
+    features: list[str] | None = None,
+    folder: str | None = None,
+    keep: int = 30,
+    n_list: tuple[int, ...] = (20, 30, 50),
+    **forest: int,
+) -> dict[str, DataFrame | list[str]]:
+    """Permutation ranking, elimination list and top-N comparison, written when asked."""
+    ranking = permutation_importance(df, features, **forest)
+    order = [r["feature"] for r in ranking.collect()]
+    kept = recursive_elimination(df, features, keep)
+    subsets = compare_top_n(df, order, factory, n_list)
+    if folder:
+        write_csv(ranking, f"{folder}/permutation_importance")
+        rows = df.sparkSession.createDataFrame([(c,) for c in kept], "feature string")
+        write_csv(rows, f"{folder}/rfe_features")
+        write_csv(subsets, f"{folder}/subset_cv_summary")
+    return {"ranking": ranking, "kept": kept, "subsets": subsets}
+
+
+def evaluate_model(name: str, predictions: DataFrame, results_path: str | None = None) -> DataFrame:
+    """All metrics of one prediction set in long form, appended to the results table."""
+    wide = all_metrics(predictions).drop("n").withColumn("model", F.lit(name))
+    tall = metrics_to_long(wide, ["model"])
+    if results_path:
+        write_results(tall, results_path)
+    return tall
+
+
+def run_ensemble(
+    factories: dict,
+    train: DataFrame,
+    test: DataFrame,
+    features: list[str] | None = None,
+    k: int = 5,
+    seed: int = 42,
+    calibrate: bool = True,
+    folder: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Members, three ensembles, best pick by out-of-fold hybrid score, guarded calibration.
+
+    Returns (test predictions of the winner, comparison table). Member predictions stay
+    in long tables, so every comparison is one keyed job over all candidates.
+    """
+    features = default_features(train, features)
+    names = list(factories)
+    truth = [ID, TIME, EVENT]
+
+    def tagged(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn("model", F.lit(name))
+
+    oof = reduce(
+        DataFrame.unionByName,
+        [
+            tagged(oof_predictions(f, train, features, k, seed), n).select(*truth, "model", *PROB_COLS)
+            for n, f in factories.items()
+        ],
+    ).persist()
+    test_preds = reduce(
+        DataFrame.unionByName,
+        [tagged(refit_and_predict(f, train, test, features)[1], n) for n, f in factories.items()],
+    ).persist()
+    holdout = reduce(
+        DataFrame.unionByName,
+        [
+            tagged(holdout_predictions(f, train, features, 0.25, seed), n)
+            .select(*truth, "model", *PROB_COLS)
+            for n, f in factories.items()
+        ],
+    ).persist()
+    targets = train.select(*truth)
+    weights = optimize_weights(oof, names)
+    stack = MetaLearner().fit(oof, names)
+    blend = MetaLearner().fit(holdout, names)
+    combine = {
+        "weighted_average": lambda p: weighted_average(p, weights),
+        "stacking": stack.predict,
+        "blending": blend.predict,
+    }
+    cols = [*truth, "model", *PROB_COLS]
+    combined = [
+        tagged(fn(oof).join(targets, ID), n).select(*cols) for n, fn in combine.items()
+    ]
+    candidates = reduce(DataFrame.unionByName, [oof, *combined]).persist()
+    scores = all_metrics(candidates, ["model"])
+    comparison = [tuple(r) for r in scores.select("model", *KEY_METRICS).collect()]
+    best, best_hybrid = max(((r[0], r[1]) for r in comparison if r[1] is not None), key=lambda t: (t[1], t[0]))
+    final = combine[best](test_preds) if best in combine else (
+        test_preds.filter(F.col("model") == best).select(ID, *PROB_COLS)
+    )
+    if calibrate:
+        best_oof = candidates.filter(F.col("model") == best)
+        calibrator = IsotonicCalibrator().fit(best_oof)
+        after = hybrid_score(calibrator.transform(best_oof).persist()).first()
+        comparison.append((f"{best}_calibrated", *[after[m] for m in KEY_METRICS]))
+        if after["hybrid_score"] >= best_hybrid:
+            final = calibrator.transform(final)
+    final = enforce_monotonicity(final)
+    table = train.sparkSession.createDataFrame(
+        [(*r, weights.get(r[0]), r[0] == best) for r in comparison],
+        "model string, hybrid_score double, weighted_brier double, c_index double, "
+        "weight double, selected boolean",
+    )
+    if folder:
+        write_parquet(oof, f"{folder}/oof_predictions", ["model"])
+        write_parquet(test_preds, f"{folder}/test_predictions", ["model"])
+        write_parquet(final, f"{folder}/predictions_ensemble")
+        write_results(table, f"{folder}/ensemble_results", "overwrite")
+    return final, table

@@ -1 +1,254 @@
-"""Registered model and validation queries."""
+"""Registered model, validation and ensemble queries (no SQL equivalent).
+
+They run on the whole planted-signal subject table: same rows as the event log, with a
+duration that depends on three features, so that a model has something to find. Tree
+counts are smaller than the defaults; every row takes part.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from durata.constants import EVENT, ID, PROB_COLS
+from durata.models.aft import lognormal_model, weibull_model
+from durata.models.base import HorizonModel
+from durata.models.boosting import (
+    BoostedSurvival,
+    leaf_wise_model,
+    level_wise_model,
+    symmetric_model,
+)
+from durata.models.classifiers import gradient_boosted_model, logistic_model, random_forest_model
+from durata.models.cox import CoxModel
+from durata.models.forest import SurvivalForest
+from durata.models.importance import (
+    adversarial_validation as adversarial,
+)
+from durata.models.importance import (
+    compare_top_n,
+    recursive_elimination,
+)
+from durata.models.importance import (
+    permutation_importance as permute,
+)
+from durata.models.marginal import KaplanMeierModel
+from durata.models.seeds import SeedEnsemble
+from durata.models.stacking import IsotonicCalibrator, MetaLearner
+from durata.models.validation import (
+    cross_validate as cv,
+)
+from durata.models.validation import (
+    nested_cv as nested,
+)
+from durata.models.validation import (
+    oof_predictions as oof,
+)
+from durata.models.validation import (
+    repeated_cv as repeated,
+)
+from durata.models.validation import (
+    repeated_cv_summary,
+)
+from durata.models.validation import (
+    tune as search,
+)
+from durata.operators.ensemble import optimize_weights as best_weights
+from durata.plans.catalog import members, query, shared
+from durata.plans.jobs import run_ensemble, train_and_compare
+from durata.sources import events as EV
+
+FEATURES = [
+    "dist_min_ci_0_5h", "closing_speed_m_per_h", "area_growth_rate_ha_per_h", "alignment_abs",
+    "event_start_hour", "event_start_dayofweek", "low_temporal_resolution_0_5h",
+]
+
+
+def planted(spark: SparkSession, d: str) -> DataFrame:
+    return shared("planted", spark, d, EV.planted_subjects)
+
+
+def fit_and_score(spark: SparkSession, d: str, model: HorizonModel) -> DataFrame:
+    df = planted(spark, d)
+    fitted = model.fit(EV.train_split(df), FEATURES)
+    return fitted.predict(EV.test_split(df)).select(ID, *PROB_COLS)
+
+
+def quick_boost(**kw) -> BoostedSurvival:
+    return BoostedSurvival(**{"n_estimators": 8, "learning_rate": 0.3, **kw})
+
+
+def quick_forest(**kw) -> SurvivalForest:
+    return SurvivalForest(**{"n_estimators": 10, "max_depth": 5, **kw})
+
+
+@query
+def logistic_horizons(spark, d):
+    return fit_and_score(spark, d, logistic_model())
+
+
+@query
+def forest_horizons(spark, d):
+    return fit_and_score(spark, d, random_forest_model(20, 8))
+
+
+@query
+def gbt_horizons(spark, d):
+    return fit_and_score(spark, d, gradient_boosted_model(10))
+
+
+@query
+def histgbt_level_wise(spark, d):
+    return fit_and_score(spark, d, level_wise_model(n_estimators=10, max_depth=4, monotone=True))
+
+
+@query
+def histgbt_leaf_wise(spark, d):
+    return fit_and_score(spark, d, leaf_wise_model(n_estimators=8, max_leaves=15))
+
+
+@query
+def histgbt_symmetric(spark, d):
+    return fit_and_score(spark, d, symmetric_model(n_estimators=10, max_depth=4))
+
+
+@query
+def weibull_aft(spark, d):
+    return fit_and_score(spark, d, weibull_model())
+
+
+@query
+def lognormal_aft(spark, d):
+    return fit_and_score(spark, d, lognormal_model())
+
+
+@query
+def cox_ph(spark, d):
+    return fit_and_score(spark, d, CoxModel(0.01))
+
+
+@query
+def gradient_boosted_survival(spark, d):
+    return fit_and_score(spark, d, BoostedSurvival(n_estimators=20))
+
+
+@query
+def random_survival_forest(spark, d):
+    return fit_and_score(spark, d, SurvivalForest(n_estimators=20, max_depth=6))
+
+
+@query
+def seed_ensemble(spark, d):
+    return fit_and_score(spark, d, SeedEnsemble(lambda s: quick_forest(seed=s)))
+
+
+@query
+def hard_event_prediction(spark, d):
+    df = planted(spark, d)
+    model = weibull_model().fit(EV.train_split(df), FEATURES)
+    return model.predict_event(EV.test_split(df)).groupBy("predicted", EVENT).agg(F.count("*").alias("n"))
+
+
+@query
+def cross_validate(spark, d):
+    return cv(quick_boost, planted(spark, d), FEATURES, model="boosted_survival")
+
+
+@query
+def repeated_cv(spark, d):
+    scores = repeated(quick_forest, planted(spark, d), FEATURES, k=3, repeats=2)
+    return repeated_cv_summary(scores)
+
+
+@query
+def oof_predictions(spark, d):
+    return oof(weibull_model, planted(spark, d), FEATURES).select(ID, "fold", *PROB_COLS)
+
+
+TINY_SPACE = {
+    "n_estimators": ("int", 4, 10), "max_depth": ("int", 3, 6), "min_samples_leaf": ("int", 1, 8)
+}
+
+
+@query
+def tune(spark, d):
+    return search(SurvivalForest, planted(spark, d), TINY_SPACE, FEATURES, n_trials=3, k=3).drop("seconds")
+
+
+@query
+def nested_cv(spark, d):
+    return nested(SurvivalForest, planted(spark, d), TINY_SPACE, FEATURES, 2, 2, 2)
+
+
+@query
+def train_and_compare_models(spark, d):
+    models = {"kaplan_meier": KaplanMeierModel, "weibull": weibull_model, "forest": quick_forest}
+    return train_and_compare(models, planted(spark, d), FEATURES, k=3).drop("seconds")
+
+
+@query
+def permutation_importance(spark, d):
+    return permute(planted(spark, d), FEATURES, n_repeats=3, trees=20, max_depth=6)
+
+
+@query
+def recursive_feature_elimination(spark, d):
+    kept = recursive_elimination(planted(spark, d), FEATURES, keep=3, step=2, trees=20, max_depth=6)
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
+
+
+@query
+def top_n_subsets(spark, d):
+    return compare_top_n(planted(spark, d), FEATURES, quick_forest, (3, 5), k=3)
+
+
+@query
+def adversarial_validation(spark, d):
+    df = planted(spark, d)
+    summary, _ = adversarial(EV.train_split(df), EV.test_split(df), FEATURES, k=3, trees=20)
+    return summary
+
+
+@query
+def adversarial_importance(spark, d):
+    df = planted(spark, d)
+    _, importance = adversarial(EV.train_split(df), EV.test_split(df), FEATURES, k=2, trees=20)
+    return importance
+
+
+@query
+def isotonic_calibration(spark, d):
+    preds = members(spark, d).filter("model = 'a'")
+    return IsotonicCalibrator().fit_transform(preds).select(ID, *PROB_COLS)
+
+
+@query
+def optimize_weights(spark, d):
+    w = best_weights(members(spark, d), ["a", "b", "c"], rounds=2)
+    return spark.createDataFrame(sorted(w.items()), "model string, weight double")
+
+
+@query
+def stacking(spark, d):
+    preds = members(spark, d)
+    return MetaLearner().fit(preds, ["a", "b", "c"]).predict(preds)
+
+
+@query
+def blending(spark, d):
+    from durata.operators.resample import stratified_holdout
+
+    preds = members(spark, d)
+    split = stratified_holdout(preds.filter("model = 'a'").select(ID, EVENT))
+    part = preds.join(split.filter("holdout").select(ID), ID, "left_semi")
+    return MetaLearner().fit(part, ["a", "b", "c"]).predict(preds)
+
+
+@query
+def ensemble_job(spark, d):
+    df = planted(spark, d)
+    models = {"weibull": weibull_model, "forest": quick_forest}
+    _, table = run_ensemble(models, EV.train_split(df), EV.test_split(df), FEATURES, k=3)
+    return table
+
+
