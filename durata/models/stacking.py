@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from durata.constants import EVENT, HORIZONS, ID, PROB_COLS, TIME
 from durata.functions.columns import enforce_monotonicity
 from durata.functions.labels import horizon_label, scored_at
+from durata.models.base import FIT_THREADS
 from durata.operators.ensemble import members_wide
 
 EXACT_SCORES = 1_000_000
@@ -41,21 +43,23 @@ class MetaLearner:
             raise ValueError("no members given")
         self.members = list(members)
         wide = members_wide(predictions, self.members, [TIME, EVENT]).persist()
-        n = wide.count()
-        self.models = []
-        for h in HORIZONS:
-            rows = self._vector(wide, f"prob_{h}h").select(
-                "__m", horizon_label(h).cast("double").alias("label")
-            )
-            lo, hi = rows.agg(F.min("label"), F.max("label")).first()
-            if lo == hi:
-                self.models.append(float(lo or 0.0))
-                continue
+        n, *spans = wide.select(*[horizon_label(h).alias(f"y{h}") for h in HORIZONS]).selectExpr(
+            "count(*)", *[f"array(min(y{h}), max(y{h}))" for h in HORIZONS]
+        ).first()
+
+        def one(i: int) -> Any:
+            lo, hi = spans[i]
+            if lo == hi:  # one class only
+                return float(lo or 0)
+            label = horizon_label(HORIZONS[i]).cast("double").alias("label")
             est = LogisticRegression(
                 featuresCol="__m", regParam=1.0 / (self.c * max(n, 1)), elasticNetParam=0.0,
                 standardization=False, maxIter=1000,
             )
-            self.models.append(est.fit(rows))
+            return est.fit(self._vector(wide, PROB_COLS[i]).select("__m", label))
+
+        with ThreadPoolExecutor(FIT_THREADS) as pool:
+            self.models = list(pool.map(one, range(len(HORIZONS))))
         wide.unpersist()
         return self
 

@@ -21,6 +21,7 @@ from durata.constants import EVENT, ID, PROB_COLS, SEARCH_SPACES, TIME
 from durata.models.base import HorizonModel, ModelFactory, default_features
 from durata.operators.metrics import all_metrics, fold_summary, hybrid_score
 from durata.operators.resample import stratified_folds, stratified_holdout
+from durata.session import cut_lineage
 from durata.sources.tables import metrics_to_long
 
 KEY_METRICS = ("hybrid_score", "weighted_brier", "c_index")
@@ -60,7 +61,7 @@ def cross_validate(
     model: str = "model",
 ) -> DataFrame:
     """(model, metric, mean, std, folds) over the folds."""
-    oof = oof_predictions(factory, df, features, k, seed).persist()
+    oof = cut_lineage(oof_predictions(factory, df, features, k, seed))
     scores = all_metrics(oof, ["fold"]).drop("n")
     tall = metrics_to_long(scores, ["fold"]).withColumn("model", F.lit(model))
     return fold_summary(tall, ["model"])
@@ -79,7 +80,7 @@ def repeated_cv(
         oof_predictions(factory, df, features, k, base_seed + r).withColumn("repeat", F.lit(r))
         for r in range(repeats)
     ]
-    oof = reduce(DataFrame.unionByName, parts).persist()
+    oof = cut_lineage(reduce(DataFrame.unionByName, parts))
     return hybrid_score(oof, ["repeat", "fold"]).select("repeat", "fold", *KEY_METRICS)
 
 
@@ -128,7 +129,7 @@ def sample_params(space: dict[str, tuple[str, float, float]], rng: np.random.Gen
 
 def cv_hybrid(factory: ModelFactory, df: DataFrame, features: list[str], k: int, seed: int) -> float:
     oof = oof_predictions(factory, df, features, k, seed)
-    row = hybrid_score(oof.persist(), ["fold"]).agg(F.avg("hybrid_score")).first()
+    row = hybrid_score(cut_lineage(oof), ["fold"]).agg(F.avg("hybrid_score")).first()
     return float(row[0])
 
 
@@ -193,7 +194,7 @@ def nested_cv(
         params, inner_value = best
         model = build(**params, seed=seed).fit(inner, features)
         preds = model.predict(tagged.filter(F.col("fold") == f)).select(ID, TIME, EVENT, *PROB_COLS)
-        held_out = hybrid_score(preds.persist()).first()["hybrid_score"]
+        held_out = hybrid_score(cut_lineage(preds)).first()["hybrid_score"]
         results.append((f, held_out, inner_value, json.dumps(params, sort_keys=True)))
     schema = "fold int, held_out_hybrid double, inner_best_hybrid double, best_params string"
     return df.sparkSession.createDataFrame(results, schema)

@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from durata.constants import EVENT, TIME
+from durata.operators.scan import equi_depth_splits_of, with_bucket
 from durata.session import cut_lineage
-from durata.operators.scan import equi_depth_splits, with_bucket
 
-GROUP_ROWS = 400_000
+GROUP_ROWS = 200_000
 MAX_CUTS = 512
 
 
@@ -95,11 +95,21 @@ def _equal_width(df: DataFrame, keys: list[str], value: Column, name: str, cuts:
     return df.join(span, keys).withColumn(name, bucket.cast("int")).drop("__lo", "__hi")
 
 
+def _count(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Count every (keys, kind, part) group in its own task."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    return rows.groupBy(*keys, "kind", "part").applyInPandas(
+        lambda pdf: _count_group(pdf, keys),
+        f"{fields}, concordant double, tied double, comparable double",
+    )
+
+
 def _pairs(rows: DataFrame, keys: list[str], depth: int, group_rows: int, cuts: int) -> list[DataFrame]:
     """Contribution frames (keys, concordant, tied, comparable) of a weighted row frame."""
     if depth == 0:
-        rows = with_bucket(rows, "p1", equi_depth_splits(rows, "p1", cuts), "tb")
-        rows = with_bucket(rows, "r", equi_depth_splits(rows, "r", cuts), "rb")
+        by_time, by_risk = equi_depth_splits_of(rows, ["p1", "r"], cuts)
+        rows = with_bucket(rows, "p1", by_time, "tb")
+        rows = with_bucket(rows, "r", by_risk, "rb")
     else:
         rows = _equal_width(rows, keys, F.col("p1"), "tb", cuts)
         rows = _equal_width(rows, keys, F.col("r"), "rb", cuts)
@@ -143,13 +153,7 @@ def _pairs(rows: DataFrame, keys: list[str], depth: int, group_rows: int, cuts:
     todo = both.unionByName(inner.join(small, parts, "left_semi")) if any_large else both.unionByName(
         inner.join(live.select(*parts), parts, "left_semi")
     )
-    schema = rows.select(*keys).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    prefix = f"{fields}, " if fields else ""
-    counted = todo.groupBy(*parts).applyInPandas(
-        lambda pdf: _count_group(pdf, keys), prefix + "concordant double, tied double, comparable double"
-    )
-    out = [counted]
+    out = [_count(todo, keys)]
     if any_large:
         tag = f"__part{depth}"
         deeper = (
@@ -191,9 +195,14 @@ def concordance(
         )
         .persist()
     )
-    if cuts is None:
-        cuts = max(2, min(MAX_CUTS, math.ceil(rows.count() / group_rows)))
-    counts = reduce(DataFrame.unionByName, _pairs(rows, by, 0, group_rows, cuts))
+    n = rows.count() if cuts is None else None
+    if n is not None and n <= group_rows:
+        # few enough distinct rows for one bounded group per key
+        whole = rows.withColumns({"kind": F.lit("time"), "part": F.lit(0)})
+        counts = _count(whole, by)
+    else:
+        cuts = cuts or max(2, min(MAX_CUTS, math.ceil(n / group_rows)))
+        counts = reduce(DataFrame.unionByName, _pairs(rows, by, 0, group_rows, cuts))
     total = counts.groupBy(*by).agg(
         *[F.sum(c).alias(c) for c in ("concordant", "tied", "comparable")]
     )

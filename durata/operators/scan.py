@@ -20,13 +20,23 @@ def n_buckets(df: DataFrame) -> int:
     return max(2, min(MAX_BUCKETS, 2 * partitions))
 
 
-def equi_depth_splits(df: DataFrame, column: str | Column, buckets: int | None = None) -> list[float]:
+def equi_depth_splits_of(
+    df: DataFrame, columns: list[str], buckets: int | None = None
+) -> list[list[float]]:
     """Approximate quantile cut points: they balance buckets and never affect results."""
     k = buckets or n_buckets(df)
-    c = F.col(column) if isinstance(column, str) else column
-    probs = F.array(*[F.lit(i / k) for i in range(1, k)])
-    cuts = df.agg(F.percentile_approx(c.cast("double"), probs, max(1000, 4 * k))).first()[0]
-    return sorted(set(cuts or []))
+    probs = ", ".join(f"{i / k!r}D" for i in range(1, k))
+    row = df.selectExpr(
+        *[
+            f"percentile_approx(cast(`{c}` as double), array({probs}), {max(1000, 4 * k)})"
+            for c in columns
+        ]
+    ).first()
+    return [sorted(set(cuts or [])) for cuts in row]
+
+
+def equi_depth_splits(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
+    return equi_depth_splits_of(df, [column], buckets)[0]
 
 
 def with_bucket(df: DataFrame, column: str, splits: list[float], out: str = "bucket") -> DataFrame:

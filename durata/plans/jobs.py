@@ -26,6 +26,7 @@ from durata.models.validation import (
 from durata.operators.ensemble import optimize_weights, weighted_average
 from durata.operators.metrics import all_metrics, hybrid_score
 from durata.operators.quality import validate_dataset, validate_submission
+from durata.session import cut_lineage
 from durata.sources.tables import (
     best_model,
     metrics_to_long,
@@ -105,7 +106,7 @@ def train_and_compare(
                 "named_struct('metric', concat(metric, '_std_cv'), 'value', std)))",
             )
             fitted = factory().fit(train, features)
-            scored = fitted.predict(train).select(ID, TIME, EVENT, *PROB_COLS).persist()
+            scored = cut_lineage(fitted.predict(train).select(TIME, EVENT, *PROB_COLS))
             full = all_metrics(scored).drop("n").withColumn("model", F.lit(name))
             rows = [
                 (r["model"], r["metric"], r["value"])
@@ -182,25 +183,23 @@ def run_ensemble(
     def tagged(df: DataFrame, name: str) -> DataFrame:
         return df.withColumn("model", F.lit(name))
 
-    oof = reduce(
-        DataFrame.unionByName,
-        [
-            tagged(oof_predictions(f, train, features, k, seed), n).select(*truth, "model", *PROB_COLS)
-            for n, f in factories.items()
-        ],
-    ).persist()
-    test_preds = reduce(
-        DataFrame.unionByName,
-        [tagged(refit_and_predict(f, train, test, features)[1], n) for n, f in factories.items()],
-    ).persist()
-    holdout = reduce(
-        DataFrame.unionByName,
+    def collected(parts: list[DataFrame]) -> DataFrame:
+        """Predictions of all members as one stored table, so no later job refits or rescores."""
+        return cut_lineage(reduce(DataFrame.unionByName, parts))
+
+    cols = [*truth, "model", *PROB_COLS]
+    oof = collected(
+        [tagged(oof_predictions(f, train, features, k, seed), n).select(*cols) for n, f in factories.items()]
+    )
+    test_preds = collected(
+        [tagged(refit_and_predict(f, train, test, features)[1], n) for n, f in factories.items()]
+    )
+    holdout = collected(
         [
-            tagged(holdout_predictions(f, train, features, 0.25, seed), n)
-            .select(*truth, "model", *PROB_COLS)
+            tagged(holdout_predictions(f, train, features, 0.25, seed), n).select(*cols)
             for n, f in factories.items()
-        ],
-    ).persist()
+        ]
+    )
     targets = train.select(*truth)
     weights = optimize_weights(oof, names)
     stack = MetaLearner().fit(oof, names)
@@ -210,12 +209,11 @@ def run_ensemble(
         "stacking": stack.predict,
         "blending": blend.predict,
     }
-    cols = [*truth, "model", *PROB_COLS]
     combined = [
         tagged(fn(oof).join(targets, ID), n).select(*cols) for n, fn in combine.items()
     ]
-    candidates = reduce(DataFrame.unionByName, [oof, *combined]).persist()
-    scores = all_metrics(candidates, ["model"])
+    candidates = collected([oof, *combined])
+    scores = hybrid_score(candidates, ["model"])
     comparison = [tuple(r) for r in scores.select("model", *KEY_METRICS).collect()]
     best, best_hybrid = max(((r[0], r[1]) for r in comparison if r[1] is not None), key=lambda t: (t[1], t[0]))
     final = combine[best](test_preds) if best in combine else (
@@ -224,7 +222,7 @@ def run_ensemble(
     if calibrate:
         best_oof = candidates.filter(F.col("model") == best)
         calibrator = IsotonicCalibrator().fit(best_oof)
-        after = hybrid_score(calibrator.transform(best_oof).persist()).first()
+        after = hybrid_score(cut_lineage(calibrator.transform(best_oof))).first()
         comparison.append((f"{best}_calibrated", *[after[m] for m in KEY_METRICS]))
         if after["hybrid_score"] >= best_hybrid:
             final = calibrator.transform(final)
