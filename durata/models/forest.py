@@ -20,7 +20,7 @@ from durata.models.trees import (
     grow_level,
     hash_uniform,
     level_histograms,
-    sum_cells,
+    per_node_sums,
     training_table,
 )
 
@@ -50,9 +50,10 @@ class SurvivalForest(HorizonModel):
     edges: list[list[float]] = field(default_factory=list)
     trees: list[Tree] = field(default_factory=list)
 
-    # An unlimited depth still ends: deeper than this, nodes hold a few rows of the
-    # binned sample and each further level doubles the exchanged histogram.
-    DEPTH_LIMIT = 12
+    # "Unlimited" depth: features have at most max_bins values, so nodes this deep are
+    # either pure in the binned features or stopped by the minimum sizes on all but
+    # very large data, where they keep their leaf estimate.
+    DEPTH_LIMIT = 16
 
     def fit(self, df: DataFrame, features: list[str] | None = None) -> SurvivalForest:
         fitted = self._fit_slots(df, default_features(df, features), [-1], None)[-1]
@@ -83,28 +84,15 @@ class SurvivalForest(HorizonModel):
 
         def node_times(nodes: list[list[int]]) -> list[np.ndarray]:
             """(nodes, 2, time bins): weighted hits and weighted rows."""
-            starts = np.concatenate([[0], np.cumsum([len(n) * 2 * nt for n in nodes])]).astype(int)
-
-            def fn(rows: Rows) -> np.ndarray:
-                out = np.zeros(starts[-1])
-                tb = np.searchsorted(cuts, rows.extra["t"], "left")
-                for s, chosen in enumerate(nodes):
-                    if not chosen:
-                        continue
-                    position = np.full(len(trees[s].feature), -1)
-                    position[chosen] = np.arange(len(chosen))
-                    k = position[trees[s].leaf_of(rows.bins)]
-                    keep = k >= 0
-                    w = weights(rows, s)[keep]
-                    cell = k[keep] * 2 * nt + tb[keep]
-                    span = len(chosen) * 2 * nt
-                    block = np.bincount(cell, weights=w * rows.extra["e"][keep], minlength=span)
-                    block += np.bincount(cell + nt, weights=w, minlength=span)
-                    out[starts[s] : starts[s + 1]] = block
-                return out
-
-            flat = sum_cells(table, fn, int(starts[-1]))
-            return [flat[starts[s] : starts[s + 1]].reshape(len(n), 2, nt) for s, n in enumerate(nodes)]
+            def fn(rows: Rows, s: int, k: np.ndarray, n: int) -> np.ndarray:
+                keep = k >= 0
+                tb = np.searchsorted(cuts, rows.extra["t"][keep], "left")
+                w, cell = weights(rows, s)[keep], k[keep] * 2 * nt + tb
+                hits = np.bincount(cell, weights=w * rows.extra["e"][keep], minlength=n * 2 * nt)
+                return hits + np.bincount(cell + nt, weights=w, minlength=n * 2 * nt)
+
+            sums = per_node_sums(table, trees, nodes, 2 * nt, fn)
+            return [x.reshape(-1, 2, nt) for x in sums]
 
         limit = min(self.max_depth or self.DEPTH_LIMIT, self.DEPTH_LIMIT)
         for _ in range(limit):

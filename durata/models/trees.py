@@ -21,6 +21,7 @@ from durata.functions.columns import nn
 from durata.operators.partials import batch_matrix
 
 MAX_BINS = 64
+JOB_CELLS = 8_000_000  # sums exchanged by one job; deeper levels take several jobs
 DIRECT_CELLS = 4_000_000  # up to here the tasks' partial sums are added without a shuffle
 
 
@@ -32,6 +33,8 @@ class Binning:
     edges: list[np.ndarray] = field(default_factory=list)
 
     def fit(self, df: DataFrame, max_bins: int = MAX_BINS) -> Binning:
+        if not 2 <= max_bins <= 254:
+            raise ValueError("max_bins must lie between 2 and 254")
         probs = F.array(*[F.lit(i / max_bins) for i in range(1, max_bins)])
         row = df.agg(*[F.percentile_approx(nn(c), probs, 10_000) for c in self.features]).first()
         self.edges = [np.unique(np.array(r if r is not None else [], dtype=float)) for r in row]
@@ -219,38 +222,74 @@ def sum_cells(
 Gradients = Callable[[Rows, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+def chunked(active: list[list[int]], cells_per_node: int) -> Iterator[list[list[int]]]:
+    """Split the nodes of all slots so that one job exchanges a bounded number of cells."""
+    room = max(1, JOB_CELLS // cells_per_node)
+    part: list[list[int]] = [[] for _ in active]
+    used = 0
+    for s, nodes in enumerate(active):
+        at = 0
+        while at < len(nodes):
+            take = min(room - used, len(nodes) - at)
+            part[s] = nodes[at : at + take]
+            at, used = at + take, used + take
+            if used == room:
+                yield part
+                part, used = [[] for _ in active], 0
+    if used:
+        yield part
+
+
+def per_node_sums(
+    table: TrainingTable,
+    trees: list[Tree],
+    active: list[list[int]],
+    cells_per_node: int,
+    fn: Callable[[Rows, int, np.ndarray, int], np.ndarray],
+) -> list[np.ndarray]:
+    """(nodes, cells) sums per slot.
+
+    ``fn(rows, slot, k, n)`` returns the flat sums of ``n`` nodes, ``k`` being each row's
+    place among them (-1 for rows elsewhere).
+    """
+    parts: list[list[np.ndarray]] = [[] for _ in active]
+    for chosen in chunked(active, cells_per_node):
+        starts = np.concatenate([[0], np.cumsum([len(n) * cells_per_node for n in chosen])]).astype(int)
+
+        def total(rows: Rows, chosen=chosen, starts=starts) -> np.ndarray:
+            out = np.zeros(starts[-1])
+            for s, nodes in enumerate(chosen):
+                if nodes:
+                    position = np.full(len(trees[s].feature), -1)
+                    position[nodes] = np.arange(len(nodes))
+                    k = position[trees[s].leaf_of(rows.bins)]
+                    out[starts[s] : starts[s + 1]] = fn(rows, s, k, len(nodes))
+            return out
+
+        flat = sum_cells(table, total, int(starts[-1]))
+        for s, nodes in enumerate(chosen):
+            if nodes:
+                parts[s].append(flat[starts[s] : starts[s + 1]].reshape(len(nodes), cells_per_node))
+    return [np.concatenate(p) if p else np.zeros((0, cells_per_node)) for p in parts]
+
+
 def level_histograms(
     table: TrainingTable, gradients: Gradients, trees: list[Tree], active: list[list[int]], bins: int
 ) -> list[np.ndarray]:
     """(nodes, features, bins, 3) sums of gradient, hessian and count per slot."""
     p = table.features
-    sizes = [len(a) * p * bins * 3 for a in active]
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-
-    def fn(rows: Rows) -> np.ndarray:
-        out = np.zeros(starts[-1])
-        for s, nodes in enumerate(active):
-            if not nodes:
-                continue
-            g, h, w = gradients(rows, s)
-            position = np.full(len(trees[s].feature), -1)
-            position[nodes] = np.arange(len(nodes))
-            k = position[trees[s].leaf_of(rows.bins)]
-            keep = (k >= 0) & (w > 0)
-            if not keep.any():
-                continue
-            cell = ((k[keep, None] * p + np.arange(p)) * bins + rows.bins[keep]).ravel()
-            span = len(nodes) * p * bins
-            block = np.empty((span, 3))
-            for j, v in enumerate((g, h, w)):
-                block[:, j] = np.bincount(cell, weights=np.repeat(v[keep], p), minlength=span)
-            out[starts[s] : starts[s + 1]] = block.ravel()
-        return out
 
-    flat = sum_cells(table, fn, int(starts[-1]))
-    return [
-        flat[starts[s] : starts[s + 1]].reshape(len(a), p, bins, 3) for s, a in enumerate(active)
-    ]
+    def fn(rows: Rows, s: int, k: np.ndarray, n: int) -> np.ndarray:
+        g, h, w = gradients(rows, s)
+        keep = (k >= 0) & (w > 0)
+        cell = ((k[keep, None] * p + np.arange(p)) * bins + rows.bins[keep]).ravel()
+        block = np.empty((n * p * bins, 3))
+        for j, v in enumerate((g, h, w)):
+            block[:, j] = np.bincount(cell, weights=np.repeat(v[keep], p), minlength=n * p * bins)
+        return block.ravel()
+
+    sums = per_node_sums(table, trees, active, p * bins * 3, fn)
+    return [x.reshape(-1, p, bins, 3) for x in sums]
 
 
 @dataclass

@@ -88,3 +88,32 @@ def prefix_sums(
     return joined.withColumns(
         {o: F.col(f"{t}l") + F.col(f"{t}o") for o, t in tmp.items()}
     ).drop(*drop)
+
+
+def positions(df: DataFrame, order: str, tie: str, out: str = "position") -> DataFrame:
+    """1-based position of every row in (order, tie) without a one-task sort.
+
+    Rows before = rows with a smaller ``order`` (a scan over distinct values) + rows of
+    the same value in earlier ``tie`` buckets + the rank inside (value, bucket), so a
+    value shared by a third of all rows is still ranked by many tasks.
+    """
+    by_order, by_tie = equi_depth_splits_of(df, [order, tie])
+    rows = with_bucket(df, tie, by_tie, "__tb")
+    cells = rows.groupBy(order, "__tb").agg(F.count("*").alias("__n"))
+    values = cells.groupBy(order).agg(F.sum("__n").alias("__n"))
+    below = prefix_sums(
+        with_bucket(values, order, by_order), [], order, {"__below": "__n"}, inclusive=False
+    ).select(order, "__below")
+    earlier = Window.partitionBy(order).orderBy("__tb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        cells.withColumn("__earlier", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        .join(below, order)
+        .select(order, "__tb", (F.col("__below") + F.col("__earlier")).alias("__offset"))
+    )
+    rank = F.row_number().over(Window.partitionBy(order, "__tb").orderBy(tie))
+    return (
+        rows.withColumn("__rank", rank)
+        .join(offsets, [order, "__tb"])
+        .withColumn(out, F.col("__rank") + F.col("__offset"))
+        .drop("__tb", "__rank", "__offset")
+    )

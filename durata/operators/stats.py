@@ -12,6 +12,9 @@ from durata.functions.features import quantile_bin
 from durata.operators.partials import partition_sums
 from durata.operators.quality import _sql_value, long_form
 from durata.operators.quantiles import exact_quantiles, grouped_quantiles
+from durata.operators.scan import positions
+
+MAX_GROUPS = 500
 
 
 def horizon_counts(df: DataFrame) -> DataFrame:
@@ -46,7 +49,9 @@ def describe_by(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
 
     The group column must have few values: their quartiles share the same passes.
     """
-    values = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
+    values = [r[0] for r in df.select(group).distinct().orderBy(group).limit(MAX_GROUPS + 1).collect()]
+    if len(values) > MAX_GROUPS:
+        raise ValueError(f"{group} has more than {MAX_GROUPS} values; describe_by is for few groups")
     quartiles = grouped_quantiles(
         df, group, values, {c: nn(c) for c in columns}, [0.25, 0.5, 0.75]
     )
@@ -183,5 +188,5 @@ def band_rates(df: DataFrame, column: str, q: int = 4, error: str | None = None)
 
 
 def event_timeline(df: DataFrame, id_col: str) -> DataFrame:
-    """Subjects ordered by duration (range-partitioned sort), id breaks ties."""
-    return df.select(id_col, TIME, EVENT).orderBy(TIME, id_col)
+    """Subjects with their position in order of duration, id breaks ties."""
+    return positions(df.select(id_col, TIME, EVENT), TIME, id_col)

@@ -43,7 +43,10 @@ def _log_step() -> Column:
 
 
 def km_curve(df: DataFrame, keys: list[str] | None = None, splits: list[float] | None = None) -> DataFrame:
-    """Survival, log-log 95 % band and cumulative hazard at every distinct time."""
+    """Survival and cumulative hazard with 95 % bands (log-log, log) at every distinct time.
+
+    The hazard is the plain sum of d/n; tied hits are not spread out.
+    """
     keys = keys or []
     d, n = F.col("d"), F.col("n")
     table = risk_table(df, keys, splits)
@@ -65,14 +68,20 @@ def km_curve(df: DataFrame, keys: list[str] | None = None, splits: list[float] |
         "survival_upper": F.exp(-F.exp(F.ln(-log_s) - half)),
     }
     inside = ~dead & (log_s < 0)
+    spread = F.try_divide(F.lit(Z95) * F.sqrt("hazard_var"), F.nullif("hazard", F.lit(0.0)))
+    hazard_band = {
+        "hazard_lower": F.col("hazard") * F.exp(-spread),
+        "hazard_upper": F.col("hazard") * F.exp(spread),
+    }
     return scanned.withColumns(
         {
             "survival": F.when(dead, F.lit(0.0)).otherwise(F.exp(log_s)),
             **{name: F.when(inside, e) for name, e in band.items()},
+            **hazard_band,
         }
     ).select(
         *keys, "time", "n", "d", "c", "survival", "survival_lower", "survival_upper",
-        "hazard", "hazard_var",
+        "hazard", "hazard_var", "hazard_lower", "hazard_upper",
     )
 
 

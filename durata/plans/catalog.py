@@ -346,7 +346,7 @@ def cumulative_incidence_grid(spark, d):
 @query
 def nelson_aalen(spark, d):
     out = SU.km_curve(subject_table(spark, d))
-    return rounded(out.select("time", "hazard", "hazard_var"))
+    return rounded(out.select("time", "hazard", "hazard_var", "hazard_lower", "hazard_upper"))
 
 
 @query
@@ -361,6 +361,12 @@ def logrank_two_group(spark, d):
     return rounded(SU.logrank(df, {"low_resolution": F.col("low_temporal_resolution_0_5h") == 1}), 5)
 
 
+@query
+def logrank_stratified(spark, d):
+    """Lowest against highest distance tercile."""
+    return rounded(SU.stratified_logrank(subject_table(spark, d), "dist_min_ci_0_5h", 3), 5)
+
+
 @query
 def logrank_scan(spark, d):
     return rounded(SU.logrank_scan(subject_table(spark, d), EV.FEATURES), 4)

@@ -380,7 +380,7 @@ def oracle_queries() -> dict[str, str]:
         [f"SELECT '{c}' AS column, {r6(f'avg({c})', 'mean')}, {r6(f'stddev_samp({c})', 'std')} FROM subj" for c in FEATURES]
     )
     o["censored_quantiles"] = with_(SUBJ) + f"SELECT count(*) AS n, {r6(f'avg({t})', 'mean')}, 0.9::DOUBLE AS q, {r6(f'quantile_cont({t}, 0.9)', 'quantile')}, {r6(f'quantile_cont({t}, 0.5)', 'median')} FROM subj WHERE event = 0"
-    o["event_timeline"] = with_(SUBJ) + f"SELECT event_id, {r6(t, t)}, event FROM subj"
+    o["event_timeline"] = with_(SUBJ) + f"SELECT event_id, {r6(t, t)}, event, row_number() OVER (ORDER BY {t}, event_id) AS position FROM (SELECT event_id, {t}, event FROM subj) s0"
     wide = ", ".join(f"{_corr(a, b)} AS c{i}_{j}" for i, a in enumerate(NONCONST) for j, b in enumerate(NONCONST))
     cm = f"cm AS MATERIALIZED (SELECT {wide} FROM subj)"
     o["correlation_matrix"] = with_(SUBJ, cm) + union(
@@ -410,12 +410,16 @@ def oracle_queries() -> dict[str, str]:
         f"""st AS (SELECT g.cell, g.time, 1 - coalesce(arg_max({surv}, km.time), 1.0) AS inc
   FROM grid g LEFT JOIN km ON km.time <= g.time GROUP BY ALL)""",
     ) + f"SELECT cell, {r6('time', 'time')}, {r6('inc', 'incidence')} FROM st"
-    o["nelson_aalen"] = with_(SUBJ, _km("subj")) + f"SELECT {r6('time', 'time')}, {r6('hz', 'hazard')}, {r6('hv', 'hazard_var')} FROM km"
+    o["nelson_aalen"] = with_(SUBJ, _km("subj")) + f"SELECT {r6('time', 'time')}, {r6('hz', 'hazard')}, {r6('hv', 'hazard_var')}, {r6('hz * exp(-1.959963984540054 * sqrt(hv) / nullif(hz, 0))', 'hazard_lower')}, {r6('hz * exp(1.959963984540054 * sqrt(hv) / nullif(hz, 0))', 'hazard_upper')} FROM km"
     steps = ", ".join(
         r6(f"coalesce(arg_max({surv}, time) FILTER (time <= {h}), arg_min({surv}, time))", f"survival_{h}h") for h in (12, 24, 48, 72, 96)
     )
     o["survival_at_clamped_times"] = with_(SUBJ, _km("subj", "event_type, ")) + f"SELECT event_type, {steps} FROM km GROUP BY 1"
     o["logrank_two_group"] = with_(SUBJ) + _logrank([("low_resolution", "low_temporal_resolution_0_5h = 1")], 5, 0)
+    e3 = edge_list("dist_min_ci_0_5h", 3, "subj")
+    o["logrank_stratified"] = with_(SUBJ) + _logrank(
+        [("dist_min_ci_0_5h", f"CASE WHEN dist_min_ci_0_5h <= {e3}[2] THEN true WHEN dist_min_ci_0_5h > {e3}[3] THEN false END")], 5, 0
+    )
     o["logrank_scan"] = with_(SUBJ) + _logrank(
         [(c, f"{c} <= (SELECT quantile_cont({c}::DOUBLE, 0.5) FROM subj)") for c in FEATURES], 4, 5
     )
