@@ -1,10 +1,9 @@
 """Cox proportional hazards with Efron ties, fitted from ordered scans.
 
 One evaluation of the penalised partial likelihood is one job: rows collapse to distinct
-times (relative hazards and their covariate products), one reverse scan gives the risk
-sets and one forward scan the cumulative hazard. The gradient is a sum over distinct
-times, so rows are never joined back and a time shared by a third of all rows is a single
-row of the scan. Efron's sum over d tied hits has a closed form in digamma differences,
+times (relative hazards and their covariate products) and one reverse scan gives the
+sums over the risk sets. The gradient is a sum over distinct times, so rows are never
+joined back and a time shared by a third of all rows is a single row of the scan. Efron's sum over d tied hits has a closed form in digamma differences,
 so its cost does not depend on d.
 """
 
@@ -128,7 +127,10 @@ class CoxModel(HorizonModel):
             aggs += [f"sum(z{k} * r) as x{k}" for k in range(p)]
             aggs += [f"sum(z{k} * r * e) as xd{k}" for k in range(p)]
         times = risk.groupBy("t").agg(*[F.expr(a) for a in aggs])
-        return prefix_sums(with_bucket(times, "t", splits), [], "t", {"risk": "s0"}, reverse=True)
+        sums = {"risk": "s0"}
+        if products:
+            sums.update({f"rx{k}": f"x{k}" for k in range(p)})
+        return prefix_sums(with_bucket(times, "t", splits), [], "t", sums, reverse=True)
 
     def _objective(self, rows, beta, splits, n, event_sum) -> tuple[float, np.ndarray]:
         times = self._times(rows, beta, splits, True)
@@ -139,13 +141,14 @@ class CoxModel(HorizonModel):
             f"case when d <= 0 then 0D when {several} then d * ln(s0d / d * ({c} + {1 + SHIFT})) "
             f"+ {_lgamma_step(x, y, 'd')} else ln(risk) end"
         )
-        steps = times.selectExpr("*", f"{a} as a", f"{logs} as logs").selectExpr(
+        # only times with a hit contribute: a weighs everyone at risk, b takes back the
+        # share of tied hits that already left
+        steps = times.filter("d > 0").selectExpr("*", f"{a} as a", f"{logs} as logs").selectExpr(
             "*", f"case when {several} then (risk * a - d) / s0d else 0D end as b"
         )
-        scanned = prefix_sums(steps, [], "t", {"cum": "a"})
         p = len(beta)
-        out = scanned.selectExpr(
-            "sum(ed) - sum(logs)", *[f"sum(cum * x{k} - b * xd{k})" for k in range(p)]
+        out = steps.selectExpr(
+            "sum(ed) - sum(logs)", *[f"sum(a * rx{k} - b * xd{k})" for k in range(p)]
         ).first()
         if out[0] is None or not np.isfinite(out[0]):
             return float("inf"), np.zeros(p)

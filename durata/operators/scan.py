@@ -59,35 +59,37 @@ def prefix_sums(
 ) -> DataFrame:
     """Running sums along ``order`` within ``keys``.
 
-    ``df`` holds one row per (keys, order) and a ``bucket`` that does not decrease with
-    ``order``. ``reverse`` accumulates from the top; ``inclusive`` counts the row itself.
+    ``sums`` maps an output name to a column or SQL text. ``df`` holds one row per
+    (keys, order) and a ``bucket`` that does not decrease with ``order``. ``reverse``
+    accumulates from the top; ``inclusive`` counts the row itself.
     """
-    values = {o: (F.col(e) if isinstance(e, str) else e) for o, e in sums.items()}
-    tmp = {o: f"__v_{i}" for i, o in enumerate(values)}
-    base = df.withColumns({tmp[o]: F.coalesce(e, F.lit(0)) for o, e in values.items()})
-    direction = F.col(order).desc() if reverse else F.col(order).asc()
+    tmp = {o: f"__v_{i}" for i, o in enumerate(sums)}
+    texts = {o: f"coalesce({e}, 0) as {tmp[o]}" for o, e in sums.items() if isinstance(e, str)}
+    exprs = {tmp[o]: F.coalesce(e, F.lit(0)) for o, e in sums.items() if not isinstance(e, str)}
+    base = df.withColumns(exprs) if exprs else df
+    base = base.selectExpr("*", *texts.values())
+    quoted = [f"`{k}`" for k in keys]
+    direction = "desc" if reverse else "asc"
+    last = "current row" if inclusive else "1 preceding"
     inside = (
-        Window.partitionBy(*keys, bucket)
-        .orderBy(direction)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        f"(partition by {', '.join([*quoted, bucket])} order by `{order}` {direction} "
+        f"rows between unbounded preceding and {last})"
     )
     steps = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(F.col(bucket).desc() if reverse else F.col(bucket).asc())
-        .rowsBetween(Window.unboundedPreceding, -1)
+        f"(partition by {', '.join(quoted) or '0'} order by {bucket} {direction} "
+        "rows between unbounded preceding and 1 preceding)"
     )
-    totals = base.groupBy(*keys, bucket).agg(*[F.sum(t).alias(t) for t in tmp.values()])
-    offsets = totals.select(
-        *keys, bucket, *[F.coalesce(F.sum(t).over(steps), F.lit(0)).alias(f"{t}o") for t in tmp.values()]
+    totals = base.groupBy(*keys, bucket).agg(*[F.expr(f"sum({t}) as {t}") for t in tmp.values()])
+    offsets = totals.selectExpr(
+        *quoted, bucket, *[f"coalesce(sum({t}) over {steps}, 0) as {t}o" for t in tmp.values()]
     )
-    local = base.withColumns(
-        {f"{t}l": F.coalesce(F.sum(t).over(inside), F.lit(0)) for t in tmp.values()}
+    local = base.selectExpr(
+        "*", *[f"coalesce(sum({t}) over {inside}, 0) as {t}l" for t in tmp.values()]
+    )
+    kept = [f"`{c}`" for c in df.columns if c not in sums]
+    return local.join(offsets, [*keys, bucket]).selectExpr(
+        *kept, *[f"{t}l + {t}o as `{o}`" for o, t in tmp.items()]
     )
-    joined = local.join(offsets, [*keys, bucket])
-    drop = [c for t in tmp.values() for c in (t, f"{t}l", f"{t}o")]
-    return joined.withColumns(
-        {o: F.col(f"{t}l") + F.col(f"{t}o") for o, t in tmp.items()}
-    ).drop(*drop)
 
 
 def positions(df: DataFrame, order: str, tie: str, out: str = "position") -> DataFrame:

@@ -10,7 +10,7 @@ from durata.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, 8, spark__ui__showConsoleProgress="false")
+    session = local_session(8, 4, spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("OFF")
     return session
 
