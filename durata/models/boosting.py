@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+import warnings
+from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 
 import numpy as np
@@ -187,19 +188,35 @@ class BoostedHorizons(HorizonModel):
         return BoostedHorizons(**d)
 
 
+# --- fixed values: parameter names of other boosting programs and ours ---
+ALIASES = {
+    "colsample_bytree": "colsample", "iterations": "n_estimators", "depth": "max_depth",
+    "l2_leaf_reg": "reg_lambda", "random_state": "seed",
+}
+
+
+def _boosted(defaults: dict[str, Any], given: dict[str, Any]) -> BoostedHorizons:
+    """Known settings under either name; others are ignored with a warning."""
+    known = {f.name for f in fields(BoostedHorizons)}
+    renamed = {ALIASES.get(k, k): v for k, v in given.items()}
+    for k in sorted(set(renamed) - known):
+        warnings.warn(f"ignored unknown parameter {k}", stacklevel=3)
+    return BoostedHorizons(**{**defaults, **{k: v for k, v in renamed.items() if k in known}})
+
+
 def level_wise_model(**kw: Any) -> BoostedHorizons:
     """Second-order boosting, level-wise, monotone on request."""
-    return BoostedHorizons(**{"n_estimators": 300, "max_depth": 6, "reg_lambda": 1.0, **kw})
+    return _boosted({"n_estimators": 300, "max_depth": 6, "reg_lambda": 1.0}, kw)
 
 
 def leaf_wise_model(**kw: Any) -> BoostedHorizons:
     defaults = {"growth": "leaf", "max_depth": -1, "reg_lambda": 0.0, "min_samples_leaf": 20}
-    return BoostedHorizons(**{**defaults, **kw})
+    return _boosted(defaults, kw)
 
 
 def symmetric_model(**kw: Any) -> BoostedHorizons:
     defaults = {"growth": "oblivious", "max_depth": 6, "reg_lambda": 3.0, "subsample": 1.0, "colsample": 1.0}
-    return BoostedHorizons(**{**defaults, **kw})
+    return _boosted(defaults, kw)
 
 
 def time_cuts(df: DataFrame, bins: int) -> np.ndarray:

@@ -6,12 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from durata.constants import PROB_COLS
+from durata.constants import PROB_COLS, SEARCH_SPACES
 from durata.models.aft import lognormal_model, normal_upper, weibull_model
 from durata.models.boosting import (
     BoostedHorizons,
     BoostedSurvival,
     leaf_wise_model,
+    level_wise_model,
     monotone_vector,
     symmetric_model,
 )
@@ -23,7 +24,7 @@ from durata.models.marginal import KaplanMeierModel
 from durata.models.persist import load_model, save_model
 from durata.models.seeds import SeedEnsemble
 from durata.models.stacking import IsotonicCalibrator, MetaLearner
-from durata.models.validation import best_trial, oof_predictions, repeated_cv, tune
+from durata.models.validation import best_trial, oof_predictions, repeated_cv, sample_params, tune
 from durata.operators.ensemble import (
     check_members,
     normalized_weights,
@@ -157,6 +158,20 @@ def test_monotone_constraints_hold_on_a_grid(spark, train):
         assert all(b <= a + 1e-12 for a, b in zip(p, p[1:], strict=False))
 
 
+def test_search_spaces_fit_their_models():
+    rng = np.random.default_rng(0)
+    builders = {
+        "gradient_boosted_survival": BoostedSurvival, "random_survival_forest": SurvivalForest,
+        "xgboost": level_wise_model,
+    }
+    for name, space in SEARCH_SPACES.items():
+        params = sample_params(space, rng)
+        model = builders[name](**params, seed=7)
+        assert model.seed == 7 and model.n_estimators == params["n_estimators"]
+    with pytest.warns(UserWarning, match="objective"):
+        assert level_wise_model(objective="x", colsample_bytree=0.5).colsample == 0.5
+
+
 def test_fold_models_do_not_see_their_fold(train):
     oof = oof_predictions(MODELS["survival_boost"], train, FEATURES, 3)
     assert oof.count() == 400 and oof.select("fold").distinct().count() == 3
