@@ -68,11 +68,18 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("long")
 
 
+def elapsed_micros(interval: Column) -> Column:
+    """Microseconds of a day-time interval, free of any session time zone."""
+    part = lambda unit: F.extract(F.lit(unit), interval)
+    whole = part("DAY") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60
+    return whole.cast("long") * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")
+
+
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One right-censored subject per event, with durations and feature columns."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     end_ts = events.agg(F.max("ts")).scalar()
-    hours = F.timestamp_diff("MICROSECOND", F.col("ts"), F.coalesce("next_ts", end_ts)) / 3.6e9
+    hours = elapsed_micros(F.coalesce("next_ts", end_ts) - F.col("ts")) / 3.6e9
     timed = next_error(events).withColumn("h", hours).withColumn("k", _k())
     return timed.select(
         ID,
