@@ -21,7 +21,7 @@ from durata.llm.common import checkpoint, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one key range at most, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def n_words(text: str) -> Column:

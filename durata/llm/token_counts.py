@@ -90,6 +90,13 @@ def canonical(text: bytes) -> bytes:
     return text if b"<|" in text else text.lower()
 
 
+def character_start(text: bytes, at: int) -> int:
+    """The start of the UTF-8 character that covers byte ``at``."""
+    while 0 < at < len(text) and text[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
 def encode_chunk(counter: PieceCounter, text: bytes, start: int, stop: int):
     """Offsets and counts of the pieces of text[start:stop]."""
     spans = [m.span() for m in _PIECE.finditer(text, start, stop)]
@@ -102,11 +109,11 @@ def encode_chunk(counter: PieceCounter, text: bytes, start: int, stop: int):
 def count_long(counter: PieceCounter, text: bytes, chunk: int, overlap: int) -> int:
     """Tokens of a text by overlapping chunks, spliced at common stable boundaries."""
     n, total = len(text), 0
-    begin, stop, wide = 0, min(len(text), chunk), overlap
+    begin, stop, wide = 0, character_start(text, min(len(text), chunk)), overlap
     starts, counts = encode_chunk(counter, text, begin, stop)
     while stop < n:
-        from_ = max(begin, stop - wide)
-        to = min(n, from_ + max(chunk, 2 * wide))
+        from_ = character_start(text, max(begin, stop - wide))
+        to = character_start(text, min(n, from_ + max(chunk, 2 * wide)))
         next_starts, next_counts = encode_chunk(counter, text, from_, to)
         # a chunk's first piece may be the rest of a word
         sure = next_starts[(next_starts > 0)]
@@ -121,7 +128,7 @@ def count_long(counter: PieceCounter, text: bytes, chunk: int, overlap: int) ->
             begin, stop, wide = at, to, overlap
         else:
             wide *= 2
-            stop = min(n, stop + max(chunk, wide))
+            stop = character_start(text, min(n, stop + max(chunk, wide)))
             starts, counts = encode_chunk(counter, text, begin, stop)
     return total + int(counts.sum())
 
