@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: 1: hashed, 0: ignored. Any two substitutions in a window leave one mask whole.
+#: 1: hashed, 0: ignored (may differ).
 MASKS = ("11111111", "110110110011", "101100111011", "111001011011", "110111000111")
 _RNG = np.random.default_rng(20240229)
 _FACTORS = (_RNG.integers(1, 2**63, 64, np.uint64) << np.uint64(1)) | np.uint64(1)

@@ -32,12 +32,13 @@ def fit_logistic(
     rate = float(np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3))
     w, b = np.zeros(dim), float(np.log(rate / (1 - rate)))
     v, c, t = w.copy(), b, 1.0
-    # scaled features: a step size per feature by how often it occurs
-    count = np.bincount(flat, minlength=dim) + (
-        2 * pull * n / len(diffs) * np.bincount(d_flat, minlength=dim) if diffs else 0
-    )
-    mean_size = max(1.0, sizes.mean() if n else 1.0)
-    step = n / np.maximum(count, 1.0) / np.sqrt(mean_size)
+    # a step per feature: the log loss by how often it occurs, the penalty by its curvature
+    count = np.bincount(flat, minlength=dim)
+    curve = np.maximum(count, 1.0) * np.sqrt(max(1.0, sizes.mean() if n else 1.0)) / max(n, 1)
+    if diffs:
+        width = np.array([len(g) + len(s) for g, s in diffs])
+        curve = curve + 2 * pull / len(diffs) * np.bincount(d_flat, weights=width[d_owner], minlength=dim)
+    step = 1 / curve
     for _ in range(steps if n else 0):
         z = np.bincount(owner, weights=v[flat], minlength=n) + c
         g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n

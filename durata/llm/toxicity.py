@@ -156,10 +156,8 @@ def fit(
     def narrow(xs: list[np.ndarray]) -> list[np.ndarray]:
         return [p[p >= 0] for p in (place[x] for x in xs)]
 
-    base = float(len(y) and rate)
     pairs = list(zip(narrow(gained), narrow(lost), strict=True))
     w, b = fit_logistic(narrow(f), y, len(use), l1, pairs, pull)
-    del base
     return Model({int(use[i]): float(w[i]) for i in np.flatnonzero(w)}, b)
 
 
