@@ -62,9 +62,17 @@ def texts_map(
 
 
 def _signature(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    """Edges, nodes that hang on exactly one root, and a digest of the edges."""
+    sides = edges.selectExpr("u as x", "1 as low", "0 as high", "xxhash64(u, v) as h").unionAll(
+        edges.selectExpr("v", "0", "1", "0L")
     )
+    nodes = sides.groupBy("x").agg(
+        F.sum("low").alias("low"), F.max("high").alias("high"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h")
+    )
+    row = nodes.selectExpr(
+        "coalesce(sum(low), 0)", "coalesce(sum(if(low = 1 and high = 0, 1, 0)), 0)", "sum(h)"
+    ).first()
+    return row[2], row[0], row[1]
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -80,7 +88,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     seen = _signature(e)
-    while seen[0]:
+    while seen[1] and seen[1] != seen[2]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
         large = both.where("v > u").join(low, "u").selectExpr("v as u", "m as v").distinct()
@@ -88,7 +96,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hung = large.join(low, "u").where("v <> m").selectExpr("v as u", "m as v")
         e = checkpoint(hung.unionByName(low.selectExpr("u", "m as v")).distinct())
         now = _signature(e)
-        if now == seen:
+        if now == seen or now[1] == now[2]:
             break
         seen = now
     return e.selectExpr("u as node", "v as component").unionByName(
