@@ -87,7 +87,7 @@ def logistic_model(c: float = 1.0, max_iter: int = 1000, seed: int = 42) -> Hori
     return HorizonClassifiers(build, seed)
 
 
-def random_forest_model(trees: int = 100, max_depth: int = 12, seed: int = 42) -> HorizonClassifiers:
+def random_forest_model(trees: int = 100, max_depth: int = 30, seed: int = 42) -> HorizonClassifiers:
     def build(n: int, seed: int) -> RandomForestClassifier:
         return RandomForestClassifier(
             numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,

@@ -94,7 +94,7 @@ class SurvivalForest(HorizonModel):
             sums = per_node_sums(table, trees, nodes, 2 * nt, fn)
             return [x.reshape(-1, 2, nt) for x in sums]
 
-        limit = min(self.max_depth or self.DEPTH_LIMIT, self.DEPTH_LIMIT)
+        limit = self.max_depth or self.DEPTH_LIMIT
         for _ in range(limit):
             if not any(active):
                 break

@@ -139,13 +139,14 @@ def tune(
     space: dict[str, tuple[str, float, float]] | str,
     features: list[str] | None = None,
     n_trials: int = 50,
-    timeout_s: float = 1800.0,
+    timeout_s: float | None = None,
     k: int = 5,
     seed: int = 42,
 ) -> DataFrame:
     """Seeded random search maximising the mean cross-validated hybrid score.
 
-    A trial that raises is kept with its error and no value. One row per trial.
+    A trial that raises is kept with its error and no value. One row per trial;
+    ``stopped_early`` tells whether ``timeout_s`` ended the search before ``n_trials``.
     """
     space = SEARCH_SPACES[space] if isinstance(space, str) else space
     features = default_features(df, features)
@@ -153,18 +154,19 @@ def tune(
     rng = np.random.default_rng(seed)
     trials, began = [], time.monotonic()
     for i in range(n_trials):
-        if i and time.monotonic() - began > timeout_s:
+        if i and timeout_s is not None and time.monotonic() - began > timeout_s:
             break
         params = sample_params(space, rng)
         start = time.monotonic()
         try:
             value, error = cv_hybrid(lambda p=params: build(**p, seed=seed), rows, features, k, seed), None
         except Exception as e:  # noqa: BLE001 - a failed trial is a result
-            value, error = None, str(e)[:200]
+            value, error = None, str(e)
         seconds = time.monotonic() - start
         trials.append((i, json.dumps(params, sort_keys=True), value, error, seconds))
     schema = "trial int, params string, value double, error string, seconds double"
-    return df.sparkSession.createDataFrame(trials, schema)
+    out = df.sparkSession.createDataFrame(trials, schema)
+    return out.withColumn("stopped_early", F.lit(len(trials) < n_trials))
 
 
 def best_trial(trials: DataFrame) -> tuple[dict[str, Any], float] | None:

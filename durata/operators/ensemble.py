@@ -121,10 +121,9 @@ def optimize_weights(
         return {models[0]: 1.0}
     wide = members_wide(predictions, models, [TIME, EVENT]).persist()
     equal = tuple(1.0 / len(models) for _ in models)
-    steps = grid_steps if len(models) <= 4 else 2
-    candidates = [equal, *simplex_grid(len(models), steps)]
+    candidates = [equal, *simplex_grid(len(models), grid_steps)]
     best, best_score = equal, -np.inf
-    step = 0.5 / steps
+    step = 0.5 / grid_steps
     for _ in range(rounds):
         scores = score_candidates(wide, models, candidates, objective)
         top = int(np.argmax(scores))

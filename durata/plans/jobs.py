@@ -114,7 +114,7 @@ def train_and_compare(
             ]
             error = None
         except Exception as e:  # noqa: BLE001 - the error is part of the comparison
-            rows, error = [(name, "hybrid_score_mean_cv", None)], str(e)[:200]
+            rows, error = [(name, "hybrid_score_mean_cv", None)], str(e)
         seconds = time.monotonic() - began
         parts += [(*r, error, seconds) for r in rows]
     out = spark.createDataFrame(

@@ -300,14 +300,14 @@ def oracle_queries() -> dict[str, str]:
             for c, (lo, hi) in ranges.items() if c in have
         ]
     )
-    o["validate_row_count"] = "SELECT count(*) AS actual, 10000::BIGINT AS expected, abs(count(*) - 10000) / 10000.0 <= 0.01 AS passed FROM events"
+    o["validate_row_count"] = "SELECT count(*) AS actual, (SELECT count(*) FROM events) AS expected, abs(count(*) - (SELECT count(*) FROM events)) / (SELECT count(*) FROM events) <= 0.01 AS passed FROM events"
     o["validate_all"] = with_(SUBJ, HOLES) + union(
         [f"SELECT 'nulls' AS check, '{c}' AS target, count(*) FILTER ({c} IS NULL) AS violations, count(*) FILTER ({c} IS NULL) = 0 AS passed FROM holes" for c in cols]
         + [
             f"SELECT 'ranges', '{c}', count(*) FILTER ({c} < {lo} OR {c} > {hi}), count(*) FILTER ({c} < {lo} OR {c} > {hi}) = 0 FROM holes"
             for c, (lo, hi) in VALID_RANGES.items() if c in have
         ]
-        + ["SELECT 'row_count', 'rows', abs(count(*) - 10000), abs(count(*) - 10000) / 10000.0 <= 0.01 FROM holes"]
+        + ["SELECT 'row_count', 'rows', abs(count(*) - (SELECT count(*) FROM events)), abs(count(*) - (SELECT count(*) FROM events)) / (SELECT count(*) FROM events) <= 0.01 FROM holes"]
     )
     drops = " OR ".join(f"prob_{b}h < prob_{a}h - 1e-9" for a, b in ((12, 24), (24, 48), (48, 72)))
     outside = " OR ".join(f"prob_{h}h < 0 OR prob_{h}h > 1" for h in HORIZONS)
