@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,21 +14,33 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
     A folder of its own is chosen only in a plain local session that names none.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith(("local[", "local*")) and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="durata-llm-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared folder and read back: smaller than a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows (counted), else as it is.
 
@@ -116,6 +129,7 @@ def linked_components(
     hot: int = 256,
     rounds: int = 4,
     budget: int = 32,
+    mirrored: bool = False,
 ) -> DataFrame:
     """Components over all verified pairs of a probe and an entry with the same key.
 
@@ -126,25 +140,27 @@ def linked_components(
     everything to one leader; after that only pairs of different components can matter,
     and they are few once most of the key's entries are in the leader's component. While
     they are more than ``budget`` times the rows, up to ``rounds`` further leaders are taken;
-    then all pairs that are left are verified, so nothing is dropped.
+    then all pairs that are left are verified, so nothing is dropped. ``mirrored`` says that
+    probes and entries are the same rows, so cold pairs need one order only.
     """
     stat = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("b", "pb")).alias("l"))
-    hot_keys = checkpoint(stat.where(f"n > {hot}").selectExpr("key", "l.b as b", "l.pb as pb"))
+    hot_keys = stored(stat.where(f"n > {hot}").selectExpr("key", "l.b as b", "l.pb as pb"))
 
     def pairs(p: DataFrame, e: DataFrame, more: str = "true") -> DataFrame:
         both = p.join(e, "key").where(f"a <> b and ({near}) and ({more})")
         return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
+    once = "a < b" if mirrored else "true"
     if hot_keys.isEmpty():
-        return connected_components(verify(pairs(probes, entries).distinct()))
+        return connected_components(verify(pairs(probes, entries, once).distinct()))
     cold = entries.join(hot_keys.select("key"), "key", "left_anti")
-    some = pairs(probes, cold).unionByName(pairs(probes, hot_keys))
-    edges = checkpoint(verify(some.distinct()))
-    hot_p = checkpoint(probes.join(hot_keys.select("key"), "key", "left_semi"))
-    hot_e = checkpoint(entries.join(hot_keys.select("key"), "key", "left_semi"))
+    some = pairs(probes, cold, once).unionByName(pairs(probes, hot_keys))
+    edges = stored(verify(some.distinct()))
+    hot_p = stored(probes.join(hot_keys.select("key"), "key", "left_semi"))
+    hot_e = stored(entries.join(hot_keys.select("key"), "key", "left_semi"))
     leaders = hot_keys
     for turn in range(rounds + 1):
-        parts = checkpoint(connected_components(edges))
+        parts = stored(connected_components(edges))
 
         def named(df: DataFrame, col: str, out: str, parts: DataFrame = parts) -> DataFrame:
             return df.join(parts.withColumnRenamed("node", col), col, "left").withColumn(
@@ -154,7 +170,7 @@ def linked_components(
         heads = named(leaders.selectExpr("key", "b as head"), "head", "ch").select("key", "ch")
         p = named(hot_p, "a", "ca").join(heads, "key").withColumn("odd", F.expr("ca <> ch"))
         e = named(hot_e, "b", "cb").join(heads, "key").withColumn("odd", F.expr("cb <> ch"))
-        p, e = checkpoint(p.drop("ch")), checkpoint(e.drop("ch"))
+        p, e = stored(p.drop("ch")), stored(e.drop("ch"))
         odd_p, odd_e = p.where("odd"), e.where("odd")
         count_p = p.groupBy("key").agg(F.count("*").alias("np"), F.sum(F.col("odd").cast("long")).alias("op"))
         count_e = e.groupBy("key").agg(F.count("*").alias("ne"), F.sum(F.col("odd").cast("long")).alias("oe"))
@@ -167,16 +183,16 @@ def linked_components(
             left = pairs(p.drop("odd"), odd_e.drop("odd"), "ca <> cb").unionByName(
                 pairs(odd_p.drop("odd"), e.drop("odd"), "ca <> cb")
             )
-            more = checkpoint(verify(left.distinct()))
+            more = stored(verify(left.distinct()))
             return connected_components(edges.unionByName(more))
         leaders = (
             odd_e.groupBy("key").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)), "b", "pb")).alias("l"))
             .selectExpr("key", "l.b as b", "l.pb as pb")
         )
         extra = pairs(p.drop("odd"), named(leaders, "b", "cb"), "ca <> cb")
-        edges = checkpoint(edges.unionByName(verify(extra.distinct())))
+        edges = stored(edges.unionByName(verify(extra.distinct())))
         done = leaders.select("key")
-        leaders = checkpoint(leaders.unionByName(heads_of(hot_keys, done)))
+        leaders = stored(leaders.unionByName(heads_of(hot_keys, done)))
     raise AssertionError("unreachable")
 
 
