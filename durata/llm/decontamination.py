@@ -3,10 +3,9 @@
 Tokens are lower-case words without ASCII punctuation. A seed is a fixed mask over a window
 of tokens: the positions it ignores may differ, the others are hashed together. Hashes of
 all windows of the documents are joined with those of the benchmark; around each hit the two
-token sequences are compared along the same alignment, and the best-scoring segment (a match
-counts one, a substitution minus ``penalty``) is an overlap if it has at least
-``min_overlap`` tokens (or the whole of a shorter item of at least a window) of which
-``similarity`` match.
+token sequences are compared along the same alignment, and any segment is an overlap that has
+at least ``min_overlap`` tokens (or the whole of a shorter item of at least a window) of which
+``similarity`` match. Of several the one with the most matches above that share is reported.
 
 The benchmark goes to the tasks in blocks of at most ``block_tokens`` tokens, a documented
 bound whatever its size, and every document is compared with every block; so the documents
@@ -94,12 +93,26 @@ def seed_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
-def best_segment(match: np.ndarray, penalty: float) -> tuple[int, int]:
-    """[start, stop) of the segment with the highest sum of 1 per match, -penalty otherwise."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(match, 1.0, -penalty))])
-    lowest = np.minimum.accumulate(total)
-    stop = int(np.argmax(total - lowest))
-    return int(np.argmin(total[: stop + 1])), stop
+def best_segment(match: np.ndarray, similarity: float, least: int) -> tuple[int, int] | None:
+    """[start, stop) of the best segment of at least ``least`` tokens of which ``similarity`` match.
+
+    The best one has the most matches above its share (highest sum of 1 - similarity per match,
+    -similarity otherwise); of ties the longest. None if no segment meets the rule. The sums
+    are in whole billionths, so a segment exactly at the similarity counts.
+    """
+    least = max(1, least)
+    if len(match) < least:
+        return None
+    share = int(np.floor(similarity * 1e9 + 1e-3))
+    total = np.concatenate([[0], np.cumsum(np.where(match, 10**9 - share, -share))])
+    lowest = np.minimum.accumulate(total[: len(total) - least])
+    above = total[least:] - lowest
+    if above.max() < 0:
+        return None
+    at = np.flatnonzero(above == above.max())
+    starts = np.searchsorted(-lowest, -lowest[at], "left")
+    k = int(np.argmax(at - starts))
+    return int(starts[k]), int(at[k]) + least
 
 
 def overlaps(block: Block, ids: np.ndarray, min_overlap: int, similarity: float, shortest: int):
@@ -126,12 +139,11 @@ def overlaps(block: Block, ids: np.ndarray, min_overlap: int, similarity: float,
         start = max(int(block.starts[item]), -shift)
         stop = min(int(block.ends[item]), len(ids) - shift)
         match = block.ids[start:stop] == ids[start + shift : stop + shift]
-        a, b = best_segment(match, similarity / (1 - similarity) if similarity < 1 else 1e9)
-        size, same = b - a, int(match[a:b].sum())
         whole = int(block.ends[item] - block.starts[item])
-        need = min(min_overlap, whole)
-        if size >= max(need, shortest) and same >= similarity * size:
-            best[item] = max(best.get(item, (0, 0)), (size, same))
+        found = best_segment(match, similarity, max(min(min_overlap, whole), shortest))
+        if found:
+            a, b = found
+            best[item] = max(best.get(item, (0, 0)), (b - a, int(match[a:b].sum())))
     return [(i, n, m) for i, (n, m) in sorted(best.items())]
 
 
