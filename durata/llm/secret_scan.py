@@ -9,9 +9,9 @@ value needs an identifier or an endpoint; an identifier or endpoint needs a secr
 
 Spans are in code points, end exclusive. A pattern's gaps and matches come from one split
 and one extract of the text, as lengths; positions are running sums over them in a window
-per text, so a text with very many findings stays linear. Linking is an interval join: parts
-are put into the cell of their position, of width ``reach``, and joined with the same and the
-neighbouring cell, so no task sees more than neighbouring cells. Built-in functions only.
+per text, so a text with very many findings stays linear. Linking is an interval join: weak
+parts are put into every cell, of width ``reach``, that they touch, their partners into those
+and the two beside them, so no task sees more than neighbouring cells. Built-in functions only.
 
 Null texts count as empty, every row gives one row, also repeated rows, null ids and texts
 without any finding; empty tables give empty results. Rows equal in id and text are scanned
@@ -122,7 +122,10 @@ def linked(found: DataFrame, reach: int = 200) -> DataFrame:
     """The weak parts with a complementary part in reach: an interval join within scopes."""
     role = F.element_at(F.array(*[F.lit(ROLE[k[0]]) for k in KINDS]), F.col("kind") + 1)
     p = found.where("kind is not null").withColumn("role", role)
-    weak = p.where(f"kind >= {len(STRONG)}").withColumn("cell", F.expr(f"start div {reach}"))
+    # from start to stop: a partner is in reach of either end; pairs that meet twice are grouped
+    weak = p.where(f"kind >= {len(STRONG)}").withColumn(
+        "cell", F.explode(F.expr(f"sequence(start div {reach}, stop div {reach})"))
+    )
     # a weak value that lies inside a strong secret is that secret
     other = p.select(
         F.col("id").alias("id2"), F.col("th").alias("th2"), F.col("scope").alias("scope2"),
