@@ -7,7 +7,8 @@ swapped for their counterparts, and the squared change of score is penalised, so
 mentions of a group carry no weight of their own and false positives on them fall.
 
 Fitting uses at most ``sample`` labelled rows of each class, in hash order of their id (a
-documented bound; all others are only scored). The model is a few weights, so scoring is one
+documented bound; all others are only scored); if that takes unequal shares of the classes,
+the intercept is moved back to the rate of all labels given. The model is a few weights, so scoring is one
 pass over whole texts. Labels, language, source and id are never inputs of a score.
 
 Null texts count as empty and are scored too (by the intercept); rows without a label, null
@@ -92,9 +93,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
+def usable(labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    return labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label).cast("int").alias("y"))
+
+
+def sampling_shift(labels: DataFrame, id_col: str, label: str, sample: int) -> float:
+    """What undoes, in log odds, that at most ``sample`` rows of each class were taken."""
+    counts = {r["y"]: r["n"] for r in usable(labels, id_col, label).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    left_out = [np.log(max(1.0, counts.get(y, 0) / max(1, sample))) for y in (0, 1)]
+    return float(left_out[1] - left_out[0])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, sample: int):
     """(text, y) of at most ``sample`` labelled rows of each class, in hash order."""
-    fit = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label).cast("int").alias("y"))
+    fit = usable(labels, id_col, label)
     chosen = None
     for y in (0, 1):
         part = fit.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(sample)
@@ -158,6 +170,7 @@ def fit(
 
     pairs = list(zip(narrow(gained), narrow(lost), strict=True))
     w, b = fit_logistic(narrow(f), y, len(use), l1, pairs, pull)
+    b += sampling_shift(labels, id_col, label, sample)
     return Model({int(use[i]): float(w[i]) for i in np.flatnonzero(w)}, b)
 
 
