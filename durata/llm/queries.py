@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from durata.llm import (
     chat,
     decontamination,
+    fill_in_middle,
+    hard_negatives,
+    line_frequency,
     lines,
     mixing,
     quality,
@@ -40,7 +43,14 @@ QUERIES: dict[str, Query] = {
         decontamination.op9_decontamination, "documents", "benchmark"
     ),
     "op10_token_counts": _on(token_counts.op10_token_counts, "documents"),
+    "op11_hard_negatives": _on(hard_negatives.op11_hard_negatives, "embeddings"),
+    "op12_fill_in_middle": _on(fill_in_middle.op12_fill_in_middle, "documents"),
+    "op13_quality_rules": _on(line_frequency.op13_quality_rules, "documents"),
 }
 
 #: SQL of the queries that it can express on the same tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
+    "op13_quality_rules": line_frequency.SQL,
+}
