@@ -30,7 +30,7 @@ from durata.llm.common import small, stored
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 #: Repeated words of a hundred above which the base rules fail.
 REPEATED = 50
@@ -79,7 +79,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
-    """Row key, id, host, hash of the text, counts, and (hash, words) of each line with a word."""
+    """Stored rows: key, id, host, hash of the text, counts, (hash, words) of each line with a word."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     plain = docs.select(
         F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"),
@@ -88,23 +88,25 @@ def measured(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
         body.alias("body"),
     )
     lines = F.filter(F.split("body", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    split = plain.select(
+    # stored before the fields of ``w`` are taken apart, so that each is computed once
+    rows = stored(plain.select(
         "key", "doc_id", "host", F.xxhash64("body").alias("text_hash"),
-        (F.length("body") - F.length(F.translate("body", BLANKS, ""))).alias("blanks"),
-        F.length("body").alias("chars"),
-        (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.regexp_count("body", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(words_of(F.col("body")), lambda w: F.struct(
-            F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated")
+            F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"),
+            repeated_words(w).alias("repeated"),
         )).alias("w"),
-        F.transform(lines, lambda x: let(
-            words_of(x), lambda w: F.struct(F.xxhash64(F.lower(F.array_join(w, " "))).alias("h"), F.size(w).alias("w"))
-        )).alias("lines"),
-    )
-    return split.select(
-        "key", "doc_id", "host", "text_hash", F.col("w.n").alias("n_words"),
-        (F.col("chars") - F.col("blanks")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",
-        F.col("w.repeated").alias("n_repeat_words"), "lines",
+        let(lines, lambda ls: F.struct(
+            (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("dup"),
+            F.transform(ls, lambda x: let(words_of(x), lambda w: F.struct(
+                F.xxhash64(F.lower(F.array_join(w, " "))).alias("h"), F.size(w).alias("w")
+            ))).alias("each"),
+        )).alias("l"),
+    ))
+    return rows.select(
+        "key", "doc_id", "host", "text_hash", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"),
+        "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.repeated").alias("n_repeat_words"),
+        F.col("l.each").alias("lines"),
     )
 
 
@@ -151,12 +153,12 @@ def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **rules: float
 ) -> DataFrame:
     """(doc_id, host, counts, cut_words, base_failed, kept) of every row."""
-    return with_verdict(stored(measured(docs, id_col, text, host)), **rules).drop("key", "text_hash")
+    return with_verdict(measured(docs, id_col, text, host), **rules).drop("key", "text_hash")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **rules: float) -> DataFrame:
     """(doc_id, text) of the kept rows without their cut lines."""
-    rows = stored(measured(docs, id_col, text, host))
+    rows = measured(docs, id_col, text, host)
     names = {"min_docs": MIN_DOCS, "share": SHARE} | {k: v for k, v in rules.items() if k in ("min_docs", "share")}
     cut = stored(frequent(rows, **names).withColumn("cut", F.lit(True)))
     kept = with_verdict(rows, **rules).where("kept").select("key", "host")
