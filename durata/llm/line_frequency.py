@@ -15,7 +15,8 @@ work is n log n in its length (sorts, no lookups), so very long texts are fine.
 
 Null texts have no words and fail the base rules; null hosts are a host of their own. Rows
 are told apart by a row key, so repeated ids and rows give one result each. Lines without a
-word take no part in line counts. Empty tables give empty results; other columns are not
+word take no part in line counts. The row key is the row's place in the scan, so ``docs`` of
+``cleaned``, which reads them twice, should be a table. Empty tables give empty results; other columns are not
 read. Hashes of lines, texts and windows have 64 bits.
 """
 
@@ -163,9 +164,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: s
     cut = stored(frequent(rows, **names).withColumn("cut", F.lit(True)))
     kept = with_verdict(rows, **rules).where("kept").select("key", "host")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = docs.select(
-        F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"), F.posexplode(F.split(body, "\n"))
-    ).join(kept, "key")
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"), body.alias("body"))
+    lines = keyed.join(kept, "key").select("key", "doc_id", "host", F.posexplode(F.split("body", "\n")))
     hashed = lines.withColumn("h", F.xxhash64(F.lower(F.array_join(words_of(F.col("col")), " "))))
     left = hashed.join(small(cut), ["host", "h"], "left").where("cut is null")
     return left.groupBy("key").agg(
