@@ -10,28 +10,27 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from durata.constants import EVENT, HORIZONS, MONOTONE_SIGNS, TIME
 from durata.models.base import HorizonModel, default_features, with_probabilities
 from durata.models.trees import (
     MAX_BINS,
     Binning,
+    FoldBins,
+    Grower,
     Rows,
     SplitRules,
     TrainingTable,
     Tree,
     _binary,
-    grow_trees,
     hash_uniform,
-    sum_cells,
+    summed,
     training_table,
     tree_sum,
 )
 from durata.session import cut_lineage
 
 REFRESH = 10
-TIME_BINS = 1024
 
 
 def monotone_vector(features: list[str], overrides: dict[str, int] | None = None) -> list[int]:
@@ -40,7 +39,9 @@ def monotone_vector(features: list[str], overrides: dict[str, int] | None = None
     return [int(signs.get(f, 0)) for f in features]
 
 
-def _refresh(table: TrainingTable, pending: list[list[Tree]], rate: float) -> TrainingTable:
+def _refresh(
+    table: TrainingTable, pending: list[list[Tree]], rate: float, fold_of: list[int]
+) -> TrainingTable:
     """Fold the pending trees into the stored margins and cut the lineage."""
     decode = table.decode()
     names = table.df.columns
@@ -50,25 +51,25 @@ def _refresh(table: TrainingTable, pending: list[list[Tree]], rate: float) -> Tr
             rows = decode(b)
             margin = rows.margin.copy()
             for s, trees in enumerate(pending):
-                margin[:, s] += rate * tree_sum(trees, rows.bins)
+                margin[:, s] += rate * tree_sum(trees, rows.bins(fold_of[s]))
             arrays = [b.column(n) for n in names[:-1]] + [_binary(margin)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     fresh = cut_lineage(table.df.mapInArrow(run, table.df.schema))
     table.df.unpersist()
-    return TrainingTable(fresh, table.features, table.extras, table.slots, table.partitions)
+    return TrainingTable(fresh, table.bins, table.extras, table.slots, table.partitions)
 
 
-def _current(rows: Rows, slot: int, pending: list[list[Tree]], rate: float) -> np.ndarray:
-    return rows.margin[:, slot] + rate * tree_sum(pending[slot], rows.bins)
+def _current(rows: Rows, slot: int, pending: list[list[Tree]], rate: float, fold: int) -> np.ndarray:
+    return rows.margin[:, slot] + rate * tree_sum(pending[slot], rows.bins(fold))
 
 
 @dataclass
 class BoostedHorizons(HorizonModel):
     """One boosted binary classifier per horizon, all horizons (and folds) in the same jobs.
 
-    ``growth`` is ``depth`` (level-wise), ``leaf`` (best gains first under a leaf budget)
-    or ``oblivious`` (one cut per level).
+    ``growth`` is ``depth`` (level-wise), ``leaf`` (the open leaf of best gain is split next,
+    under a leaf budget) or ``oblivious`` (one cut per level).
     """
 
     n_estimators: int = 300
@@ -104,12 +105,13 @@ class BoostedHorizons(HorizonModel):
         return {k: getattr(self, k) for k in keep}
 
     def _fit_slots(self, df, features, folds, fold_col) -> dict[int, BoostedHorizons]:
-        binning = Binning(features).fit(df, self.max_bins)
         labels = {
             f"y{h}": f"case when `{EVENT}` = 1 and `{TIME}` <= {h} then 1 else 0 end" for h in HORIZONS
         }
         fold_sql = f"`{fold_col}`" if fold_col else "-2"
+        bins = FoldBins.fit(df, features, folds, fold_sql, self.max_bins)
         slots = [(f, h) for f in folds for h in HORIZONS]
+        fold_of = [i for i in range(len(folds)) for _ in HORIZONS]
         means = df.selectExpr(
             *[
                 f"avg(case when {fold_sql} <> {f} then {labels[f'y{h}']} end)"
@@ -119,7 +121,7 @@ class BoostedHorizons(HorizonModel):
         rate0 = np.clip(np.array([m or 0.0 for m in means], dtype=float), 1e-6, 1 - 1e-6)
         base = np.log(rate0 / (1 - rate0))
         extras = {**labels, "fold": fold_sql}
-        table = training_table(df, binning, extras, len(slots), base)
+        table = training_table(df, bins, extras, len(slots), base)
         signs = None
         if self.monotone:
             overrides = self.monotone if isinstance(self.monotone, dict) else None
@@ -127,7 +129,8 @@ class BoostedHorizons(HorizonModel):
         rules = SplitRules(
             self.reg_lambda, self.min_samples_leaf, 2, signs, self.growth, self.max_depth, self.max_leaves
         )
-        rng = np.random.default_rng(self.seed)
+        # one stream per fold, so that a fold's model is what a fit on its rows alone gives
+        rngs = [np.random.default_rng(self.seed) for _ in folds]
         done: list[list[Tree]] = [[] for _ in slots]
         pending: list[list[Tree]] = [[] for _ in slots]
         for r in range(self.n_estimators):
@@ -137,31 +140,31 @@ class BoostedHorizons(HorizonModel):
             def gradients(rows: Rows, s: int, snapshot=snapshot, seed=seed):
                 fold, h = slots[s]
                 y = rows.extra[f"y{h}"]
-                p = 1.0 / (1.0 + np.exp(-_current(rows, s, snapshot, lr)))
+                p = 1.0 / (1.0 + np.exp(-_current(rows, s, snapshot, lr, fold_of[s])))
                 w = (rows.extra["fold"] != fold).astype(float)
                 if sub < 1.0:
                     w *= hash_uniform(rows.ids, seed) < sub
                 return (p - y) * w, p * (1 - p) * w, w
 
             allowed = []
-            for _ in slots:
+            for s in range(len(slots)):
                 mask = np.zeros(len(features), dtype=bool)
                 take = max(1, round(self.colsample * len(features)))
-                mask[rng.choice(len(features), take, replace=False)] = True
+                mask[rngs[fold_of[s]].choice(len(features), take, replace=False)] = True
                 allowed.append(mask)
-            grown = grow_trees(table, gradients, len(slots), binning.bins, rules, allowed)
+            grown = Grower(table, gradients, fold_of, rules, allowed).grow()
             for s, t in enumerate(grown):
                 done[s].append(t)
                 pending[s].append(t)
             if (r + 1) % REFRESH == 0 and r + 1 < self.n_estimators:
-                table = _refresh(table, pending, self.learning_rate)
+                table = _refresh(table, pending, self.learning_rate, fold_of)
                 pending = [[] for _ in slots]
         table.df.unpersist()
         out = {}
         for i, f in enumerate(folds):
             part = slice(i * len(HORIZONS), (i + 1) * len(HORIZONS))
             out[f] = BoostedHorizons(
-                **self._settings(), features=features, edges=[e.tolist() for e in binning.edges],
+                **self._settings(), features=features, edges=[e.tolist() for e in bins.parts[i].edges],
                 base=base[part].tolist(), trees=done[part],
             )
         return out
@@ -219,21 +222,107 @@ def symmetric_model(**kw: Any) -> BoostedHorizons:
     return _boosted(defaults, kw)
 
 
-def time_cuts(df: DataFrame, bins: int) -> np.ndarray:
-    """Upper ends of the time bins: distinct quantiles of the hit times plus the horizons."""
-    probs = F.array(*[F.lit((i + 1) / bins) for i in range(bins)])
-    hits = F.when(F.col(EVENT) == 1, F.col(TIME).cast("double"))
-    got = df.agg(F.percentile_approx(hits, probs, 10 * bins)).first()[0]
-    return np.unique(np.array([*(got or []), *map(float, HORIZONS)]))
+@dataclass
+class RiskScan:
+    """Exact risk sets and cumulative hazard over a table ranged and sorted by time.
+
+    Each partition holds consecutive times. A few numbers per partition and slot give the
+    driver what lies before and after it; a time that spans partitions (ties) is put
+    together from its parts. Nothing is binned and no row moves.
+    """
+
+    folds: list[int]
+    rate: float
+    after: np.ndarray
+    tied_before: np.ndarray
+    tied_hits: np.ndarray
+    hazard_before: np.ndarray
+
+    def _local(self, rows: Rows, s: int, pending: list[list[Tree]]):
+        """Relative risk, weighted relative risk and hits, first and last place of equal times."""
+        t = rows.extra["t"]
+        w = (rows.extra["fold"] != self.folds[s]).astype(float)
+        relative = np.exp(_current(rows, s, pending, self.rate, s))
+        return relative, relative * w, rows.extra["e"] * w, np.searchsorted(t, t, "left"), np.searchsorted(t, t, "right")
+
+    def increments(self, rows: Rows, s: int, pending: list[list[Tree]]):
+        """Per row: relative risk, at-risk sum of its time, hazard that its hit adds, last place."""
+        part, t = int(rows.extra["part"][0]), rows.extra["t"]
+        relative, r, hits, first, last = self._local(rows, s, pending)
+        before = np.concatenate([[0.0], np.cumsum(r)])
+        at_risk = self.after[part, s] + before[-1] - before[first]
+        at_risk += np.where(t == t[0], self.tied_before[part, s], 0.0)
+        step = np.divide(hits, at_risk, out=np.zeros_like(hits), where=at_risk > 0)
+        return relative, at_risk, step, last
+
+    def cumulative(self, rows: Rows, s: int, pending: list[list[Tree]]) -> tuple[np.ndarray, np.ndarray]:
+        """Relative risk and cumulative hazard at every row's time."""
+        part, t = int(rows.extra["part"][0]), rows.extra["t"]
+        relative, at_risk, step, last = self.increments(rows, s, pending)
+        total = self.hazard_before[part, s] + np.cumsum(step)[last - 1]
+        late = np.divide(self.tied_hits[part, s], at_risk, out=np.zeros_like(at_risk), where=at_risk > 0)
+        return relative, total + np.where(t == t[-1], late, 0.0)
+
+    @staticmethod
+    def over(table: TrainingTable, folds: list[int], rate: float, pending: list[list[Tree]]) -> RiskScan:
+        n, ns = table.partitions, len(folds)
+        zero = np.zeros((n, ns))
+        scan = RiskScan(folds, rate, zero, zero, zero, zero)
+
+        def edges(rows: Rows) -> np.ndarray:
+            out = np.zeros((n, 3 + 4 * ns))
+            part, t = int(rows.extra["part"][0]), rows.extra["t"]
+            out[part, :3] = 1.0, t[0], t[-1]
+            for s in range(ns):
+                _, r, hits, _, _ = scan._local(rows, s, pending)
+                low, high = t == t[0], t == t[-1]
+                out[part, 3 + 4 * s : 7 + 4 * s] = r.sum(), r[low].sum(), r[high].sum(), hits[low].sum()
+            return out
+
+        got = summed(table, edges, n, 3 + 4 * ns, whole=True)
+        used = np.flatnonzero(got[:, 0])
+        low, high = got[used, 1], got[used, 2]
+        risk, _, risk_high, hits_low = (got[used][:, 3 + k :: 4] for k in range(4))
+        after, tied, later = (np.zeros((n, ns)) for _ in range(3))
+        after[used] = np.cumsum(risk[::-1], axis=0)[::-1] - risk
+        # partitions that end in one time are consecutive, and so are those that begin in it
+        ends = np.concatenate([np.zeros((1, ns)), np.cumsum(risk_high, axis=0)])
+        starts = np.concatenate([np.zeros((1, ns)), np.cumsum(hits_low, axis=0)])
+        place = np.arange(len(used))
+        tied[used] = ends[place] - ends[np.minimum(np.searchsorted(high, low, "left"), place)]
+        later[used] = starts[np.maximum(np.searchsorted(low, high, "right"), place + 1)] - starts[place + 1]
+        scan = RiskScan(folds, rate, after, tied, later, zero)
+
+        def hazards(rows: Rows) -> np.ndarray:
+            out = np.zeros((n, ns))
+            for s in range(ns):
+                out[int(rows.extra["part"][0]), s] = scan.increments(rows, s, pending)[2].sum()
+            return out
+
+        got = summed(table, hazards, n, ns, whole=True)
+        scan.hazard_before = np.cumsum(got, axis=0) - got
+        return scan
+
+    def at(self, table: TrainingTable, pending: list[list[Tree]], times: tuple[int, ...]) -> np.ndarray:
+        """(slots, times): cumulative hazard at fixed times."""
+        ns = len(self.folds)
+
+        def fn(rows: Rows) -> np.ndarray:
+            out = np.zeros((ns, len(times)))
+            for s in range(ns):
+                step = self.increments(rows, s, pending)[2]
+                out[s] = [step[rows.extra["t"] <= h].sum() for h in times]
+            return out
+
+        return summed(table, fn, ns, len(times), whole=True)
 
 
 @dataclass
 class BoostedSurvival(HorizonModel):
-    """Gradient boosting of the Cox partial likelihood.
+    """Gradient boosting of the Cox partial likelihood (Breslow ties) with exact risk sets.
 
-    Trees are fitted to martingale residuals. Risk sets are kept per time bin (at most
-    1024, cut at hit-time quantiles and at the horizons), so a round exchanges a vector
-    of that length and never moves rows; with fewer distinct hit times it is exact.
+    Trees are fitted to martingale residuals; the risk sets of a round come from a scan over
+    the time-sorted partitions, see ``RiskScan``.
     """
 
     n_estimators: int = 100
@@ -265,83 +354,53 @@ class BoostedSurvival(HorizonModel):
         return {k: getattr(self, k) for k in keep}
 
     def _fit_slots(self, df, features, folds, fold_col) -> dict[int, BoostedSurvival]:
-        binning = Binning(features).fit(df, self.max_bins)
-        cuts = time_cuts(df, TIME_BINS)
-        nt, ns = len(cuts) + 1, len(folds)
         fold_sql = f"`{fold_col}`" if fold_col else "-2"
-        table = training_table(
-            df, binning, {"t": f"`{TIME}`", "e": f"`{EVENT}`", "fold": fold_sql}, ns
-        )
+        bins = FoldBins.fit(df, features, folds, fold_sql, self.max_bins)
+        ns = len(folds)
+        extras = {"t": f"`{TIME}`", "e": f"`{EVENT}`", "fold": fold_sql}
+        table = training_table(df, bins, extras, ns, order="t")
         rules = SplitRules(
             0.0, self.min_samples_leaf, self.min_samples_split, None, "depth", self.max_depth
         )
-        lr, sub = self.learning_rate, self.subsample
+        lr, sub, fold_of = self.learning_rate, self.subsample, list(range(ns))
         done: list[list[Tree]] = [[] for _ in folds]
         pending: list[list[Tree]] = [[] for _ in folds]
-        hits = self._time_sums(table, folds, cuts, pending, lr, events=True)
         allowed = [np.ones(len(features), dtype=bool)] * ns
         for r in range(self.n_estimators):
             snapshot = [list(p) for p in pending]
-            at_risk = self._time_sums(table, folds, cuts, snapshot, lr)
-            hazard = self._hazard(hits, at_risk)
+            scan = RiskScan.over(table, folds, lr, snapshot)
             seed = self.seed * 1_000_003 + r
 
-            def gradients(rows: Rows, s: int, snapshot=snapshot, hazard=hazard, seed=seed):
-                tb = np.searchsorted(cuts, rows.extra["t"], "left")
-                relative = np.exp(np.clip(_current(rows, s, snapshot, lr), -30, 30))
+            def gradients(rows: Rows, s: int, snapshot=snapshot, scan=scan, seed=seed):
+                relative, hazard = scan.cumulative(rows, s, snapshot)
                 w = (rows.extra["fold"] != folds[s]).astype(float)
                 if sub < 1.0:
                     w *= hash_uniform(rows.ids, seed) < sub
-                return -(rows.extra["e"] - relative * hazard[s, tb]) * w, w, w
+                return -(rows.extra["e"] - relative * hazard) * w, w, w
 
-            grown = grow_trees(table, gradients, ns, binning.bins, rules, allowed)
+            grown = Grower(table, gradients, fold_of, rules, allowed, whole=True).grow()
             for s, t in enumerate(grown):
                 done[s].append(t)
                 pending[s].append(t)
             if (r + 1) % REFRESH == 0 and r + 1 < self.n_estimators:
-                table = _refresh(table, pending, lr)
+                table = _refresh(table, pending, lr, fold_of)
                 pending = [[] for _ in folds]
-        hazard = self._hazard(hits, self._time_sums(table, folds, cuts, pending, lr))
+        hazard = RiskScan.over(table, folds, lr, pending).at(table, pending, HORIZONS)
         table.df.unpersist()
-        at_h = [int(np.searchsorted(cuts, float(h), "left")) for h in HORIZONS]
         return {
             f: BoostedSurvival(
-                **self._settings(), features=features, edges=[e.tolist() for e in binning.edges],
-                trees=done[i], hazard=[float(hazard[i, b]) for b in at_h],
+                **self._settings(), features=features, edges=[e.tolist() for e in bins.parts[i].edges],
+                trees=done[i], hazard=hazard[i].tolist(),
             )
             for i, f in enumerate(folds)
         }
 
-    @staticmethod
-    def _time_sums(table, folds, cuts, pending, lr, events=False) -> np.ndarray:
-        nt = len(cuts) + 1
-
-        def fn(rows: Rows) -> np.ndarray:
-            tb = np.searchsorted(cuts, rows.extra["t"], "left")
-            out = np.zeros((len(folds), nt))
-            for s, f in enumerate(folds):
-                w = (rows.extra["fold"] != f).astype(float)
-                v = rows.extra["e"] if events else np.exp(
-                    np.clip(_current(rows, s, pending, lr), -30, 30)
-                )
-                out[s] = np.bincount(tb, weights=v * w, minlength=nt)
-            return out.ravel()
-
-        return sum_cells(table, fn, len(folds) * nt).reshape(len(folds), nt)
-
-    @staticmethod
-    def _hazard(hits: np.ndarray, relative: np.ndarray) -> np.ndarray:
-        """Breslow cumulative hazard at the end of every time bin."""
-        at_risk = np.cumsum(relative[:, ::-1], axis=1)[:, ::-1]
-        step = np.divide(hits, at_risk, out=np.zeros_like(hits), where=at_risk > 0)
-        return np.cumsum(step, axis=1)
-
     def predict(self, df: DataFrame) -> DataFrame:
         binning = Binning(self.features, [np.array(e) for e in self.edges])
         trees, lr, hazard = self.trees, self.learning_rate, np.array(self.hazard)
 
         def fn(x: np.ndarray) -> np.ndarray:
-            relative = np.exp(np.clip(lr * tree_sum(trees, binning.encode(x)), -30, 30))
+            relative = np.exp(lr * tree_sum(trees, binning.encode(x)))
             return 1.0 - np.exp(-relative[:, None] * hazard[None, :])
 
         return with_probabilities(df, self.features, fn)

@@ -1,29 +1,39 @@
-"""Random survival forest: all trees grown together, log-rank score splits."""
+"""Random survival forest: log-rank splits, trees of any depth, all trees grown together."""
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from durata.constants import EVENT, HORIZONS, TIME
 from durata.models.base import HorizonModel, default_features, with_probabilities
-from durata.models.boosting import time_cuts
 from durata.models.trees import (
+    EPS,
+    JOB_CELLS,
+    SKETCH,
     Binning,
+    FoldBins,
     Rows,
-    SplitRules,
+    TrainingTable,
     Tree,
-    grow_level,
+    _binary,
+    _fixed,
     hash_uniform,
-    level_histograms,
-    per_node_sums,
+    leading,
+    summed,
     training_table,
 )
 
+#: Rows of a node from which on the whole subtree below it is grown in one task.
+NODE_ROWS = 16_384
+
 
 def poisson_weight(ids: np.ndarray, seed: int) -> np.ndarray:
     """Poisson(1) bootstrap count of a row in one tree, from its id."""
@@ -31,12 +41,125 @@ def poisson_weight(ids: np.ndarray, seed: int) -> np.ndarray:
     return np.searchsorted(cumulative, hash_uniform(ids, seed), "right").astype(float)
 
 
+def time_edges(df: DataFrame, bins: int, folds: list[int], fold_sql: str) -> list[np.ndarray]:
+    """Upper ends of the time bins of every fold: its own hit-time quantiles and the horizons."""
+    probs = F.array(*[F.lit((i + 1) / bins) for i in range(bins)])
+    hits = F.when(F.col(EVENT) == 1, F.nanvl(F.col(TIME).cast("double"), F.lit(None)))
+    row = df.agg(*[
+        F.percentile_approx(F.when(F.expr(f"{fold_sql} <> {f}"), hits), probs, SKETCH) for f in folds
+    ]).first()
+    return [np.unique(np.array([*(x or []), *map(float, HORIZONS)])) for x in row]
+
+
+def children(key: int) -> tuple[int, int]:
+    """Keys of a node's children; keys seed the choice of features, whatever the depth."""
+    mask = 0xFFFFFFFFFFFFFFFF
+    z = (key * 0x9E3779B97F4A7C15 + 1) & mask
+    z ^= z >> 31
+    return (z * 0xBF58476D1CE4E5B9) & mask, (z * 0x94D049BB133111EB + 7) & mask
+
+
+def logrank(hits_left: np.ndarray, risk_left: np.ndarray, hits: np.ndarray, risk: np.ndarray) -> np.ndarray:
+    """(O - E)^2 / V of the left side over the last axis (times); zero without variance."""
+    safe = np.maximum(risk, 1.0)
+    share = risk_left / safe
+    observed = (hits_left - hits * share).sum(axis=-1)
+    spread = hits * share * (1 - share) * (risk - hits) / np.maximum(risk - 1, 1.0)
+    variance = np.where(risk > 1, spread, 0.0).sum(axis=-1)
+    return np.divide(observed**2, variance, out=np.zeros_like(observed), where=variance > EPS)
+
+
+def survival_at(hits: np.ndarray, risk: np.ndarray, at: list[int]) -> np.ndarray:
+    """Product-limit survival at time bins, from hits and rows at risk per bin."""
+    ratio = np.divide(hits, risk, out=np.zeros_like(risk), where=risk > 0)
+    return np.cumprod(1.0 - np.minimum(ratio, 1.0), axis=-1)[..., at]
+
+
+@dataclass
+class Leaves:
+    """Rules and random choices that are the same in every task."""
+
+    p: int
+    bins: int
+    times: list[np.ndarray]
+    min_split: float
+    min_leaf: float
+    max_depth: int | None
+
+    def picked(self, seed: int, key: int) -> np.ndarray:
+        """The features that a node may split on, in ascending order."""
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, key])
+        return np.sort(rng.choice(self.p, max(1, int(math.sqrt(self.p))), replace=False))
+
+    def horizons(self, fold: int) -> list[int]:
+        return [int(np.searchsorted(self.times[fold], float(h), "left")) for h in HORIZONS]
+
+    def best(self, bins: np.ndarray, w: np.ndarray, tb: np.ndarray, e: np.ndarray, fold: int, features: np.ndarray):
+        """Survival at the horizons, and (feature, cut) of the best split of one node's rows."""
+        nt = len(self.times[fold]) + 1
+        hits = np.bincount(tb, weights=w * e, minlength=nt)
+        risk = np.cumsum(np.bincount(tb, weights=w, minlength=nt)[::-1])[::-1]
+        curve = survival_at(hits, risk, self.horizons(fold))
+        if w.sum() < self.min_split or not hits.any():
+            return curve, None
+        seen = np.flatnonzero(hits)
+        # rows at risk and hits at each hit time, per candidate side as matrix products
+        at_risk = (tb[:, None] >= seen) * w[:, None]
+        dead = (tb[:, None] == seen) * (w * e)[:, None]
+        top, choice = 0.0, None
+        for f in features:
+            cuts = np.unique(bins[:, f])[:-1]
+            if not len(cuts):
+                continue
+            left = (bins[:, f][None, :] <= cuts[:, None]).astype(float)
+            n = left @ w
+            score = logrank(left @ dead, left @ at_risk, hits[seen], risk[seen])
+            score[(n < self.min_leaf) | (w.sum() - n < self.min_leaf)] = 0.0
+            i = int(leading(score))
+            if score[i] > EPS and score[i] > top * (1 + 1e-9):
+                top, choice = float(score[i]), (int(f), int(cuts[i]))
+        return curve, choice
+
+    def subtree(self, bins, w, tb, e, fold: int, seed: int, key: int, depth: int) -> Tree:
+        """The whole tree below one node, from its rows."""
+        tree = Tree()
+        tree.value[0] = np.ones(len(HORIZONS))
+        todo = [(0, np.arange(len(w)), key, depth)]
+        while todo:
+            node, rows, k, d = todo.pop()
+            features = self.picked(seed, k)
+            curve, choice = self.best(bins[rows], w[rows], tb[rows], e[rows], fold, features)
+            tree.value[node] = curve
+            if choice is None or (self.max_depth is not None and d >= self.max_depth):
+                continue
+            low = bins[rows, choice[0]] <= choice[1]
+            a, b = tree.split(node, *choice)
+            ka, kb = children(k)
+            todo += [(a, rows[low], ka, d + 1), (b, rows[~low], kb, d + 1)]
+        return tree
+
+
+def graft(tree: Tree, node: int, below: Tree) -> None:
+    """Puts ``below`` in the place of a leaf."""
+    name = {0: node}
+    tree.value[node] = below.value[0]
+    for i, f in enumerate(below.feature):  # parents come before their children
+        if f >= 0:
+            pair = tree.split(name[i], f, below.cut[i])
+            for child, made in zip((below.left[i], below.right[i]), pair, strict=True):
+                name[child] = made
+                tree.value[made] = below.value[child]
+
+
 @dataclass
 class SurvivalForest(HorizonModel):
-    """Each split maximises the log-rank score of its two sides under the node's own hazard.
+    """Each split maximises the log-rank statistic of its two sides.
 
-    The numerator is the observed minus expected hits of the left side, summed from
-    residuals; times are binned (64 hit-time quantiles plus the horizons).
+    Times are binned (``time_bins`` hit-time quantiles plus the horizons), features too.
+    Nodes of many rows are split from histograms of hits and rows at risk over (node,
+    feature, bin, time) that tasks add up; a node of at most ``NODE_ROWS`` rows goes to one
+    task with its rows and is grown there to the end by the same statistic. Without
+    ``max_depth`` only the minimum sizes stop a tree.
     """
 
     n_estimators: int = 100
@@ -50,11 +173,6 @@ class SurvivalForest(HorizonModel):
     edges: list[list[float]] = field(default_factory=list)
     trees: list[Tree] = field(default_factory=list)
 
-    # "Unlimited" depth: features have at most max_bins values, so nodes this deep are
-    # either pure in the binned features or stopped by the minimum sizes on all but
-    # very large data, where they keep their leaf estimate.
-    DEPTH_LIMIT = 16
-
     def fit(self, df: DataFrame, features: list[str] | None = None) -> SurvivalForest:
         fitted = self._fit_slots(df, default_features(df, features), [-1], None)[-1]
         self.__dict__.update(fitted.__dict__)
@@ -64,80 +182,22 @@ class SurvivalForest(HorizonModel):
         return self._fit_slots(df, default_features(df, features), folds, fold_col)
 
     def _fit_slots(self, df, features, folds, fold_col) -> dict[int, SurvivalForest]:
-        binning = Binning(features).fit(df, self.max_bins)
-        cuts = time_cuts(df, self.time_bins)
-        nt, p = len(cuts) + 1, len(features)
         fold_sql = f"`{fold_col}`" if fold_col else "-2"
-        table = training_table(
-            df, binning, {"t": f"`{TIME}`", "e": f"`{EVENT}`", "fold": fold_sql}, 1
+        bins = FoldBins.fit(df, features, folds, fold_sql, self.max_bins)
+        times = time_edges(df, self.time_bins, folds, fold_sql)
+        table = training_table(df, bins, {"t": f"`{TIME}`", "e": f"`{EVENT}`", "fold": fold_sql}, 1)
+        rules = Leaves(
+            len(features), bins.bins, times, self.min_samples_split, self.min_samples_leaf, self.max_depth
         )
-        slots = [(f, self.seed * 7919 + i) for f in folds for i in range(self.n_estimators)]
-        rng = np.random.default_rng(self.seed)
-        trees = [Tree() for _ in slots]
-        active = [[0] for _ in slots]
-        rules = SplitRules(0.0, self.min_samples_leaf, self.min_samples_split)
-        mtry = max(1, int(math.sqrt(p)))
-
-        def weights(rows: Rows, s: int) -> np.ndarray:
-            fold, seed = slots[s]
-            return poisson_weight(rows.ids, seed) * (rows.extra["fold"] != fold)
-
-        def node_times(nodes: list[list[int]]) -> list[np.ndarray]:
-            """(nodes, 2, time bins): weighted hits and weighted rows."""
-            def fn(rows: Rows, s: int, k: np.ndarray, n: int) -> np.ndarray:
-                keep = k >= 0
-                tb = np.searchsorted(cuts, rows.extra["t"][keep], "left")
-                w, cell = weights(rows, s)[keep], k[keep] * 2 * nt + tb
-                hits = np.bincount(cell, weights=w * rows.extra["e"][keep], minlength=n * 2 * nt)
-                return hits + np.bincount(cell + nt, weights=w, minlength=n * 2 * nt)
-
-            sums = per_node_sums(table, trees, nodes, 2 * nt, fn)
-            return [x.reshape(-1, 2, nt) for x in sums]
-
-        limit = self.max_depth or self.DEPTH_LIMIT
-        for _ in range(limit):
-            if not any(active):
-                break
-            hazards = []
-            for counts in node_times(active):
-                at_risk = np.cumsum(counts[:, 1, ::-1], axis=1)[:, ::-1]
-                step = np.divide(counts[:, 0], at_risk, out=np.zeros_like(at_risk), where=at_risk > 0)
-                hazards.append(np.cumsum(step, axis=1))
-
-            def residuals(rows: Rows, s: int, hazards=hazards, active=active):
-                position = np.full(len(trees[s].feature), 0)
-                position[active[s]] = np.arange(len(active[s]))
-                k = position[trees[s].leaf_of(rows.bins)]
-                tb = np.searchsorted(cuts, rows.extra["t"], "left")
-                w = weights(rows, s)
-                return (rows.extra["e"] - hazards[s][k, tb]) * w, w, w
-
-            hists = level_histograms(table, residuals, trees, active, binning.bins)
-            following = []
-            for s, nodes in enumerate(active):
-                grown: list[int] = []
-                for i, node in enumerate(nodes):
-                    mask = np.zeros(p, dtype=bool)
-                    mask[rng.choice(p, mtry, replace=False)] = True
-                    grown += grow_level(trees[s], [node], hists[s][i : i + 1], rules, mask)
-                following.append(grown)
-            active = following
-        leaves = [t.leaves() for t in trees]
-        at_h = [int(np.searchsorted(cuts, float(h), "left")) for h in HORIZONS]
-        for s, counts in enumerate(node_times(leaves)):
-            at_risk = np.cumsum(counts[:, 1, ::-1], axis=1)[:, ::-1]
-            ratio = np.divide(counts[:, 0], at_risk, out=np.zeros_like(at_risk), where=at_risk > 0)
-            surv = np.cumprod(1.0 - np.minimum(ratio, 1.0), axis=1)[:, at_h]
-            values = np.ones((len(trees[s].feature), len(HORIZONS)))
-            values[leaves[s]] = surv
-            trees[s].value = list(values)
+        slots = [(i, self.seed * 7919 + k) for i in range(len(folds)) for k in range(self.n_estimators)]
+        trees = _grow(table, folds, slots, rules)
         table.df.unpersist()
         keep = ("n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "seed", "max_bins", "time_bins")
         settings = {k: getattr(self, k) for k in keep}
         n = self.n_estimators
         return {
             f: SurvivalForest(
-                **settings, features=features, edges=[e.tolist() for e in binning.edges],
+                **settings, features=features, edges=[e.tolist() for e in bins.parts[i].edges],
                 trees=trees[i * n : (i + 1) * n],
             )
             for i, f in enumerate(folds)
@@ -145,13 +205,14 @@ class SurvivalForest(HorizonModel):
 
     def predict(self, df: DataFrame) -> DataFrame:
         binning = Binning(self.features, [np.array(e) for e in self.edges])
-        trees = self.trees
+        # one value matrix per tree, made once per task and not per batch
+        trees = [(t, np.asarray(t.value, dtype=float)) for t in self.trees]
 
         def fn(x: np.ndarray) -> np.ndarray:
             bins = binning.encode(x)
             total = np.zeros((len(x), len(HORIZONS)))
-            for t in trees:
-                total += np.asarray(t.value, dtype=float)[t.leaf_of(bins)]
+            for t, value in trees:
+                total += value[t.leaf_of(bins)]
             return 1.0 - total / len(trees)
 
         return with_probabilities(df, self.features, fn)
@@ -166,3 +227,144 @@ class SurvivalForest(HorizonModel):
         d = json.loads(text)
         d["trees"] = [Tree.from_dict(t) for t in d["trees"]]
         return SurvivalForest(**d)
+
+
+Slot = tuple[int, int]
+
+
+def _weights(rows: Rows, slot: Slot, folds: list[int]) -> np.ndarray:
+    return poisson_weight(rows.ids, slot[1]) * (rows.extra["fold"] != folds[slot[0]])
+
+
+def _grow(table: TrainingTable, folds: list[int], slots: list[Slot], rules: Leaves) -> list[Tree]:
+    trees = [Tree() for _ in slots]
+    keys = [{0: 1} for _ in slots]
+    sizes = _node_rows(table, folds, slots)
+    small = [(s, 0) for s, n in enumerate(sizes) if n <= NODE_ROWS]
+    big = [(s, 0) for s, n in enumerate(sizes) if n > NODE_ROWS]
+    depth = 0
+    while big:
+        ready = big
+        big = []
+        for part in _chunks(ready, rules):
+            for (s, n), found in zip(part, _split_big(table, folds, slots, trees, keys, part, rules), strict=True):
+                trees[s].value[n] = found[5:]
+                if found[0] <= EPS or (rules.max_depth is not None and depth >= rules.max_depth):
+                    continue
+                a, b = trees[s].split(n, int(found[1]), int(found[2]))
+                keys[s][a], keys[s][b] = children(keys[s][n])
+                for child, size in ((a, found[3]), (b, found[4])):
+                    (small if size <= NODE_ROWS else big).append((s, child))
+        depth += 1
+    for s, n, below in _finish_small(table, folds, slots, trees, keys, small, rules):
+        graft(trees[s], n, below)
+    for t in trees:
+        t.value = [np.asarray(v, dtype=float) if np.ndim(v) else np.ones(len(HORIZONS)) for v in t.value]
+    return trees
+
+
+def _node_rows(table: TrainingTable, folds: list[int], slots: list[Slot]) -> np.ndarray:
+    """Weighted rows of every tree's root."""
+
+    def fn(rows: Rows) -> np.ndarray:
+        return np.array([_weights(rows, x, folds).sum() for x in slots])
+
+    return summed(table, fn, len(slots), 1)[:, 0]
+
+
+def _chunks(nodes: list[tuple[int, int]], rules: Leaves) -> Iterator[list[tuple[int, int]]]:
+    cells = max(1, int(math.sqrt(rules.p))) * rules.bins * (max(map(len, rules.times)) + 1) * 2
+    room = max(1, JOB_CELLS // cells)
+    for i in range(0, len(nodes), room):
+        yield nodes[i : i + room]
+
+
+def _split_big(table, folds, slots, trees, keys, nodes, rules: Leaves) -> np.ndarray:
+    """Per node: statistic, feature, cut, rows left and right, survival at the horizons."""
+    b, nt = rules.bins, max(map(len, rules.times)) + 1
+    picked = np.stack([rules.picked(slots[s][1], keys[s][n]) for s, n in nodes])
+    m = picked.shape[1]
+    by_slot: dict[int, list[tuple[int, int]]] = {}
+    for i, (s, n) in enumerate(nodes):
+        by_slot.setdefault(s, []).append((i, n))
+
+    def count(rows: Rows) -> np.ndarray:
+        out = np.zeros((len(nodes), m, b * nt * 2))
+        for s, places in by_slot.items():
+            fold = slots[s][0]
+            bins, w = rows.bins(fold), _weights(rows, slots[s], folds)
+            tb = np.searchsorted(rules.times[fold], rows.extra["t"], "left")
+            leaf = trees[s].leaf_of(bins)
+            for i, n in places:
+                r = np.flatnonzero((leaf == n) & (w > 0))
+                for j, f in enumerate(picked[i]):
+                    cell = (bins[r, f].astype(np.int64) * nt + tb[r]) * 2
+                    out[i, j] += np.bincount(cell, weights=w[r] * rows.extra["e"][r], minlength=b * nt * 2)
+                    out[i, j] += np.bincount(cell + 1, weights=w[r], minlength=b * nt * 2)
+        return out
+
+    def choose(which: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), 5 + len(HORIZONS)))
+        for row, (key, cells) in enumerate(zip(which, sums, strict=True)):
+            s = nodes[key // m][0]
+            h = cells.reshape(b, nt, 2)
+            at_risk = np.cumsum(h[:, ::-1, 1], axis=1)[:, ::-1]
+            hits, risk = h[:, :, 0].sum(axis=0), at_risk.sum(axis=0)
+            n_left = np.cumsum(h[:, :, 1].sum(axis=1))[:-1]
+            n = h[:, :, 1].sum()
+            score = logrank(np.cumsum(h[:, :, 0], axis=0)[:-1], np.cumsum(at_risk, axis=0)[:-1], hits, risk)
+            score[(n_left < rules.min_leaf) | (n - n_left < rules.min_leaf)] = 0.0
+            if n < rules.min_split:
+                score[:] = 0.0
+            cut = int(leading(score))
+            out[row, :5] = score[cut], picked[key // m, key % m], cut, n_left[cut], n - n_left[cut]
+            out[row, 5:] = survival_at(hits, risk, rules.horizons(slots[s][0]))
+        return out
+
+    got = summed(table, count, len(nodes) * m, b * nt * 2, choose, 5 + len(HORIZONS))
+    got = got.reshape(len(nodes), m, -1)
+    return got[np.arange(len(nodes)), leading(got[:, :, 0])]
+
+
+def _finish_small(table, folds, slots, trees, keys, nodes, rules: Leaves):
+    """(slot, node, subtree): each node's rows meet in one task, bounded by ``NODE_ROWS``."""
+    if not nodes:
+        return
+    by_slot: dict[int, list[tuple[int, int]]] = {}
+    for i, (s, n) in enumerate(nodes):
+        by_slot.setdefault(s, []).append((i, n))
+    decode, p = table.decode(), rules.p
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = decode(b)
+            for s, places in by_slot.items():
+                fold = slots[s][0]
+                bins, w = rows.bins(fold), _weights(rows, slots[s], folds)
+                at = np.full(len(trees[s].feature), -1)
+                at[[n for _, n in places]] = [i for i, _ in places]
+                to = at[trees[s].leaf_of(bins)]
+                r = np.flatnonzero((to >= 0) & (w > 0))
+                if len(r):
+                    tb = np.searchsorted(rules.times[fold], rows.extra["t"][r], "left")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(to[r]), _binary(bins[r]), pa.array(w[r]), pa.array(tb), pa.array(rows.extra["e"][r])],
+                        names=["node", "x", "w", "tb", "e"],
+                    )
+
+    depths = {i: trees[s].depth[n] for i, (s, n) in enumerate(nodes)}
+    seeds = {i: keys[s][n] for i, (s, n) in enumerate(nodes)}
+
+    def grow(group: pa.Table) -> pa.Table:
+        i = group.column("node")[0].as_py()
+        fold, seed = slots[nodes[i][0]]
+        bins = _fixed(group.column("x"), np.uint8, p)
+        w, tb, e = (group.column(c).to_numpy() for c in ("w", "tb", "e"))
+        tree = rules.subtree(bins, w, tb, e, fold, seed, seeds[i], depths[i])
+        return pa.table({"node": pa.array([i]), "tree": pa.array([json.dumps(tree.to_dict())])})
+
+    dealt = table.df.mapInArrow(deal, "node long, x binary, w double, tb long, e double")
+    done = dealt.groupBy("node").applyInArrow(grow, "node long, tree string")
+    for b in done.toArrow().to_batches():
+        for i, text in zip(b.column("node").to_pylist(), b.column("tree").to_pylist(), strict=True):
+            yield *nodes[i], Tree.from_dict(json.loads(text))
