@@ -16,6 +16,7 @@ from durata.models.base import HorizonModel, default_features, with_probabilitie
 from durata.models.trees import (
     MAX_BINS,
     Binning,
+    FlatTree,
     FoldBins,
     Grower,
     Rows,
@@ -26,7 +27,6 @@ from durata.models.trees import (
     hash_uniform,
     summed,
     training_table,
-    tree_sum,
 )
 from durata.session import cut_lineage
 
@@ -39,29 +39,46 @@ def monotone_vector(features: list[str], overrides: dict[str, int] | None = None
     return [int(signs.get(f, 0)) for f in features]
 
 
-def _refresh(
-    table: TrainingTable, pending: list[list[Tree]], rate: float, fold_of: list[int]
-) -> TrainingTable:
-    """Fold the pending trees into the stored margins and cut the lineage."""
-    decode = table.decode()
-    names = table.df.columns
-
-    def run(batches):
-        for b in batches:
-            rows = decode(b)
-            margin = rows.margin.copy()
-            for s, trees in enumerate(pending):
-                margin[:, s] += rate * tree_sum(trees, rows.bins(fold_of[s]))
-            arrays = [b.column(n) for n in names[:-1]] + [_binary(margin)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    fresh = cut_lineage(table.df.mapInArrow(run, table.df.schema))
-    table.df.unpersist()
-    return TrainingTable(fresh, table.bins, table.extras, table.slots, table.partitions)
+class Margins:
+    """The training table with the margins of all finished rounds.
 
+    Each round's trees are added once and the rows kept in memory, so the passes of a round
+    read their margins; every ``REFRESH`` rounds a reliable checkpoint cuts the lineage.
+    """
 
-def _current(rows: Rows, slot: int, pending: list[list[Tree]], rate: float, fold: int) -> np.ndarray:
-    return rows.margin[:, slot] + rate * tree_sum(pending[slot], rows.bins(fold))
+    def __init__(self, table: TrainingTable, rate: float, fold_of: list[int]) -> None:
+        self.table, self.rate, self.fold_of, self.rounds = table, rate, fold_of, 0
+        self.old: list[DataFrame] = []
+
+    def add(self, grown: list[Tree]) -> None:
+        table, rate, fold_of = self.table, self.rate, self.fold_of
+        decode, names = table.decode(), table.df.columns
+        flat = [FlatTree(t) for t in grown]
+
+        def run(batches):
+            for b in batches:
+                rows = decode(b)
+                margin = rows.margin.copy()
+                for s, tree in enumerate(flat):
+                    margin[:, s] += rate * tree.values(rows.bins(fold_of[s]))
+                yield pa.RecordBatch.from_arrays([b.column(n) for n in names[:-1]] + [_binary(margin)], names=names)
+
+        self.release()
+        self.rounds += 1
+        fresh = table.df.mapInArrow(run, table.df.schema)
+        fresh = cut_lineage(fresh) if self.rounds % REFRESH == 0 else fresh.persist()
+        self.old.append(table.df)
+        self.table = TrainingTable(fresh, table.bins, table.extras, table.slots, table.partitions)
+
+    def release(self) -> None:
+        """Frees the tables before the present one; call when the present one has been read."""
+        for df in self.old:
+            df.unpersist()
+        self.old.clear()
+
+    def close(self) -> None:
+        self.release()
+        self.table.df.unpersist()
 
 
 @dataclass
@@ -132,15 +149,14 @@ class BoostedHorizons(HorizonModel):
         # one stream per fold, so that a fold's model is what a fit on its rows alone gives
         rngs = [np.random.default_rng(self.seed) for _ in folds]
         done: list[list[Tree]] = [[] for _ in slots]
-        pending: list[list[Tree]] = [[] for _ in slots]
+        state, sub = Margins(table, self.learning_rate, fold_of), self.subsample
         for r in range(self.n_estimators):
-            snapshot = [list(p) for p in pending]
-            lr, sub, seed = self.learning_rate, self.subsample, self.seed * 1_000_003 + r
+            seed = self.seed * 1_000_003 + r
 
-            def gradients(rows: Rows, s: int, snapshot=snapshot, seed=seed):
+            def gradients(rows: Rows, s: int, seed=seed):
                 fold, h = slots[s]
                 y = rows.extra[f"y{h}"]
-                p = 1.0 / (1.0 + np.exp(-_current(rows, s, snapshot, lr, fold_of[s])))
+                p = 1.0 / (1.0 + np.exp(-rows.margin[:, s]))
                 w = (rows.extra["fold"] != fold).astype(float)
                 if sub < 1.0:
                     w *= hash_uniform(rows.ids, seed) < sub
@@ -152,14 +168,12 @@ class BoostedHorizons(HorizonModel):
                 take = max(1, round(self.colsample * len(features)))
                 mask[rngs[fold_of[s]].choice(len(features), take, replace=False)] = True
                 allowed.append(mask)
-            grown = Grower(table, gradients, fold_of, rules, allowed).grow()
+            grown = Grower(state.table, gradients, fold_of, rules, allowed).grow()
             for s, t in enumerate(grown):
                 done[s].append(t)
-                pending[s].append(t)
-            if (r + 1) % REFRESH == 0 and r + 1 < self.n_estimators:
-                table = _refresh(table, pending, self.learning_rate, fold_of)
-                pending = [[] for _ in slots]
-        table.df.unpersist()
+            if r + 1 < self.n_estimators:
+                state.add(grown)
+        state.close()
         out = {}
         for i, f in enumerate(folds):
             part = slice(i * len(HORIZONS), (i + 1) * len(HORIZONS))
@@ -171,11 +185,11 @@ class BoostedHorizons(HorizonModel):
 
     def predict(self, df: DataFrame) -> DataFrame:
         binning = Binning(self.features, [np.array(e) for e in self.edges])
-        trees, base, lr = self.trees, self.base, self.learning_rate
+        trees, base, lr = [[FlatTree(t) for t in ts] for ts in self.trees], self.base, self.learning_rate
 
         def fn(x: np.ndarray) -> np.ndarray:
             bins = binning.encode(x)
-            f = np.column_stack([base[k] + lr * tree_sum(trees[k], bins) for k in range(len(base))])
+            f = np.column_stack([base[k] + lr * sum(t.values(bins) for t in trees[k]) + np.zeros(len(x)) for k in range(len(base))])
             return 1.0 / (1.0 + np.exp(-f))
 
         return with_probabilities(df, self.features, fn)
@@ -232,49 +246,48 @@ class RiskScan:
     """
 
     folds: list[int]
-    rate: float
     after: np.ndarray
     tied_before: np.ndarray
     tied_hits: np.ndarray
     hazard_before: np.ndarray
 
-    def _local(self, rows: Rows, s: int, pending: list[list[Tree]]):
+    def _local(self, rows: Rows, s: int):
         """Relative risk, weighted relative risk and hits, first and last place of equal times."""
         t = rows.extra["t"]
         w = (rows.extra["fold"] != self.folds[s]).astype(float)
-        relative = np.exp(_current(rows, s, pending, self.rate, s))
+        relative = np.exp(rows.margin[:, s])
         return relative, relative * w, rows.extra["e"] * w, np.searchsorted(t, t, "left"), np.searchsorted(t, t, "right")
 
-    def increments(self, rows: Rows, s: int, pending: list[list[Tree]]):
+    def increments(self, rows: Rows, s: int):
         """Per row: relative risk, at-risk sum of its time, hazard that its hit adds, last place."""
         part, t = int(rows.extra["part"][0]), rows.extra["t"]
-        relative, r, hits, first, last = self._local(rows, s, pending)
+        relative, r, hits, first, last = self._local(rows, s)
         before = np.concatenate([[0.0], np.cumsum(r)])
         at_risk = self.after[part, s] + before[-1] - before[first]
         at_risk += np.where(t == t[0], self.tied_before[part, s], 0.0)
         step = np.divide(hits, at_risk, out=np.zeros_like(hits), where=at_risk > 0)
         return relative, at_risk, step, last
 
-    def cumulative(self, rows: Rows, s: int, pending: list[list[Tree]]) -> tuple[np.ndarray, np.ndarray]:
+    def cumulative(self, rows: Rows, s: int) -> tuple[np.ndarray, np.ndarray]:
         """Relative risk and cumulative hazard at every row's time."""
         part, t = int(rows.extra["part"][0]), rows.extra["t"]
-        relative, at_risk, step, last = self.increments(rows, s, pending)
+        relative, at_risk, step, last = self.increments(rows, s)
         total = self.hazard_before[part, s] + np.cumsum(step)[last - 1]
         late = np.divide(self.tied_hits[part, s], at_risk, out=np.zeros_like(at_risk), where=at_risk > 0)
         return relative, total + np.where(t == t[-1], late, 0.0)
 
     @staticmethod
-    def over(table: TrainingTable, folds: list[int], rate: float, pending: list[list[Tree]]) -> RiskScan:
+    def over(table: TrainingTable, folds: list[int]) -> RiskScan:
         n, ns = table.partitions, len(folds)
         zero = np.zeros((n, ns))
-        scan = RiskScan(folds, rate, zero, zero, zero, zero)
+        scan = RiskScan(folds, zero, zero, zero, zero)
 
         def edges(rows: Rows) -> np.ndarray:
             out = np.zeros((n, 3 + 4 * ns))
             part, t = int(rows.extra["part"][0]), rows.extra["t"]
             out[part, :3] = 1.0, t[0], t[-1]
             for s in range(ns):
-                _, r, hits, _, _ = scan._local(rows, s, pending)
+                _, r, hits, _, _ = scan._local(rows, s)
                 low, high = t == t[0], t == t[-1]
                 out[part, 3 + 4 * s : 7 + 4 * s] = r.sum(), r[low].sum(), r[high].sum(), hits[low].sum()
             return out
@@ -291,26 +304,26 @@ class RiskScan:
         place = np.arange(len(used))
         tied[used] = ends[place] - ends[np.minimum(np.searchsorted(high, low, "left"), place)]
         later[used] = starts[np.maximum(np.searchsorted(low, high, "right"), place + 1)] - starts[place + 1]
-        scan = RiskScan(folds, rate, after, tied, later, zero)
+        scan = RiskScan(folds, after, tied, later, zero)
 
         def hazards(rows: Rows) -> np.ndarray:
             out = np.zeros((n, ns))
             for s in range(ns):
-                out[int(rows.extra["part"][0]), s] = scan.increments(rows, s, pending)[2].sum()
+                out[int(rows.extra["part"][0]), s] = scan.increments(rows, s)[2].sum()
             return out
 
         got = summed(table, hazards, n, ns, whole=True)
         scan.hazard_before = np.cumsum(got, axis=0) - got
         return scan
 
-    def at(self, table: TrainingTable, pending: list[list[Tree]], times: tuple[int, ...]) -> np.ndarray:
+    def at(self, table: TrainingTable, times: tuple[int, ...]) -> np.ndarray:
         """(slots, times): cumulative hazard at fixed times."""
         ns = len(self.folds)
 
         def fn(rows: Rows) -> np.ndarray:
             out = np.zeros((ns, len(times)))
             for s in range(ns):
-                step = self.increments(rows, s, pending)[2]
+                step = self.increments(rows, s)[2]
                 out[s] = [step[rows.extra["t"] <= h].sum() for h in times]
             return out
 
@@ -362,31 +375,27 @@ class BoostedSurvival(HorizonModel):
         rules = SplitRules(
             0.0, self.min_samples_leaf, self.min_samples_split, None, "depth", self.max_depth
         )
-        lr, sub, fold_of = self.learning_rate, self.subsample, list(range(ns))
+        sub, fold_of = self.subsample, list(range(ns))
         done: list[list[Tree]] = [[] for _ in folds]
-        pending: list[list[Tree]] = [[] for _ in folds]
+        state = Margins(table, self.learning_rate, fold_of)
         allowed = [np.ones(len(features), dtype=bool)] * ns
         for r in range(self.n_estimators):
-            snapshot = [list(p) for p in pending]
-            scan = RiskScan.over(table, folds, lr, snapshot)
+            scan = RiskScan.over(state.table, folds)
             seed = self.seed * 1_000_003 + r
 
-            def gradients(rows: Rows, s: int, snapshot=snapshot, scan=scan, seed=seed):
-                relative, hazard = scan.cumulative(rows, s, snapshot)
+            def gradients(rows: Rows, s: int, scan=scan, seed=seed):
+                relative, hazard = scan.cumulative(rows, s)
                 w = (rows.extra["fold"] != folds[s]).astype(float)
                 if sub < 1.0:
                     w *= hash_uniform(rows.ids, seed) < sub
                 return -(rows.extra["e"] - relative * hazard) * w, w, w
 
-            grown = Grower(table, gradients, fold_of, rules, allowed, whole=True).grow()
+            grown = Grower(state.table, gradients, fold_of, rules, allowed, whole=True).grow()
             for s, t in enumerate(grown):
                 done[s].append(t)
-                pending[s].append(t)
-            if (r + 1) % REFRESH == 0 and r + 1 < self.n_estimators:
-                table = _refresh(table, pending, lr, fold_of)
-                pending = [[] for _ in folds]
-        hazard = RiskScan.over(table, folds, lr, pending).at(table, pending, HORIZONS)
-        table.df.unpersist()
+            state.add(grown)
+        hazard = RiskScan.over(state.table, folds).at(state.table, HORIZONS)
+        state.close()
         return {
             f: BoostedSurvival(
                 **self._settings(), features=features, edges=[e.tolist() for e in bins.parts[i].edges],
@@ -397,10 +406,11 @@ class BoostedSurvival(HorizonModel):
 
     def predict(self, df: DataFrame) -> DataFrame:
         binning = Binning(self.features, [np.array(e) for e in self.edges])
-        trees, lr, hazard = self.trees, self.learning_rate, np.array(self.hazard)
+        trees, lr, hazard = [FlatTree(t) for t in self.trees], self.learning_rate, np.array(self.hazard)
 
         def fn(x: np.ndarray) -> np.ndarray:
-            relative = np.exp(lr * tree_sum(trees, binning.encode(x)))
+            bins = binning.encode(x)
+            relative = np.exp(lr * sum(t.values(bins) for t in trees) + np.zeros(len(x)))
             return 1.0 - np.exp(-relative[:, None] * hazard[None, :])
 
         return with_probabilities(df, self.features, fn)

@@ -19,6 +19,7 @@ from durata.models.trees import (
     JOB_CELLS,
     SKETCH,
     Binning,
+    FlatTree,
     FoldBins,
     Rows,
     TrainingTable,
@@ -205,14 +206,13 @@ class SurvivalForest(HorizonModel):
 
     def predict(self, df: DataFrame) -> DataFrame:
         binning = Binning(self.features, [np.array(e) for e in self.edges])
-        # one value matrix per tree, made once per task and not per batch
-        trees = [(t, np.asarray(t.value, dtype=float)) for t in self.trees]
+        trees = [FlatTree(t) for t in self.trees]
 
         def fn(x: np.ndarray) -> np.ndarray:
             bins = binning.encode(x)
             total = np.zeros((len(x), len(HORIZONS)))
-            for t, value in trees:
-                total += value[t.leaf_of(bins)]
+            for t in trees:
+                total += t.values(bins)
             return 1.0 - total / len(trees)
 
         return with_probabilities(df, self.features, fn)

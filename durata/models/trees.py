@@ -150,6 +150,26 @@ class Tree:
         return Tree(d["feature"], d["cut"], d["left"], d["right"], d["value"], [], d["depth"], [])
 
 
+class FlatTree:
+    """A finished tree as arrays: what prediction ships to the tasks."""
+
+    def __init__(self, tree: Tree) -> None:
+        self.feature, self.cut = np.array(tree.feature, np.int32), np.array(tree.cut, np.uint8)
+        self.left, self.right = np.array(tree.left, np.int32), np.array(tree.right, np.int32)
+        self.value = np.asarray(tree.value, dtype=float)
+
+    def values(self, bins: np.ndarray) -> np.ndarray:
+        """Leaf value of every row; rows that have arrived are not looked at again."""
+        node = np.zeros(len(bins), dtype=np.int32)
+        on = np.arange(len(bins)) if self.feature[0] >= 0 else np.zeros(0, dtype=np.int64)
+        while len(on):
+            at = node[on]
+            low = bins[on, self.feature[at]] <= self.cut[at]
+            node[on] = np.where(low, self.left[at], self.right[at])
+            on = on[self.feature[node[on]] >= 0]
+        return self.value[node]
+
+
 def hash_uniform(ids: np.ndarray, seed: int) -> np.ndarray:
     """Uniform in [0, 1) from the id and a seed (splitmix64 finaliser)."""
     mask = 0xFFFFFFFFFFFFFFFF
@@ -606,10 +626,3 @@ class Grower:
         if self.rules.growth == "leaf":
             return [self._pruned(s) for s in range(len(self.trees))]
         return self.trees
-
-
-def tree_sum(trees: list[Tree], bins: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(bins))
-    for t in trees:
-        out += np.array(t.value, dtype=float)[t.leaf_of(bins)]
-    return out
