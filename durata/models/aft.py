@@ -18,6 +18,7 @@ from durata.constants import EVENT, HORIZONS, TIME
 from durata.functions.impute import MedianImputer, Standardizer
 from durata.functions.labels import positive_time
 from durata.models.base import HorizonModel, default_features, with_probabilities
+from durata.models.newton import minimise, stationarity
 from durata.operators.partials import partition_sums
 
 
@@ -53,8 +54,9 @@ def normal_upper(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _weibull_terms(w: np.ndarray, e: np.ndarray, sigma: float):
     """Log-likelihood with first and second derivatives in (location, log scale)."""
-    w = np.clip(w, -500, 50)
-    ew = np.exp(w)
+    # far below, exp(w) is zero anyway; far above, the value is infinite and the step is cut
+    with np.errstate(over="ignore"):
+        ew = np.exp(w)
     ll = e * (w - math.log(sigma)) - ew
     g_mu, g_s = (ew - e) / sigma, w * ew - e * (w + 1)
     h_mm, h_ms = -ew / sigma**2, (e - ew * (1 + w)) / sigma
@@ -75,7 +77,8 @@ def _lognormal_terms(w: np.ndarray, e: np.ndarray, sigma: float):
 
 @dataclass
 class AFTModel(HorizonModel):
-    """log T = intercept + z.beta + sigma * error; ridge penalty on beta only."""
+    """log T = intercept + z.beta + sigma * error; the penalty, split between squares and
+    absolute values by ``l1_ratio``, is on beta only."""
 
     distribution: str = "weibull"
     penalizer: float = 0.01
@@ -87,6 +90,8 @@ class AFTModel(HorizonModel):
     scale: list[float] = field(default_factory=list)
     params: list[float] = field(default_factory=list)
     gradient_norm: float = float("nan")
+    l1_ratio: float = 0.0
+    evaluations: int = 0
 
     def fit(self, df: DataFrame, features: list[str] | None = None) -> AFTModel:
         self.features = default_features(df, features)
@@ -106,30 +111,13 @@ class AFTModel(HorizonModel):
         q = len(self.features) + 2
         theta = np.zeros(q)
         theta[0], theta[-1] = mean_log + 0.5, math.log(max(spread or 1.0, 1e-3))
-        value, grad, hess = self._evaluate(rows, theta, n)
-        for _ in range(self.max_iter):
-            if np.abs(grad).max() < self.tol:
-                break
-            ridge = 0.0
-            while True:
-                try:
-                    np.linalg.cholesky(hess + ridge * np.eye(q))
-                    break
-                except np.linalg.LinAlgError:
-                    ridge = max(2 * ridge, 1e-6 * (1 + np.abs(np.diag(hess)).max()))
-            step = -np.linalg.solve(hess + ridge * np.eye(q), grad)
-            size = min(1.0, 3.0 / max(np.abs(step).max(), 1e-12))
-            for _ in range(25):
-                trial = theta + size * step
-                got = self._evaluate(rows, trial, n)
-                if np.isfinite(got[0]) and got[0] <= value + 1e-4 * size * float(grad @ step):
-                    break
-                size /= 2
-            else:
-                break
-            theta, (value, grad, hess) = trial, got
+        l1 = np.zeros(q)
+        l1[1:-1] = self.penalizer * self.l1_ratio
+        theta, (_, grad, _), self.evaluations = minimise(
+            lambda x: self._evaluate(rows, x, n), theta, l1, self.max_iter, self.tol, 3.0
+        )
         rows.unpersist()
-        self.params, self.gradient_norm = theta.tolist(), float(np.abs(grad).max())
+        self.params, self.gradient_norm = theta.tolist(), stationarity(theta, grad, l1)
         return self
 
     def _evaluate(self, rows: DataFrame, theta: np.ndarray, n: int):
@@ -150,7 +138,7 @@ class AFTModel(HorizonModel):
 
         out = partition_sums(rows, fn, 1 + q + q * q)
         ridge = np.zeros(q)
-        ridge[1:-1] = self.penalizer
+        ridge[1:-1] = self.penalizer * (1 - self.l1_ratio)
         value = -out[0] / n + 0.5 * float((ridge * theta * theta).sum())
         grad = -out[1 : 1 + q] / n + ridge * theta
         return value, grad, -out[1 + q :].reshape(q, q) / n + np.diag(ridge)
@@ -178,9 +166,9 @@ class AFTModel(HorizonModel):
         return AFTModel(**json.loads(text))
 
 
-def weibull_model(penalizer: float = 0.01) -> AFTModel:
-    return AFTModel("weibull", penalizer)
+def weibull_model(penalizer: float = 0.01, l1_ratio: float = 0.0) -> AFTModel:
+    return AFTModel("weibull", penalizer, l1_ratio=l1_ratio)
 
 
-def lognormal_model(penalizer: float = 0.01) -> AFTModel:
-    return AFTModel("lognormal", penalizer)
+def lognormal_model(penalizer: float = 0.01, l1_ratio: float = 0.0) -> AFTModel:
+    return AFTModel("lognormal", penalizer, l1_ratio=l1_ratio)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,47 @@ from durata.functions.labels import horizon_label, scored_at
 from durata.models.base import FIT_THREADS
 from durata.operators.ensemble import members_wide
 
-EXACT_SCORES = 1_000_000
+
+def pooled_blocks(low: np.ndarray, high: np.ndarray, total: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Pool adjacent violators: neighbouring blocks merge until their means rise.
+
+    Blocks are given by first and last score, sum of labels and weight. Which neighbours
+    merge first does not matter, so blocks pooled from parts can be pooled again.
+    """
+    out: list[list[float]] = []
+    for block in zip(low.tolist(), high.tolist(), total.tolist(), weight.tolist(), strict=True):
+        a, b, y, w = block
+        while out and out[-1][2] * w >= y * out[-1][3]:
+            a, _, y0, w0 = out.pop()
+            y, w = y + y0, w + w0
+        out.append([a, b, y, w])
+    return list(np.array(out, dtype=float).reshape(-1, 4).T)
+
+
+def isotonic_knots(labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and fitted values at both ends of every block, from (score, y) rows.
+
+    Equal scores collapse first; scores are ranged over the partitions, each pools its own
+    range, and what is left is pooled once more. Exact for any number of scores.
+    """
+    points = labels.groupBy("score").agg(
+        F.sum(F.col("y").cast("double")).alias("total"), F.count("*").cast("double").alias("weight")
+    )
+    ranged = points.repartitionByRange("score").sortWithinPartitions("score")
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0)] * 4
+        for b in batches:
+            x, y, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("score", "total", "weight"))
+            kept = pooled_blocks(*[np.concatenate([k, v]) for k, v in zip(kept, (x, x, y, w), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(k) for k in kept], names=["low", "high", "total", "weight"])
+
+    blocks = ranged.mapInArrow(pool, "low double, high double, total double, weight double").toArrow()
+    found = [blocks.column(c).to_numpy() for c in ("low", "high", "total", "weight")]
+    order = np.argsort(found[0], kind="stable")
+    low, high, total, weight = pooled_blocks(*[x[order] for x in found])
+    value = total / weight
+    return np.column_stack([low, high]).ravel(), np.repeat(value, 2)
 
 
 @dataclass
@@ -88,9 +131,8 @@ class MetaLearner:
 class IsotonicCalibrator:
     """Isotonic regression per horizon on the rows whose status there is known.
 
-    A horizon with too few hits keeps its raw probabilities. Equal scores are pooled
-    before fitting; above a million distinct scores they are pooled on a 1e-6 grid so the
-    final pooling step stays bounded.
+    A horizon with too few hits keeps its raw probabilities. Between the fitted blocks
+    values are interpolated, beyond them they stay level.
     """
 
     min_events: int = 5
@@ -108,16 +150,7 @@ class IsotonicCalibrator:
             known = rows.filter(scored_at(h)).select(
                 F.col(f"prob_{h}h").cast("double").alias("score"), horizon_label(h).alias("y")
             )
-            pooled = known.groupBy("score").agg(
-                F.avg(F.col("y").cast("double")).alias("label"), F.count("*").cast("double").alias("w")
-            )
-            if pooled.count() > EXACT_SCORES:
-                pooled = known.groupBy(F.round("score", 6).alias("score")).agg(
-                    F.avg(F.col("y").cast("double")).alias("label"),
-                    F.count("*").cast("double").alias("w"),
-                )
-            iso = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="w")
-            self.models[h] = iso.fit(pooled)
+            self.models[h] = isotonic_knots(known.where("score is not null and not isnan(score)"))
         rows.unpersist()
         return self
 
@@ -130,10 +163,9 @@ class IsotonicCalibrator:
             m = self.models.get(h)
             if m is None:
                 continue
-            c = f"prob_{h}h"
-            m = m.copy()
-            m.setFeaturesCol(c).setPredictionCol("__iso")
-            out = m.transform(out).withColumn(c, F.col("__iso")).drop("__iso")
+            c, (x, y) = f"prob_{h}h", m
+            fitted = F.pandas_udf(lambda v, x=x, y=y: pd.Series(np.interp(v, x, y)), "double")
+            out = out.withColumn(c, fitted(F.col(c).cast("double")))
         return enforce_monotonicity(out.select(*names))
 
     def fit_transform(self, predictions: DataFrame, target: DataFrame | None = None) -> DataFrame:

@@ -285,3 +285,72 @@ def test_predictions_work_on_a_stream(spark, train):
     assert got.count() == 400
     diff = got.join(model.predict(train).select("event_id", F.col("prob_72h").alias("q")), "event_id")
     assert diff.agg(F.max(F.abs(F.col("prob_72h") - F.col("q")))).first()[0] < 1e-12
+
+
+@pytest.mark.parametrize("ratio", [0.0, 0.5, 1.0])
+def test_cox_penalty_mix_and_evaluations(train, ratio):
+    model = CoxModel(0.08, tol=1e-9, l1_ratio=ratio).fit(train, FEATURES)
+    assert model.evaluations <= 8
+    med, mean, scale = model.medians, np.array(model.mean), np.array(model.scale)
+    rows = []
+    for r in train.collect():
+        x = [r[c] if r[c] is not None else med[c] for c in FEATURES]
+        rows.append((*((np.array(x) - mean) / scale), r["time_to_hit_hours"], r["event"]))
+    beta = np.array(model.coef)
+    slope = efron(rows, beta)[1] / len(rows) - 0.08 * (1 - ratio) * beta
+    for b, g in zip(beta, slope, strict=True):
+        if b:
+            assert g == pytest.approx(0.08 * ratio * np.sign(b), abs=1e-6)
+        else:
+            assert abs(g) <= 0.08 * ratio + 1e-9
+    assert (beta == 0).any() == (ratio > 0)  # the noise feature goes
+
+
+def test_cox_with_one_hot_time(spark):
+    """Half of all rows, hits among them, share one time that spans several partitions."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        a, b = rng.gauss(0, 1), rng.gauss(0, 1)
+        t = 30.0 if i % 2 else float(rng.randrange(1, 70))
+        rows.append((i, a, b, t, int(rng.random() < 1 / (1 + math.exp(-a)))))
+    df = spark.createDataFrame(rows, "event_id long, a double, b double, time_to_hit_hours double, event long")
+    model = CoxModel(0.01, tol=1e-9).fit(df, ["a", "b"])
+    z = np.array([r[1:3] for r in rows])
+    z = (z - np.array(model.mean)) / np.array(model.scale)
+    ll, grad = efron([(*x, r[3], r[4]) for x, r in zip(z, rows, strict=True)], np.array(model.coef))
+    assert model.log_likelihood == pytest.approx(ll, rel=1e-10)
+    assert grad / len(rows) == pytest.approx(0.01 * np.array(model.coef), abs=1e-8)
+    # Breslow hazard by the double sum
+    t, e, r = np.array([x[3] for x in rows]), np.array([x[4] for x in rows]), np.exp(z @ np.array(model.coef))
+    for h, got in zip((12, 24, 48, 72), model.hazard, strict=True):
+        assert got == pytest.approx(sum(1 / r[t >= s].sum() for s, d in zip(t, e, strict=True) if d and s <= h))
+
+
+@pytest.mark.parametrize("make", [weibull_model, lognormal_model])
+def test_aft_l1_ratio(train, make):
+    """Optimum conditions from the ridge fit's own gradient; the noise feature goes."""
+    model = make(0.1, 1.0)
+    model.tol = 1e-9
+    model.fit(train, FEATURES)
+    assert model.gradient_norm < 1e-8
+    assert model.params[3] == 0 and model.params[1] != 0
+    ridge = make(0.1).fit(train, FEATURES)
+    assert ridge.params[3] != 0 and ridge.evaluations <= 15
+
+
+def test_isotonic_is_exact_over_partitions(spark):
+    """Min-max formula of isotonic regression, at every distinct score."""
+    rng = random.Random(8)
+    data = [(round(rng.random(), 2), int(rng.random() < 0.5)) for _ in range(700)]
+    df = spark.createDataFrame(data, "score double, y int").repartition(6)
+    from durata.models.stacking import isotonic_knots
+
+    x, y = isotonic_knots(df)
+    scores = sorted({s for s, _ in data})
+    total = np.array([sum(v for s, v in data if s == u) for u in scores])
+    count = np.array([sum(s == u for s, _ in data) for u in scores])
+    for i, u in enumerate(scores):
+        want = max(min(total[a : b + 1].sum() / count[a : b + 1].sum() for b in range(i, len(scores))) for a in range(i + 1))
+        assert np.interp(u, x, y) == pytest.approx(want)
+    assert list(x) == sorted(x) and list(y) == sorted(y)
