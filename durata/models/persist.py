@@ -1,10 +1,18 @@
-"""Saving and loading fitted models as a one-row Parquet table."""
+"""Saving and loading fitted models as Parquet tables.
+
+Parameters are one JSON row; the trees of forests and boosted models are a table of their
+own with one row per node, written and read tree by tree, so no value grows with a model.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from dataclasses import replace
+from itertools import chain, islice
 
-from pyspark.sql import SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 
 from durata.models.aft import AFTModel
 from durata.models.base import HorizonModel
@@ -13,6 +21,7 @@ from durata.models.cox import CoxModel
 from durata.models.forest import SurvivalForest
 from durata.models.marginal import KaplanMeierModel
 from durata.models.seeds import SeedEnsemble
+from durata.models.trees import Tree
 
 KINDS = {
     k.__name__: k
@@ -20,22 +29,78 @@ KINDS = {
 }
 
 
-def to_payload(model: HorizonModel) -> dict:
+NODES = (
+    "path string, slot int, tree int, node int, feature int, cut int, left int, right int, "
+    "depth int, value array<double>"
+)
+NODE_ROWS = 200_000  # rows of the node table that are written at once
+
+
+def _slots(model: HorizonModel) -> list[list[Tree]]:
+    """Trees per horizon, or one list."""
+    trees = model.trees
+    return trees if trees and isinstance(trees[0], list) else [trees]
+
+
+def to_payload(model: HorizonModel, path: str = "0") -> tuple[dict, list[tuple[str, HorizonModel]]]:
+    """Parameters without trees, and the tree models below ``path``."""
     if isinstance(model, SeedEnsemble):
-        return {"kind": "SeedEnsemble", "seeds": list(model.seeds), "features": model.features,
-                "models": [to_payload(m) for m in model.models]}
+        parts = [to_payload(m, f"{path}.{i}") for i, m in enumerate(model.models)]
+        body = {"kind": "SeedEnsemble", "seeds": list(model.seeds), "features": model.features,
+                "models": [p for p, _ in parts]}
+        return body, [x for _, more in parts for x in more]
     if isinstance(model, KaplanMeierModel):
-        return {"kind": "KaplanMeierModel", "body": json.dumps({"probs": model.probs})}
-    return {"kind": type(model).__name__, "body": model.to_json()}
+        return {"kind": "KaplanMeierModel", "body": json.dumps({"probs": model.probs})}, []
+    kind = type(model).__name__
+    if isinstance(model, (BoostedHorizons, BoostedSurvival, SurvivalForest)):
+        nested = isinstance(model, BoostedHorizons)
+        bare = replace(model, trees=[[] for _ in model.trees] if nested else [])
+        return {"kind": kind, "body": bare.to_json(), "path": path}, [(path, model)]
+    return {"kind": kind, "body": model.to_json()}, []
 
 
-def from_payload(d: dict) -> HorizonModel:
+def from_payload(d: dict, trees: dict[str, dict[int, list[Tree]]]) -> HorizonModel:
     if d["kind"] == "SeedEnsemble":
-        models = [from_payload(m) for m in d["models"]]
+        models = [from_payload(m, trees) for m in d["models"]]
         return SeedEnsemble(None, tuple(d["seeds"]), d["features"], models)
     if d["kind"] == "KaplanMeierModel":
         return KaplanMeierModel(probs=json.loads(d["body"])["probs"])
-    return KINDS[d["kind"]].from_json(d["body"])
+    model = KINDS[d["kind"]].from_json(d["body"])
+    if "path" in d:
+        slots = trees.get(d["path"], {})
+        if isinstance(model, BoostedHorizons):
+            model.trees = [slots.get(i, []) for i in range(len(model.trees))]
+        else:
+            model.trees = slots.get(0, [])
+    return model
+
+
+def node_rows(path: str, model: HorizonModel) -> Iterator[tuple]:
+    for s, trees in enumerate(_slots(model)):
+        for t, tree in enumerate(trees):
+            for n, f in enumerate(tree.feature):
+                value = np.atleast_1d(np.asarray(tree.value[n], dtype=float)).tolist()
+                yield path, s, t, n, f, tree.cut[n], tree.left[n], tree.right[n], tree.depth[n], value
+
+
+def read_trees(nodes: DataFrame) -> dict[str, dict[int, list[Tree]]]:
+    """The trees of a node table, by model path and slot."""
+    out: dict[str, dict[int, list[Tree]]] = {}
+    rows = nodes.orderBy("path", "slot", "tree", "node").toLocalIterator()
+    for path, slot, number, node, feature, cut, left, right, depth, value in rows:
+        trees = out.setdefault(path, {}).setdefault(slot, [])
+        if number == len(trees):
+            trees.append(Tree([], [], [], [], [], [], [], []))
+        tree = trees[number]
+        if node != len(tree.feature):
+            raise ValueError(f"node {node} of tree {number} is missing or repeated")
+        tree.feature.append(feature)
+        tree.cut.append(cut)
+        tree.left.append(left)
+        tree.right.append(right)
+        tree.depth.append(depth)
+        tree.value.append(value[0] if len(value) == 1 else np.array(value))
+    return out
 
 
 def save_model(spark: SparkSession, model: HorizonModel, path: str) -> str:
@@ -55,8 +120,15 @@ def save_model(spark: SparkSession, model: HorizonModel, path: str) -> str:
             f"{path}/model"
         )
         return path
-    text = json.dumps(to_payload(model))
-    spark.createDataFrame([(text,)], "payload string").write.mode("overwrite").parquet(f"{path}/model")
+    body, tree_models = to_payload(model)
+    spark.createDataFrame([(json.dumps(body),)], "payload string").write.mode("overwrite").parquet(
+        f"{path}/model"
+    )
+    rows = chain.from_iterable(node_rows(*x) for x in tree_models)
+    mode = "overwrite"
+    while tree_models and (part := list(islice(rows, NODE_ROWS))):
+        spark.createDataFrame(part, NODES).coalesce(1).write.mode(mode).parquet(f"{path}/nodes")
+        mode = "append"
     return path
 
 
@@ -68,7 +140,8 @@ def load_model(spark: SparkSession, path: str) -> HorizonModel:
 
     d = json.loads(spark.read.parquet(f"{path}/model").first()[0])
     if d["kind"] != "HorizonClassifiers":
-        return from_payload(d)
+        has_trees = '"path"' in json.dumps(d)
+        return from_payload(d, read_trees(spark.read.schema(NODES).parquet(f"{path}/nodes")) if has_trees else {})
     parts = [
         p if isinstance(p, float) else getattr(classification, p).load(f"{path}/horizon_{i}")
         for i, p in enumerate(d["parts"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from durata.constants import ENSEMBLE_SEEDS, PROB_COLS
 from durata.functions.columns import enforce_monotonicity
-from durata.models.base import HorizonModel, default_features
+from durata.models.base import FIT_THREADS, HorizonModel, default_features
 
 
 @dataclass
@@ -26,12 +27,14 @@ class SeedEnsemble(HorizonModel):
         if not self.seeds:
             raise ValueError("at least one seed is needed")
         self.features = default_features(df, features)
-        self.models = [self.factory(s).fit(df, self.features) for s in self.seeds]
+        with ThreadPoolExecutor(FIT_THREADS) as pool:
+            self.models = list(pool.map(lambda s: self.factory(s).fit(df, self.features), self.seeds))
         return self
 
     def fit_folds(self, df, features, folds, fold_col="fold"):
         features = default_features(df, features)
-        per_seed = [self.factory(s).fit_folds(df, features, folds, fold_col) for s in self.seeds]
+        with ThreadPoolExecutor(FIT_THREADS) as pool:
+            per_seed = list(pool.map(lambda s: self.factory(s).fit_folds(df, features, folds, fold_col), self.seeds))
         return {
             f: SeedEnsemble(self.factory, self.seeds, features, [m[f] for m in per_seed]) for f in folds
         }

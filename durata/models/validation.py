@@ -10,6 +10,7 @@ import json
 import math
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Any
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from durata.constants import EVENT, ID, PROB_COLS, SEARCH_SPACES, TIME
-from durata.models.base import HorizonModel, ModelFactory, default_features
+from durata.models.base import FIT_THREADS, HorizonModel, ModelFactory, default_features
 from durata.operators.metrics import all_metrics, fold_summary, hybrid_score
 from durata.operators.resample import stratified_folds, stratified_holdout
 from durata.session import cut_lineage
@@ -145,6 +146,8 @@ def tune(
 ) -> DataFrame:
     """Seeded random search maximising the mean cross-validated hybrid score.
 
+    A few trials run at a time; the time limit is looked at between such groups.
+
     A trial that raises is kept with its error and no value. One row per trial;
     ``stopped_early`` tells whether ``timeout_s`` ended the search before ``n_trials``.
     """
@@ -153,17 +156,24 @@ def tune(
     rows = _slim(df, features).persist()
     rng = np.random.default_rng(seed)
     trials, began = [], time.monotonic()
-    for i in range(n_trials):
-        if i and timeout_s is not None and time.monotonic() - began > timeout_s:
-            break
-        params = sample_params(space, rng)
+
+    def run(i: int, params: dict[str, Any]) -> tuple:
         start = time.monotonic()
         try:
-            value, error = cv_hybrid(lambda p=params: build(**p, seed=seed), rows, features, k, seed), None
+            value, error = cv_hybrid(lambda: build(**params, seed=seed), rows, features, k, seed), None
         except Exception as e:  # noqa: BLE001 - a failed trial is a result
             value, error = None, str(e)
-        seconds = time.monotonic() - start
-        trials.append((i, json.dumps(params, sort_keys=True), value, error, seconds))
+        return i, json.dumps(params, sort_keys=True), value, error, time.monotonic() - start
+
+    with ThreadPoolExecutor(FIT_THREADS) as pool:
+        # draws are made in order, so results do not depend on which trial ends first
+        while len(trials) < n_trials:
+            if trials and timeout_s is not None and time.monotonic() - began > timeout_s:
+                break
+            first = len(trials)
+            drawn = [sample_params(space, rng) for _ in range(min(FIT_THREADS, n_trials - first))]
+            trials += pool.map(run, range(first, first + len(drawn)), drawn)
+    rows.unpersist()
     schema = "trial int, params string, value double, error string, seconds double"
     out = df.sparkSession.createDataFrame(trials, schema)
     return out.withColumn("stopped_early", F.lit(len(trials) < n_trials))
@@ -184,19 +194,40 @@ def nested_cv(
     n_trials: int = 30,
     seed: int = 42,
 ) -> DataFrame:
-    """Held-out hybrid score per outer fold, with parameters tuned inside the other folds."""
+    """Held-out hybrid score per outer fold, with parameters tuned inside the other folds.
+
+    A fold whose trials or refit failed keeps its row, with the error and no score.
+    """
     features = default_features(df, features)
     tagged = stratified_folds(_slim(df, features), n_outer, seed).persist()
     results = []
     for f in range(n_outer):
         inner = tagged.filter(F.col("fold") != f).drop("fold")
-        best = best_trial(tune(build, inner, space, features, n_trials, math.inf, n_inner, seed))
+        trials = cut_lineage(tune(build, inner, space, features, n_trials, None, n_inner, seed))
+        best = best_trial(trials)
         if best is None:
+            error = trials.agg(F.min_by("error", "trial")).first()[0]
+            results.append((f, None, None, None, error))
             continue
         params, inner_value = best
-        model = build(**params, seed=seed).fit(inner, features)
-        preds = model.predict(tagged.filter(F.col("fold") == f)).select(ID, TIME, EVENT, *PROB_COLS)
-        held_out = hybrid_score(cut_lineage(preds)).first()["hybrid_score"]
-        results.append((f, held_out, inner_value, json.dumps(params, sort_keys=True)))
-    schema = "fold int, held_out_hybrid double, inner_best_hybrid double, best_params string"
+        text = json.dumps(params, sort_keys=True)
+        try:
+            model = build(**params, seed=seed).fit(inner, features)
+            preds = model.predict(tagged.filter(F.col("fold") == f)).select(ID, TIME, EVENT, *PROB_COLS)
+            held_out, error = hybrid_score(cut_lineage(preds)).first()["hybrid_score"], None
+        except Exception as e:  # noqa: BLE001 - a failed fold is a result
+            held_out, error = None, str(e)
+        results.append((f, held_out, inner_value, text, error))
+    tagged.unpersist()
+    schema = "fold int, held_out_hybrid double, inner_best_hybrid double, best_params string, error string"
     return df.sparkSession.createDataFrame(results, schema)
+
+
+def nested_summary(folds: DataFrame) -> DataFrame:
+    """Mean and spread of the held-out score, how optimistic tuning was, and failed folds."""
+    gap = F.col("inner_best_hybrid") - F.col("held_out_hybrid")
+    return folds.agg(
+        F.count("held_out_hybrid").alias("folds"), F.count("error").alias("failed"),
+        F.avg("held_out_hybrid").alias("mean_hybrid"), F.stddev_pop("held_out_hybrid").alias("std_hybrid"),
+        F.avg(gap).alias("mean_optimism"),
+    )

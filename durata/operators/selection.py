@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from durata.constants import CORRELATION_THRESHOLD, MI_THRESHOLD, TIME
 from durata.functions.columns import nn
 from durata.operators.quality import _sql_value
 from durata.operators.quantiles import exact_quantiles
-from durata.operators.stats import correlations, pairs_over
+from durata.operators.stats import correlations
 
 MI_BINS = 16
 
@@ -55,16 +54,19 @@ def select_features(
     mi_threshold: float = MI_THRESHOLD,
     corr_threshold: float = CORRELATION_THRESHOLD,
 ) -> list[str]:
-    """Informative columns, with the weaker member of each highly correlated pair dropped."""
-    scores = {r["feature"]: r["mi_score"] for r in mutual_information(df, columns, target).collect()}
-    ranked = sorted(scores, key=lambda c: (-scores[c], c))
-    keep = [c for c in ranked if scores[c] > mi_threshold]
-    if len(keep) < 2:
-        return keep
-    dropped: set[str] = set()
-    for a, b, _ in pairs_over(correlations(df, keep), keep, corr_threshold):
-        if a in dropped or b in dropped:
-            continue
-        stronger = scores[a] > scores[b] or math.isclose(scores[a], scores[b], rel_tol=1e-12)
-        dropped.add(b if stronger else a)
-    return [c for c in keep if c not in dropped]
+    """Informative columns of which no two are highly correlated, most informative first.
+
+    One pass down the rank table of scores above ``mi_threshold``: a column stays unless it
+    correlates beyond ``corr_threshold`` with one that stayed before it. Equal scores (to
+    twelve decimals) rank by name.
+    """
+    table = mutual_information(df, columns, target).filter(F.col("mi_score") > mi_threshold)
+    names = [r[0] for r in table.orderBy(F.round("mi_score", 12).desc(), "feature").collect()]
+    if len(names) < 2:
+        return names
+    size = np.abs(correlations(df, names))
+    stay: list[int] = []
+    for i in range(len(names)):
+        if not (size[i, stay] > corr_threshold).any():
+            stay.append(i)
+    return [names[i] for i in stay]

@@ -237,6 +237,15 @@ def logrank_scan(df: DataFrame, features: list[str], splits: list[float] | None
     return logrank(df, groups, splits, min_side=5)
 
 
+def logrank_summary(tests: DataFrame, level: float = 0.05) -> DataFrame:
+    """Tests by rising p-value with their place, and how many are significant."""
+    ranked = with_pvalue(tests)
+    order = Window.orderBy("p_value", F.desc("test_statistic"), "test")  # one row per feature
+    return ranked.withColumn("place", F.row_number().over(order)).withColumn(
+        "n_significant", F.sum((F.col("p_value") < level).cast("long")).over(Window.partitionBy())
+    )
+
+
 def quantile_group(df: DataFrame, column: str, n_groups: int) -> tuple[Column, list[str]]:
     """Labelled quantile group of a column; a median split when ties leave too few edges."""
     edges = exact_quantiles(df, {"x": nn(column)}, [i / n_groups for i in range(n_groups + 1)])["x"]

@@ -134,7 +134,7 @@ def gradient_boosted_survival(spark, d):
 
 @query
 def random_survival_forest(spark, d):
-    return fit_and_score(spark, d, SurvivalForest(n_estimators=20, max_depth=6))
+    return fit_and_score(spark, d, SurvivalForest())
 
 
 @query

@@ -22,16 +22,21 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only when the cluster names none (local tests) is a fresh folder chosen here.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; only a plain local session that names none gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="durata-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the cluster's shared folder (``spark.checkpoint.dir``).
+
+    Only when the cluster names none (local tests) is a fresh folder chosen here.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -354,3 +354,35 @@ def test_isotonic_is_exact_over_partitions(spark):
         want = max(min(total[a : b + 1].sum() / count[a : b + 1].sum() for b in range(i, len(scores))) for a in range(i + 1))
         assert np.interp(u, x, y) == pytest.approx(want)
     assert list(x) == sorted(x) and list(y) == sorted(y)
+
+
+def test_tree_models_are_saved_node_by_node(spark, train, monkeypatch):
+    from durata.models import persist
+
+    monkeypatch.setattr(persist, "NODE_ROWS", 50)
+    model = SeedEnsemble(lambda s: SurvivalForest(n_estimators=3, seed=s), seeds=(1, 2)).fit(train, FEATURES)
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    save_model(spark, model, path)
+    nodes = spark.read.parquet(f"{path}/nodes")
+    assert nodes.count() == sum(len(t.feature) for m in model.models for t in m.trees)
+    assert nodes.select("path").distinct().count() == 2
+    again = load_model(spark, path)
+    a, b = (sorted(map(tuple, m.predict(train).select("event_id", *PROB_COLS).collect())) for m in (model, again))
+    assert np.allclose(a, b)
+
+
+def test_nested_folds_keep_their_failures(train):
+    from durata.models.validation import nested_cv, nested_summary
+
+    space = {"n_estimators": ("int", 2, 3)}
+    good = nested_cv(SurvivalForest, train, space, FEATURES, 2, 2, 2)
+    row = nested_summary(good).first()
+    scores = [r["held_out_hybrid"] for r in good.collect()]
+    assert (row["folds"], row["failed"]) == (2, 0) and row["mean_hybrid"] == pytest.approx(np.mean(scores))
+
+    def broken(**kw):
+        raise ValueError("no such model")
+
+    bad = nested_cv(broken, train, space, FEATURES, 2, 2, 2)
+    assert [r["error"] for r in bad.collect()] == ["no such model"] * 2
+    assert nested_summary(bad).first()["failed"] == 2
