@@ -48,8 +48,23 @@ QUERIES: dict[str, Query] = {
     "op13_quality_rules": _on(line_frequency.op13_quality_rules, "documents"),
 }
 
+TOP_K_SQL = """
+with v as (
+  select vec_id as id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.id as query_id, b.id as vec_id,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+  from v a join v b on a.id % 20 = 0 and a.id <> b.id
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
+"""
+
 #: SQL of the queries that it can express on the same tables.
 ORACLE: dict[str, str] = {
+    "op7_exact_top_k": TOP_K_SQL,
     "op11_hard_negatives": hard_negatives.SQL,
     "op12_fill_in_middle": fill_in_middle.SQL,
     "op13_quality_rules": line_frequency.SQL,
