@@ -8,13 +8,15 @@ conversation in order: text parts are escaped and written out, the others become
 Template: every turn is ``<|turn|>`` role ``<|body|>`` content ``<|end|>``. Inside texts a
 backslash is doubled and every control string (those of the template and the usual ones of
 other templates) gets a backslash after its first character, so no control string of a text
-survives in the output and removing the backslashes gives the text back exactly. The loss
+survives in the output and removing the backslashes gives the text back exactly. Text parts
+that follow each other are one text before that, so no control string is put together from
+several parts. The loss
 mask is the list of spans, in code points, of the contents of assistant turns.
 
 A conversation is one output row and is built in one task, as its string is one value; turns
 come in order of turn, role and text (nulls first). Null roles and texts count as empty;
-repeated rows are turns of their own; null conversation ids form a conversation; unknown
-part types raise. Empty tables give empty results; other columns are not read.
+repeated rows are turns of their own; null conversation ids form a conversation; null
+parts are empty texts; unknown part types raise. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,6 +61,7 @@ class Flattener:
         self.out: list[str] = []
         self.at = 0
         self.turn = -1
+        self.text: list[str] = []
         self.loss: list[dict] = []
         self.attachments: list[dict] = []
 
@@ -71,17 +74,24 @@ class Flattener:
         self.write(TURN + escape(role) + BODY)
         start = self.at
         for part in parts:
+            part = part or {"type": "text", "text": None}
             kind = part["type"] or "text"
             visitor = getattr(self, f"visit_{kind}", None)
             if visitor is None:
                 raise ValueError(f"unknown content part: {kind}")
             visitor(part)
+        self.flush()
         if role == "assistant":
             self.loss.append({"start": start, "stop": self.at})
         self.write(END)
 
     def visit_text(self, part: dict) -> None:
-        self.write(escape(part["text"] or ""))
+        self.text.append(part["text"] or "")
+
+    def flush(self) -> None:
+        """Writes the text parts since the last placeholder as one escaped text."""
+        self.write(escape("".join(self.text)))
+        self.text = []
 
     def visit_image(self, part: dict) -> None:
         rows = math.ceil((part["height"] or PATCH) / PATCH)
@@ -94,6 +104,7 @@ class Flattener:
         self.attach(part, PER_PAGE * max(1, part["pages"] or 1))
 
     def attach(self, part: dict, tokens: int) -> None:
+        self.flush()
         self.attachments.append(
             {
                 "ordinal": len(self.attachments), "type": part["type"], "ref": part["ref"],

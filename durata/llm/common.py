@@ -59,6 +59,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def anonymous(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by position, and what each is called there.
+
+    Operators join under these names, so no column of a table clashes with one of theirs.
+    """
+    names = [f"__c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def texts_map(
     df: DataFrame,
     fn: Callable[[list[bytes]], list[pa.Array]],
