@@ -15,7 +15,7 @@ and to verify the distance of the whole fingerprints.
   star per z is enough, and rows stay proportional to the fingerprints.
 
 Null text counts as empty; texts without a word have fingerprint zero and are linked like
-any others. A null id keeps its row and never becomes a component id (a component of null
+any others. Further columns may have any name. A null id keeps its row and never becomes a component id (a component of null
 ids only has a null component id). Repeated rows stay. Empty tables give empty results.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from durata.llm.common import (
+    anonymous,
     checkpoint,
     connected_components,
     linked_components,
@@ -151,15 +152,18 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id, ``extra`` columns, ``fingerprint`` and ``component_id``.
 
-    The component id is the smallest id reachable over links of at most three bits.
+    The component id is the smallest id reachable over links of at most three bits. An extra
+    column called like a result is replaced by it.
     """
     extra = extra or []
+    held, at = anonymous(docs)
+    kept = list(dict.fromkeys([id_col, *extra]))
     rows = checkpoint(
-        with_fingerprints(docs, shingle, text, [id_col, *extra]).withColumnRenamed(
+        with_fingerprints(held, shingle, at[text], [at[c] for c in kept]).withColumnRenamed(
             "fingerprint", "fp"
         )
     )
-    by_fp = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("first")))
+    by_fp = checkpoint(rows.groupBy("fp").agg(F.min(at[id_col]).alias("first")))
     parts = connected_components(links(by_fp.select("fp"), hot_bucket))
     rooted = by_fp.join(
         parts.withColumnRenamed("node", "fp"), "fp", "left"
@@ -167,14 +171,16 @@ def near_duplicates(
     rooted = checkpoint(rooted)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = checkpoint(rooted.join(lowest, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").withColumnRenamed("fp", "fingerprint").select(
-        id_col, *extra, "fingerprint", "component_id"
+    return rows.join(named, "fp").select(
+        *[F.col(at[c]).alias(c) for c in kept if c not in ("fingerprint", "component_id")],
+        F.col("fp").alias("fingerprint"), "component_id",
     )
 
 
 #: Words of a wide fingerprint, and the widths of its segments.
 WIDE, SEGMENT = 4, 21
-PER_WORD = 64 // SEGMENT
+#: Bits of a chunk; three chunks, each from a word of its own, make a segment of the second set.
+CHUNK = SEGMENT // 3
 _MIX = [np.uint64(c) for c in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -200,14 +206,40 @@ def _close(similarity: float, spread: float = 3.0) -> tuple[int, int]:
     return tuple(int(n * p + spread * (n * p * (1 - p)) ** 0.5) for n in (64, 64 * WIDE))
 
 
+def wide_segments() -> list[tuple[str, int]]:
+    """SQL of each segment of a wide fingerprint, and the word that serves as its cheap test.
+
+    The first twelve are runs of 21 bits of one word. The other twelve take seven bits from
+    each of three words, so each shares at most seven bits with one of the first set, and a
+    pair that the first set misses has nearly as good a chance again.
+    """
+    out = [
+        (f"(shiftrightunsigned(f{w}, {SEGMENT * s}) & {(1 << SEGMENT) - 1}L)", (w + 1) % WIDE)
+        for w in range(WIDE)
+        for s in range(3)
+    ]
+    part = (1 << CHUNK) - 1
+    for left in range(WIDE):
+        words = [w for w in range(WIDE) if w != left]
+        for turn in range(3):
+            # over the words, every chunk of 7 bits is used once
+            at = [(3 * turn + (left - w) % WIDE - 1) * CHUNK for w in words]
+            bits = [
+                f"shiftleft(shiftrightunsigned(f{w}, {a}) & {part}L, {CHUNK * i})"
+                for i, (w, a) in enumerate(zip(words, at, strict=True))
+            ]
+            out.append(("(" + " | ".join(bits) + ")", left))
+    return out
+
+
 def drop_similar(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id",
     text: str = "text", hot: int = 256,
 ) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates.
 
-    For a similarity below what three bits of 64 can tell, fingerprints have 256 bits in
-    twelve segments; again the Hamming balls of radius one around each segment are probed,
+    For a similarity below what three bits of 64 can tell, fingerprints have 256 bits, cut
+    into segments in two ways (``wide_segments``); again the Hamming balls of radius one around each segment are probed,
     the complete distances are verified, and last the Jaccard similarity of the shingle sets.
     Equal texts are one before that, and hot segment values go through leaders. The document
     with the smallest id stays (null ids last, then by text hash); of repeated rows one.
@@ -222,19 +254,17 @@ def drop_similar(
         return [pa.array(made[:, i].view(np.int64) if made.size else [], pa.int64()) for i in range(WIDE)]
 
     words = [f"f{i}" for i in range(WIDE)]
-    base = docs.select(
+    named, at = anonymous(docs)
+    id_col, text = at[id_col], at[text]
+    base = named.select(
         F.col(id_col).alias("id"), F.col(text), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")
     )
     rows = checkpoint(texts_map(base, fn, text, ["id", "th"], ", ".join(f"{w} long" for w in words)))
     distinct = checkpoint(
         rows.groupBy("th").agg(F.min("id").alias("first"), *[F.any_value(w).alias(w) for w in words])
     )
-    size = 1 << SEGMENT
     segments = ", ".join(
-        f"struct({PER_WORD * w + s} * {size}L as seg, shiftrightunsigned(f{w}, {SEGMENT * s}) & {size - 1}L as v, "
-        f"f{(w + 1) % WIDE} as p)"
-        for w in range(WIDE)
-        for s in range(PER_WORD)
+        f"struct({n << SEGMENT}L as seg, {v} as v, f{p} as p)" for n, (v, p) in enumerate(wide_segments())
     )
     table = distinct.selectExpr("th", f"inline(array({segments}))")
     entries = table.selectExpr("seg + v as key", "th as b", "p as pb")
@@ -278,15 +308,13 @@ def drop_similar(
     kept = rooted.groupBy("root").agg(F.min(order).alias("k"))
     kept = checkpoint(rooted.join(kept, "root").selectExpr("th", "k.id as kid", "k.th as kth"))
     gone = rows.join(kept, "th").where("not (th = kth and id <=> kid)").select("id", "th").distinct()
-    gone = small(checkpoint(gone)).withColumnsRenamed({"id": "__gi", "th": "__gt"})
+    gone = small(checkpoint(gone))
     hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    left = docs.join(
-        gone, F.col(id_col).eqNullSafe(F.col("__gi")) & (hashed == F.col("__gt")), "left_anti"
-    )
+    left = named.join(gone, F.col(id_col).eqNullSafe(F.col("id")) & (hashed == F.col("th")), "left_anti")
     again = rows.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
-        return left
-    return left.withColumn("__th", hashed).dropDuplicates([id_col, "__th"]).drop("__th")
+    if not again.isEmpty():
+        left = left.withColumn("th", hashed).dropDuplicates([id_col, "th"]).drop("th")
+    return left.toDF(*docs.columns)
 
 
 def op2_simhash(docs: DataFrame) -> DataFrame:
