@@ -8,7 +8,8 @@ the decision is a small row per source that every document compares its own key
 
 Null sources are a source of their own, ordered last; null texts have size zero. Rows equal
 in source, id and size are one unit that shares a partial take evenly. Empty tables give
-empty results; other columns of any name pass through. The key depends on the id only, so
+empty results; other columns of any name pass through, but those called like a result
+(size, source_size, target, taken) are replaced. The key is the start of the id's MD5 digest, so
 reruns agree.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from durata.llm.common import checkpoint, small
+from durata.llm.common import anonymous, checkpoint, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one key range at most, about.
@@ -29,7 +30,9 @@ def n_words(text: str) -> Column:
 
 
 def random_key(id_col: str) -> Column:
-    return F.xxhash64(F.lit("mix"), F.col(id_col))
+    """60 bits of the id's digest, which every engine computes alike."""
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def sizes(docs: DataFrame, text: str, source: str, id_col: str) -> DataFrame:
@@ -94,7 +97,7 @@ def cuts(rows: DataFrame, most: int = 3) -> DataFrame:
     )
     narrow = small(goal.select("src", "ranges", "rest"))
     # the top 32 bits of the key, as a fraction of its range
-    spot = "cast(floor((shiftright(r, 32) + 2147483648D) / 4294967296D * ranges) as long)"
+    spot = "cast(floor(shiftright(r, 28) / 4294967296D * ranges) as long)"
     ranged = rows.join(narrow, rows.src.eqNullSafe(narrow.src)).select(
         rows.src, "id", "size", "r", "rest", F.expr(spot).alias("range")
     )
@@ -132,15 +135,20 @@ def mix(
 
     The texts are read twice and never shuffled: once for sizes, once beside the cuts.
     """
-    plan = small(checkpoint(cuts(checkpoint(sizes(docs, text, source, id_col)), most)))
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    sized = docs.select(
-        *own, F.col(source).cast("string").alias("__src"), random_key(id_col).alias("__r"),
-        n_words(text).alias("__size"),
+    rows, at = anonymous(docs)
+    names = at[text], at[source], at[id_col]
+    plan = small(checkpoint(cuts(checkpoint(sizes(rows, *names)), most)))
+    own = [
+        F.col(n).alias(c) for c, n in zip(docs.columns, rows.columns, strict=True)
+        if c.lower() not in ("size", "source_size", "target", "taken")
+    ]
+    sized = rows.select(
+        "*", F.col(at[source]).cast("string").alias("__src"), random_key(at[id_col]).alias("__r"),
+        n_words(at[text]).alias("__size"),
     )
-    return sized.join(plan, F.col("__src").eqNullSafe(F.col("src"))).selectExpr(
-        *[f"`{c}`" for c in own], "__size as size", "source_size", "target",
-        taken(f"struct(__r, `{id_col}`, __size)", "__size"),
+    return sized.join(plan, F.col("__src").eqNullSafe(F.col("src"))).select(
+        *own, F.col("__size").alias("size"), "source_size", "target",
+        F.expr(taken(f"struct(__r, {at[id_col]}, __size)", "__size")),
     )
 
 

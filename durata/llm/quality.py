@@ -2,8 +2,8 @@
 
 A logistic classifier over a text's shape (symbols, capitals, separators, repetition, word
 lengths) gives each document evidence. Hosts and paths (a path lies in a host) get posterior
-means from grouped sums of the evidence: a path is shrunk to its host, a host to the global
-mean, with strengths estimated from the spread between sites (method of moments), so sparse
+means from grouped sums of the evidence: a path is shrunk to the path or host above it, a
+host to the global mean, with strengths estimated from the spread between sites (method of moments), so sparse
 sites follow the prior and large ones their own record. A document's score combines its log
 odds with its path's posterior, from which its own share is taken out.
 
@@ -13,22 +13,25 @@ plain join. Scoring is a second pass over the texts instead of a shuffle of them
 classifier is fitted on at most ``sample`` labelled rows of each class (a documented bound).
 
 Null texts count as empty; null hosts and paths are sites of their own; null ids, repeated
-rows and other columns pass through. Without labels of both classes the evidence is constant.
+rows and other columns of any name pass through (those called like a result are replaced);
+URLs without a host or a directory are sites of their own. Without labels of both classes the evidence is constant.
 Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from durata.llm.common import checkpoint, small, texts_map
+from durata.llm.common import anonymous, checkpoint, small, texts_map
 from durata.llm.toxicity import training_rows
 
 SAMPLE = 6000
@@ -112,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     # the classes were taken evenly; put the intercept back to the labels' own rate
     model = fit_evidence(x, y)
     counts = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    if len(counts) == 2 and 0 < y.mean() < 1:
+    if len(counts) == 2 and len(y) and 0 < y.mean() < 1:
         model.bias += float(np.log(counts[1] / counts[0]) - np.log(y.mean() / (1 - y.mean())))
     return model
 
@@ -133,40 +136,60 @@ def _strength(between: float, within: float) -> float:
     return float(min(1e6, max(1.0, within / between))) if between > 1e-9 else 1e6
 
 
-def sites(scored: DataFrame) -> DataFrame:
-    """(host, path, n, s, prior): per path the counts, and its host's shrunk mean.
+def sites(scored: DataFrame, levels: Sequence[str] = ("host", "path")) -> DataFrame:
+    """Per site of the lowest level: n, s (sum of the evidence's probabilities) and its prior.
 
-    ``scored`` has host, path and evidence. Also adds the global mean and the path strength.
+    ``scored`` has the levels, widest first, and evidence. A level is shrunk to the one above
+    it, the first to the global mean (``base``); ``host_mean`` is the posterior mean of the level
+    above the lowest, to which sites are shrunk with ``strength`` pseudo-counts.
     """
     p = F.expr("1 / (1 + exp(-evidence))")
-    paths = checkpoint(
-        scored.groupBy("host", "path").agg(
+    leaves = checkpoint(
+        scored.groupBy(*levels).agg(
             F.count("*").alias("n"), F.sum(F.round(p, 9)).alias("s"), F.sum(F.round(p * p, 9)).alias("q")
         )
     )
-    hosts = paths.groupBy("host").agg(
-        F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq")
-    )
-    n, s, q = paths.selectExpr("sum(n)", "sum(s)", "sum(q)").first()
+    n, s, q = leaves.selectExpr("sum(n)", "sum(s)", "sum(q)").first()
     if not n:
-        return paths.selectExpr("host", "path", "n", "s", "0D as host_mean", "1D as strength", "0.5D as base")
+        return leaves.selectExpr(*levels, "n", "s", "0D as host_mean", "1D as strength", "0.5D as base")
     mean = min(max(s / n, 1e-6), 1 - 1e-6)
     noise = max(q / n - mean * mean, 1e-9)
 
-    def spread(df: DataFrame, count: str, total: str, centre: str) -> float:
+    def strength(df: DataFrame) -> float:
         """Between-site variance: weighted variance of the means less what noise explains."""
         row = df.selectExpr(
-            f"sum({count} * pow({total} / {count} - {centre}, 2)) / sum({count})",
-            f"count(*) / sum({count})",
+            "sum(n * pow(s / n - host_mean, 2)) / sum(n)", "count(*) / sum(n)"
         ).first()
-        return max(0.0, (row[0] or 0.0) - noise * (row[1] or 0.0))
+        return _strength(max(0.0, (row[0] or 0.0) - noise * (row[1] or 0.0)), noise)
+
+    above = None
+    for depth in range(1, len(levels) + 1):
+        at = levels[:depth]
+        here = leaves.groupBy(*at).agg(F.sum("n").alias("n"), F.sum("s").alias("s")) if depth < len(levels) else leaves.drop("q")
+        if above is None:
+            here = here.withColumn("host_mean", F.lit(mean))
+        else:
+            on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in at[:-1]]
+            here = here.join(above, reduce(Column.__and__, on)).drop(*[f"__{c}" for c in at[:-1]])
+        pull = strength(here)
+        if depth < len(levels):
+            above = small(
+                checkpoint(
+                    here.select(
+                        *[F.col(c).alias(f"__{c}") for c in at],
+                        F.expr(f"(s + {pull!r}D * host_mean) / (n + {pull!r}D)").alias("host_mean"),
+                    )
+                )
+            )
+    return here.withColumn("strength", F.lit(pull)).withColumn("base", F.lit(mean))
+
 
-    host_strength = _strength(spread(hosts, "hn", "hs", f"{mean!r}D"), noise)
-    hosts = hosts.selectExpr("host", f"(hs + {host_strength!r}D * {mean!r}D) / (hn + {host_strength!r}D) as host_mean")
-    hosts = small(checkpoint(hosts)).withColumnRenamed("host", "__host")
-    joined = paths.join(hosts, paths.host.eqNullSafe(F.col("__host"))).drop("__host", "q")
-    path_strength = _strength(spread(joined, "n", "s", "host_mean"), noise)
-    return joined.withColumn("strength", F.lit(path_strength)).withColumn("base", F.lit(mean))
+def site_levels(url: Column, depth: int = 2) -> list[Column]:
+    """Host of a URL and its first 1 to ``depth`` directories; null for a null URL, '' for none."""
+    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)/", 1)
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return [host, *[F.array_join(F.slice(parts, 1, i), "/") for i in range(1, depth + 1)]]
 
 
 def _logit(p: str) -> str:
@@ -177,36 +200,45 @@ def _logit(p: str) -> str:
 def with_quality(
     docs: DataFrame, labels: DataFrame, host: Column | str = "source", path: Column | str = "lang",
     id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE,
+    url: Column | str | None = None, depth: int = 2,
 ) -> DataFrame:
-    """``docs`` with evidence, host_mean, path_mean and quality (the posterior probability)."""
-    host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
+    """``docs`` with evidence, host_mean, path_mean and quality (the posterior probability).
+
+    The sites are host and path, or with ``url`` the host and the first ``depth`` directories,
+    each level shrunk to the one above; host_mean is then the mean of the last but one level.
+    """
+    as_column = lambda c: F.col(c) if isinstance(c, str) else c
+    places = [as_column(c) for c in (host, path)] if url is None else site_levels(as_column(url), depth)
+    levels = [f"__l{i}" for i in range(len(places))]
     model = fit(docs, labels, id_col, text, label, sample)
-    keyed = docs.withColumns({"__h": host.cast("string"), "__p": path.cast("string")})
-    scored = evidence(keyed, model, ["__h", "__p"], text).withColumnsRenamed({"__h": "host", "__p": "path"})
-    found = small(checkpoint(sites(scored))).withColumnsRenamed({"host": "__sh", "path": "__sp"})
-    own = [c for c in docs.columns if c not in ("evidence", "host_mean", "path_mean", "quality")]
+    named, at = anonymous(docs)
+    keyed = docs.select("*", *[c.cast("string") for c in places]).toDF(*named.columns, *levels)
+    found = small(checkpoint(sites(evidence(keyed, model, levels, at[text]), levels)))
+    found = found.withColumnsRenamed({c: f"{c}s" for c in levels})
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = keyed.select(*own, "__h", "__p").schema.add("evidence", "double")
-    place = own.index(text)
+    schema = StructType(list(keyed.schema.fields)).add("evidence", "double")
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).cast(pa.binary()).to_pylist()
             x = np.array([shape(t or b"") for t in texts], float).reshape(-1, N_SHAPE)
             e = np.round(held.value.logits(x), 9)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(e)], names=[*own, "__h", "__p", "evidence"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e)], names=schema.names)
 
-    again = keyed.select(*own, "__h", "__p").mapInArrow(run, schema)
-    both = again.join(found, F.col("__h").eqNullSafe(F.col("__sh")) & F.col("__p").eqNullSafe(F.col("__sp")))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}s")) for c in levels]
+    both = keyed.mapInArrow(run, schema).join(found, reduce(Column.__and__, on))
     # the document's own share is taken out of its path
     rest = "(s - 1 / (1 + exp(-evidence)) + strength * host_mean) / (n - 1 + strength)"
     posterior = f"evidence + {_logit(rest)} - {_logit('base')}"
-    return both.selectExpr(
-        *[f"`{c}`" for c in own], "evidence", "host_mean", f"{rest} as path_mean",
-        f"1 / (1 + exp(-({posterior}))) as quality",
-    )
+    made = {
+        "evidence": F.col("evidence"), "host_mean": F.col("host_mean"), "path_mean": F.expr(rest),
+        "quality": F.expr(f"1 / (1 + exp(-({posterior})))"),
+    }
+    own = [
+        F.col(n).alias(c) for c, n in zip(docs.columns, named.columns, strict=True) if c.lower() not in made
+    ]
+    return both.select(*own, *[v.alias(c) for c, v in made.items()])
 
 
 def op4_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
