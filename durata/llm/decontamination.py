@@ -14,7 +14,7 @@ with a token that the benchmark lacks at a hashed position are passed over witho
 
 Null texts count as empty and are clean; items shorter than a window are matched only whole
 and only if they have at least ``shortest`` tokens; null ids, repeated rows and items stay
-as they are. An empty benchmark leaves every document clean; other columns pass through.
+as they are; ids of documents and items may have any type. An empty benchmark leaves every document clean; other columns pass through.
 """
 
 from __future__ import annotations
@@ -47,23 +47,22 @@ class Block:
     item: np.ndarray = None
     starts: np.ndarray = None
     ends: np.ndarray = None
-    labels: list = field(default_factory=list)
+    labels: pa.Array = None
     seeds: list = field(default_factory=list)
 
     @classmethod
-    def build(cls, items: list[tuple]) -> Block:
-        self = cls()
+    def build(cls, labels: pa.Array, texts: list[bytes]) -> Block:
+        self = cls(labels=labels)
         ids: list[int] = []
         item: list[int] = []
         starts, ends = [], []
-        for label, text in items:
+        for number, text in enumerate(texts):
             words = tokens(text)
             starts.append(len(ids))
             for w in words:
                 ids.append(self.vocabulary.setdefault(w, len(self.vocabulary) + 1))
-                item.append(len(self.labels))
+                item.append(number)
             ends.append(len(ids))
-            self.labels.append(label)
         self.ids, self.item = np.array(ids, np.int64), np.array(item, np.int64)
         self.starts, self.ends = np.array(starts, np.int64), np.array(ends, np.int64)
         for mask in MASKS:
@@ -156,7 +155,10 @@ def blocks(benchmark: DataFrame, id_col: str, text: str, block_tokens: int) -> I
     n = max(1, -(-size // (2 * block_tokens)))
     for b in range(n):
         part = items.where(F.expr(f"pmod(xxhash64(i, x), {n}) = {b}")) if n > 1 else items
-        yield Block.build([(r.i, r.x.encode()) for r in part.collect()])
+        got = part.select("i", F.col("x").cast("binary")).toArrow()
+        kind = got.schema.field("i").type
+        labels = pa.concat_arrays([pa.array([], kind), *got.column("i").chunks])
+        yield Block.build(labels, got.column("x").to_pylist())
 
 
 def _ids(block: Block, text: bytes) -> np.ndarray:
@@ -186,13 +188,13 @@ def contaminated(
                 for i, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                     for k, n, m in overlaps(b, _ids(b, raw or b""), min_overlap, similarity, shortest):
                         rows.append(i)
-                        items.append(b.labels[k])
+                        items.append(k)
                         sizes.append(n)
                         same.append(m)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(rows, pa.int64())),
-                        pa.array(items, to_arrow(item_kind)),
+                        b.labels.take(pa.array(items, pa.int64())),
                         pa.array(sizes, pa.int64()), pa.array(same, pa.int64()),
                     ],
                     names=[id_col, "item_id", "overlap", "matching"],
@@ -203,10 +205,6 @@ def contaminated(
     return out
 
 
-def to_arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id",
     item_text: str = "text", min_overlap: int = 10, similarity: float = 0.8, shortest: int = 8,

@@ -12,7 +12,8 @@ What is left is verified by whole inner products, and the best k of all cells ar
 
 Cells have a bounded number of queries and candidates, so no task holds more than one cell;
 neither queries nor vectors pass through the driver. Components are floor(scale * x), scores
-exact integers, ties go to the smaller id.
+exact integers, ties go to the smaller id. Components and scores beyond a long count as its
+nearest end (and then tie). Ids keep their type.
 
 Vectors that are null or hold a null or non-finite component take no part; shorter vectors
 count as padded with zeros. Null ids take no part. Repeated rows each count (a query's own
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from durata.llm.common import checkpoint, small
 
 CELL = 4096
-_OUT = "query_id long, vec_id long, score long"
+LONGEST = 2**63 - 1
 
 
 def integer_vectors(table: DataFrame, id_col: str, vec: str, scale: int) -> DataFrame:
@@ -39,7 +40,7 @@ def integer_vectors(table: DataFrame, id_col: str, vec: str, scale: int) -> Data
         & F.forall(vec, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     )
     v = F.transform(vec, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
-    return fine.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).withColumn(
+    return fine.select(F.col(id_col).alias("id"), v.alias("v")).withColumn(
         "n2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     )
 
@@ -82,7 +83,9 @@ def matrix(column: pd.Series, width: int) -> np.ndarray:
 
 def score_cell(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     """Best k candidates per query of one cell that reach the query's bound."""
-    empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+    empty = pd.DataFrame(
+        {"query_id": q["id"].iloc[:0], "vec_id": c["id"].iloc[:0], "score": np.empty(0, np.int64)}
+    )
     if not len(q) or not len(c):
         return empty
     width = max(max(map(len, q["v"])), max(map(len, c["v"])), 1)
@@ -109,7 +112,7 @@ def score_cell(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
             reach = f * unit[:, j] + np.sqrt(max(0.0, 1 - f * f)) * np.sqrt(np.clip(1 - unit[:, j] ** 2, 0, 1))
             pick = np.flatnonzero(reach >= local - 1e-9)
         else:
-            pick = np.flatnonzero(qn[i] * cn >= bound[i] - 1e-6)
+            pick = np.flatnonzero(qn[i] * cn >= bound[i] - 1e-6 - 1e-9 * abs(bound[i]))
         if not len(pick):
             continue
         if exact:
@@ -119,6 +122,7 @@ def score_cell(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
             score = np.array(
                 [sum(s * int(t) for s, t in zip(x, c["v"].iloc[p], strict=False)) for p in pick], object
             )
+            score = np.array([min(max(s, -LONGEST - 1), LONGEST) for s in score], np.int64)
         ok = (ids[pick] != own[i]) & (score >= bound[i])
         pick, score = pick[ok], score[ok]
         if len(pick) > k:
@@ -150,8 +154,9 @@ def cells(queries: DataFrame, vectors: DataFrame, which: DataFrame, k: int) -> D
     which = small(checkpoint(which))
     q = queries.join(which, "block").selectExpr("block as qb", "bucket as qc", "id", "v", "bound")
     c = vectors.join(which, "bucket").selectExpr("block as cb", "bucket as cc", "id", "v")
+    kind = [df.schema["id"].dataType.simpleString() for df in (queries, vectors)]
     return q.groupBy("qb", "qc").cogroup(c.groupBy("cb", "cc")).applyInPandas(
-        lambda x, y: score_cell(x, y, k), _OUT
+        lambda x, y: score_cell(x, y, k), f"query_id {kind[0]}, vec_id {kind[1]}, score long"
     )
 
 
@@ -174,7 +179,9 @@ def top_k(
     last = sizes.agg(F.max("bucket")).first()[0] or 0
     start = grid(every, sizes, last).where(f"above < {k + 1}").select("block", "bucket")
     one = checkpoint(best(cells(blocked, vectors, start, k), k))
-    bound = one.where(f"rank = {k}").selectExpr("query_id as id", "cast(score as double) as b")
+    # a double may lie above the long that it stands for; a lower bound loses nothing
+    near = "if(abs(cast(score as double)) < 9e15D, 0D, 1e-15D * abs(cast(score as double)))"
+    bound = one.where(f"rank = {k}").selectExpr("query_id as id", f"score - {near} as b")
     bounded = checkpoint(
         blocked.drop("bound").join(bound, "id", "left").withColumnRenamed("b", "bound")
     )
@@ -182,11 +189,12 @@ def top_k(
         F.max("n2").alias("q2"), F.min(F.coalesce("bound", F.lit(float("-inf")))).alias("low")
     )
     rest = grid(limits, sizes, last).where(
-        f"above >= {k + 1} and sqrt(q2) * sqrt(b2) >= low - 1e-6D"
+        f"above >= {k + 1} and sqrt(q2) * sqrt(b2) * (1 + 1e-9D) >= low - 1e-6D"
     ).select("block", "bucket")
     two = cells(bounded, vectors, rest, k)
     return best(one.drop("rank").unionByName(two), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_exact_top_k(embeddings: DataFrame) -> DataFrame:
-    return top_k(embeddings, embeddings.where("vec_id % 20 = 0"), 20)
+    found = top_k(embeddings, embeddings.where("vec_id % 20 = 0"), 20)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("query_id", "vec_id")})
