@@ -104,8 +104,13 @@ def _count(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _pairs(rows: DataFrame, keys: list[str], depth: int, group_rows: int, cuts: int) -> list[DataFrame]:
-    """Contribution frames (keys, concordant, tied, comparable) of a weighted row frame."""
+def _pairs(
+    rows: DataFrame, keys: list[str], depth: int, group_rows: int, cuts: int, held: list[DataFrame]
+) -> list[DataFrame]:
+    """Contribution frames (keys, concordant, tied, comparable) of a weighted row frame.
+
+    What it persists is added to ``held``.
+    """
     if depth == 0:
         by_time, by_risk = equi_depth_splits_of(rows, ["p1", "r"], cuts)
         rows = with_bucket(rows, "p1", by_time, "tb")
@@ -120,7 +125,11 @@ def _pairs(rows: DataFrame, keys: list[str], depth: int, group_rows: int, cuts:
             .withColumn("tb", F.when(F.col("__one"), F.col("p2").cast("int")).otherwise(F.col("tb")))
             .drop("__one")
         )
-    rows = rows.persist() if depth == 0 else cut_lineage(rows)
+    if depth == 0:
+        rows = rows.persist()
+        held.append(rows)
+    else:
+        rows = cut_lineage(rows)
     parts = [*keys, "kind", "part"]
     both = rows.groupBy(*keys, "tb", "rb").agg(F.sum("ne").alias("ne"), F.sum("na").alias("na"))
     both = both.select(
@@ -161,7 +170,7 @@ def _pairs(rows: DataFrame, keys: list[str], depth: int, group_rows: int, cuts:
             .withColumn(tag, F.concat_ws("|", "kind", F.col("part").cast("string")))
             .select(*keys, tag, "p1", "p2", "r", "ne", "na")
         )
-        for piece in _pairs(deeper, [*keys, tag], depth + 1, group_rows, max(2, min(cuts, 256))):
+        for piece in _pairs(deeper, [*keys, tag], depth + 1, group_rows, max(2, min(cuts, 256)), held):
             comp = F.when(F.col(tag).startswith("risk"), F.lit(0.0)).otherwise(F.col("comparable"))
             out.append(piece.withColumn("comparable", comp).drop(tag))
     return out
@@ -195,6 +204,7 @@ def concordance(
         )
         .persist()
     )
+    held = [rows]
     n = rows.count() if cuts is None else None
     if n is not None and n <= group_rows:
         # few enough distinct rows for one bounded group per key
@@ -202,9 +212,14 @@ def concordance(
         counts = _count(whole, by)
     else:
         cuts = cuts or max(2, min(MAX_CUTS, math.ceil(n / group_rows)))
-        counts = reduce(DataFrame.unionByName, _pairs(rows, by, 0, group_rows, cuts))
+        counts = reduce(DataFrame.unionByName, _pairs(rows, by, 0, group_rows, cuts, held))
     total = counts.groupBy(*by).agg(
         *[F.sum(c).alias(c) for c in ("concordant", "tied", "comparable")]
     )
+    # a row per key stays; the distinct rows are let go
+    total = total.persist()
+    total.count()
+    for df in held:
+        df.unpersist()
     score = F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), F.col("comparable"))
     return total.withColumn("c_index", score).drop("__all")

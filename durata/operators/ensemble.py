@@ -8,10 +8,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from durata.constants import EVENT, ID, PROB_COLS, TIME
+from durata.constants import (
+    BRIER_WEIGHTS,
+    EVENT,
+    HORIZONS,
+    HYBRID_BRIER_WEIGHT,
+    HYBRID_C_WEIGHT,
+    ID,
+    PROB_COLS,
+    TIME,
+)
 from durata.functions.columns import enforce_monotonicity
+from durata.functions.labels import horizon_label, scored_at
+from durata.operators.concordance import concordance
 from durata.operators.metrics import core_scores, hybrid_score
 
+#: Candidates whose risks are ranked in one job: rows are repeated that often at most.
+BATCH = 16
+
 
 def normalized_weights(weights: dict[str, float]) -> dict[str, float]:
     if not weights:
@@ -102,6 +116,58 @@ def score_candidates(
     return [got.get(j) if got.get(j) is not None else -np.inf for j in range(len(candidates))]
 
 
+def error_moments(wide: DataFrame, n: int, known_only: bool) -> dict[int, np.ndarray] | None:
+    """Mean products of the members' errors per horizon, from one aggregate.
+
+    As weights add up to one, the Brier score of a combination is the quadratic form of its
+    weights with this matrix. That holds only where the repair changes nothing, so the result
+    is None unless every member's probabilities are known, in [0, 1] and rise with the horizon.
+    ``known_only`` leaves out rows censored before the horizon.
+    """
+    sound = F.lit(True)
+    for i in range(n):
+        p = [F.col(f"{c}__{i}") for c in PROB_COLS]
+        steps = [a <= b for a, b in zip([F.lit(0.0), *p], [*p, F.lit(1.0)], strict=True)]
+        for ok in steps:
+            sound = sound & F.coalesce(ok, F.lit(False))
+    horizons = list(BRIER_WEIGHTS if known_only else HORIZONS)
+    places = [(h, i, j) for h in horizons for i in range(n) for j in range(i, n)]
+    aggs = []
+    for h, i, j in places:
+        a, b = (F.col(f"prob_{h}h__{k}") - horizon_label(h) for k in (i, j))
+        aggs.append(F.avg(F.when(scored_at(h), a * b) if known_only else a * b))
+    row = wide.agg(F.bool_and(sound), *aggs).first()
+    if not row[0] or any(x is None for x in row[1:]):
+        return None
+    out = {h: np.zeros((n, n)) for h in horizons}
+    for (h, i, j), x in zip(places, row[1:], strict=True):
+        out[h][i, j] = out[h][j, i] = x
+    return out
+
+
+def score_by_moments(
+    wide: DataFrame, moments: dict[int, np.ndarray], candidates: list[tuple[float, ...]], objective: str
+) -> list[float]:
+    """As ``score_candidates``: errors from the moments, only ranks from the rows."""
+    w = np.array(candidates)
+    brier = {h: np.einsum("ci,ij,cj->c", w, m, w) for h, m in moments.items()}
+    if objective == "brier":
+        return list(-sum(brier.values()) / len(brier))
+    error = sum(BRIER_WEIGHTS[h] * b for h, b in brier.items())
+    ranks: dict[int, float] = {}
+    for start in range(0, len(candidates), BATCH):
+        risks = []
+        for j, weights in enumerate(candidates[start : start + BATCH], start):
+            terms = " + ".join(f"{x!r}D * `prob_72h__{i}`" for i, x in enumerate(weights))
+            risks.append(f"named_struct('candidate', {j}, 'prob_72h', least(greatest({terms}, 0D), 1D))")
+        tall = wide.selectExpr(TIME, EVENT, f"inline(array({', '.join(risks)}))")
+        ranks |= {r["candidate"]: r["c_index"] for r in concordance(tall, ["candidate"]).collect()}
+    return [
+        HYBRID_C_WEIGHT * ranks[j] + HYBRID_BRIER_WEIGHT * (1 - error[j]) if ranks.get(j) is not None else -np.inf
+        for j in range(len(candidates))
+    ]
+
+
 def optimize_weights(
     predictions: DataFrame,
     models: list[str],
@@ -113,19 +179,29 @@ def optimize_weights(
 
     The hybrid score is piecewise constant in its rank part, so candidates are compared
     directly: a coarse grid, then ever smaller moves of mass between members around the
-    best one. Each round is one set of jobs for all its candidates.
+    best one. Errors of all candidates come from one matrix of second moments where the
+    members are monotone; only the ranks are computed from rows, for candidates not seen before.
     """
     if not models:
         raise ValueError("no predictions given")
     if len(models) == 1:
         return {models[0]: 1.0}
+    if objective not in ("hybrid", "brier"):
+        raise ValueError(f"Unknown objective: {objective}")
     wide = members_wide(predictions, models, [TIME, EVENT]).persist()
+    moments = error_moments(wide, len(models), objective == "hybrid")
     equal = tuple(1.0 / len(models) for _ in models)
     candidates = [equal, *simplex_grid(len(models), grid_steps)]
     best, best_score = equal, -np.inf
     step = 0.5 / grid_steps
+    seen: dict[tuple[float, ...], float] = {}
     for _ in range(rounds):
-        scores = score_candidates(wide, models, candidates, objective)
+        new = [c for c in dict.fromkeys(candidates) if c not in seen]
+        if new and moments is None:
+            seen |= zip(new, score_candidates(wide, models, new, objective), strict=True)
+        elif new:
+            seen |= zip(new, score_by_moments(wide, moments, new, objective), strict=True)
+        scores = [seen[c] for c in candidates]
         top = int(np.argmax(scores))
         if scores[top] > best_score:
             best, best_score = candidates[top], scores[top]

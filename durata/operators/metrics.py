@@ -19,7 +19,7 @@ from durata.constants import (
 from durata.functions.columns import nn
 from durata.functions.labels import horizon_label, scored_at
 from durata.operators.concordance import concordance
-from durata.operators.quantiles import grouped_quantiles
+from durata.operators.quantiles import keyed_quantiles
 from durata.operators.scan import equi_depth_splits, prefix_sums, with_bucket
 
 LOG_EPS = 2.220446049250313e-16  # fixed value: double machine epsilon
@@ -100,14 +100,15 @@ def long_scores(df: DataFrame, keys: list[str]) -> DataFrame:
 def auc(df: DataFrame, keys: list[str] | None = None, splits: list[float] | None = None) -> DataFrame:
     """ROC AUC per key and horizon, tied scores count one half; null with one class."""
     keys = keys or []
-    by = [*keys, "horizon"]
-    if splits is None:
-        splits = equi_depth_splits(df, "prob_48h")
-    return score_auc(long_scores(df, keys), by, splits)
+    return score_auc(long_scores(df, keys), [*keys, "horizon"], splits)
 
 
 def score_auc(rows: DataFrame, by: list[str], splits: list[float] | None = None) -> DataFrame:
-    """AUC of ``prob`` against ``label`` per key, from counts per distinct score."""
+    """AUC of ``prob`` against ``label`` per key, from counts per distinct score.
+
+    Buckets are cut by depth over the scores of all keys together, so none holds more than
+    its share of the rows, however far apart the keys' scores lie.
+    """
     if splits is None:
         splits = equi_depth_splits(rows, "prob")
     counts = rows.groupBy(*by, "prob").agg(
@@ -124,45 +125,18 @@ def calibration_curve(
 ) -> DataFrame:
     """Mean prediction and observed fraction per quantile bin, key and horizon.
 
-    Keys must be few (models, folds): each key and horizon has its own bin edges.
+    Each key and horizon has bin edges of its own; keys may be many, hot or null.
     """
     keys = keys or []
-    tag = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("all")
-    tagged = df.withColumn("__tag", tag)
-    tags = sorted(r[0] for r in tagged.select("__tag").distinct().collect())
-    probs = [i / bins for i in range(bins + 1)]
-    edges = grouped_quantiles(tagged, "__tag", tags, {c: nn(c) for c in PROB_COLS}, probs)
-    return calibration_from_edges(tagged, keys, tags, edges)
-
-
-def calibration_from_edges(df: DataFrame, keys: list[str], tags: list[str], edges: dict) -> DataFrame:
-    def bin_of(c: str) -> Column:
-        out = None
-        for t in tags:
-            # a bin counts the inner edges strictly below the score, repeated edges included
-            inner = [(F.col(c) > F.lit(e)).cast("int") for e in edges[t, c][1:-1]]
-            index = sum(inner, F.lit(0))
-            cond = F.col("__tag") == t
-            out = F.when(cond, index) if out is None else out.when(cond, index)
-        return out
-
-    binned = df.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(h).alias("horizon"),
-                        bin_of(f"prob_{h}h").alias("bin"),
-                        F.col(f"prob_{h}h").alias("prob"),
-                        horizon_label(h).alias("label"),
-                    )
-                    for h in HORIZONS
-                ]
-            )
-        ),
-    )
-    return binned.groupBy(*keys, "horizon", "bin").agg(
+    rows = long_scores(df, keys).withColumn("known", nn("prob"))
+    by = [*keys, "horizon"]
+    edges = keyed_quantiles(rows, by, "known", [i / bins for i in range(bins + 1)])
+    edges = edges.select(*[F.col(k).alias(f"__{k}") for k in by], "quantiles")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
+    # a bin counts the inner edges strictly below the score, repeated edges included
+    below = f"size(filter(slice(quantiles, 2, {bins - 1}), e -> prob > e))"
+    binned = rows.join(edges, same, "left").withColumn("bin", F.expr(f"if(prob is null, null, {below})"))
+    return binned.groupBy(*by, "bin").agg(
         F.count("*").alias("n"),
         F.avg("prob").alias("mean_pred"),
         F.avg(F.col("label").cast("double")).alias("frac_pos"),

@@ -1,4 +1,4 @@
-"""Exact order statistics without gathering a column in one place.
+"""Exact order statistics without gathering a column, or a key's values, in one place.
 
 Small inputs use ``percentile``. Beyond ``small`` values that aggregate would hold one
 map entry per distinct value in a single task, so the wanted ranks are bracketed by a
@@ -9,10 +9,14 @@ map-side-combined aggregate with a state of fixed size.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from durata.operators.scan import equi_depth_splits, prefix_sums, with_bucket
+
+#: Values that the maps of one aggregate hold at most, over all its columns.
 SMALL = 2_000_000
 SKETCH_ACCURACY = 10_000
 
@@ -28,11 +32,11 @@ def exact_quantiles(
     counts = cols.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in range(len(names))]).first()
     out: dict[str, list[float | None]] = {}
     little = [i for i in range(len(names)) if counts[i] <= small]
-    if little:
+    for part in _batches(little, lambda i: counts[i], small):
         row = cols.agg(
-            *[F.percentile(f"c{i}", F.array(*[F.lit(float(p)) for p in probs])) for i in little]
+            *[F.percentile(f"c{i}", F.array(*[F.lit(float(p)) for p in probs])) for i in part]
         ).first()
-        for j, i in enumerate(little):
+        for j, i in enumerate(part):
             out[names[i]] = list(row[j]) if row[j] is not None else [None] * len(probs)
     big = [i for i in range(len(names)) if counts[i] > small]
     if big:
@@ -52,6 +56,19 @@ def exact_quantiles(
     return {n: out[n] for n in names}
 
 
+def _batches(items: Iterable, size: Callable[..., int], most: int) -> Iterator[list]:
+    """``items`` in lists of total size ``most``; a single one may be that large."""
+    part, held = [], 0
+    for x in items:
+        if part and held + size(x) > most:
+            yield part
+            part, held = [], 0
+        part.append(x)
+        held += size(x)
+    if part:
+        yield part
+
+
 def _order_statistics(
     cols: DataFrame, ranks: dict[int, set[int]], counts: dict[int, int], small: int
 ) -> dict[tuple[int, int], float]:
@@ -70,9 +87,10 @@ def _order_statistics(
                 done[key] = lo
                 del open_[key]
         close = {t: b for t, b in open_.items() if b[3] <= small}
-        if close:
+        for part in _batches(list(close), lambda t, c=close: c[t][3], small):
             exprs = []
-            for (i, k), (lo, hi, below, inside) in close.items():
+            for i, k in part:
+                lo, hi, below, inside = close[i, k]
                 p = (k - below + 0.5) / inside
                 exprs.append(
                     F.expr(
@@ -81,7 +99,7 @@ def _order_statistics(
                     )
                 )
             row = cols.agg(*exprs).first()
-            for j, t in enumerate(close):
+            for j, t in enumerate(part):
                 done[t] = row[j]
                 del open_[t]
         if not open_:
@@ -128,14 +146,30 @@ def _order_statistics(
     return done
 
 
-def grouped_quantiles(
-    df: DataFrame, group: str, values: list, columns: dict[str, Column], probs: list[float]
-) -> dict[tuple, list[float | None]]:
-    """Quantiles per value of a low-cardinality column, all in the same passes."""
-    exprs = {
-        f"{g}|{c}": F.when(F.col(group) == F.lit(v), e)
-        for g, v in enumerate(values)
-        for c, e in columns.items()
-    }
-    got = exact_quantiles(df, exprs, probs)
-    return {(v, c): got[f"{g}|{c}"] for g, v in enumerate(values) for c in columns}
+def keyed_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: list[float], small: int = SMALL
+) -> DataFrame:
+    """(keys, quantiles) per key, linearly interpolated; keys may be many, hot or null.
+
+    Beyond ``small`` values the ranks come from prefix sums over a key's distinct values. The
+    buckets of those sums are cut by depth over the values of all keys together, so no bucket
+    of any key holds more than its share of the table. Null values are left out.
+    """
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("__one"))
+    known = df.select(key.alias("__k"), F.col(value).cast("double").alias("__x")).where("__x is not null")
+    if known.count() <= small:
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        found = known.groupBy("__k").agg(F.percentile("__x", wanted).alias("quantiles"))
+    else:
+        counts = known.groupBy("__k", "__x").agg(F.count("*").alias("__n"))
+        cut = with_bucket(counts, "__x", equi_depth_splits(known, "__x"))
+        ranked = prefix_sums(cut, ["__k"], "__x", {"__upto": "__n"})
+        totals = known.groupBy("__k").agg((F.count("*") - 1).alias("__last"))
+        spots = [(f"floor({p!r}D * __last)", f"ceil({p!r}D * __last)") for p in map(float, probs)]
+        held = "max(case when __upto - __n <= {0} and {0} < __upto then __x end)"
+        ends = ranked.join(totals, "__k").groupBy("__k", "__last").agg(
+            *[F.expr(held.format(x)).alias(f"{n}{i}") for i, pair in enumerate(spots) for n, x in zip("ab", pair, strict=True)]
+        )
+        parts = [f"a{i} + (b{i} - a{i}) * ({p!r}D * __last - {spots[i][0]})" for i, p in enumerate(map(float, probs))]
+        found = ends.selectExpr("__k", f"array({', '.join(parts)}) as quantiles")
+    return found.select(*[F.col("__k")[k].alias(k) for k in keys], "quantiles")

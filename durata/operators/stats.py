@@ -11,10 +11,9 @@ from durata.functions.columns import nn
 from durata.functions.features import quantile_bin
 from durata.operators.partials import partition_sums
 from durata.operators.quality import _sql_value, long_form
-from durata.operators.quantiles import exact_quantiles, grouped_quantiles
+from durata.operators.quantiles import exact_quantiles, keyed_quantiles
 from durata.operators.scan import positions
 
-MAX_GROUPS = 500
 
 
 def horizon_counts(df: DataFrame) -> DataFrame:
@@ -47,13 +46,13 @@ def target_stats(df: DataFrame) -> DataFrame:
 def describe_by(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max per group value and column.
 
-    The group column must have few values: their quartiles share the same passes.
+    Groups may be many or hot; rows without a group are left out.
     """
-    values = [r[0] for r in df.select(group).distinct().orderBy(group).limit(MAX_GROUPS + 1).collect()]
-    if len(values) > MAX_GROUPS:
-        raise ValueError(f"{group} has more than {MAX_GROUPS} values; describe_by is for few groups")
-    quartiles = grouped_quantiles(
-        df, group, values, {c: nn(c) for c in columns}, [0.25, 0.5, 0.75]
+    long = df.select(
+        group, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), nn(c).alias("value")) for c in columns]))
+    )
+    quartiles = keyed_quantiles(long, [group, "feature"], "value", [0.25, 0.5, 0.75]).selectExpr(
+        f"`{group}`", "feature", *[f"quantiles[{i}] as {q}" for i, q in enumerate(("q25", "q50", "q75"))]
     )
     aggs = []
     for i, c in enumerate(columns):
@@ -68,12 +67,8 @@ def describe_by(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
         for i, c in enumerate(columns)
     ]
     wide = df.groupBy(group).agg(*aggs).selectExpr(f"`{group}`", f"inline(array({', '.join(structs)}))")
-    rows = [(v, c, *q) for (v, c), q in quartiles.items()]
-    kind = df.schema[group].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(
-        rows, f"`{group}` {kind}, feature string, q25 double, q50 double, q75 double"
-    )
-    return wide.join(table, [group, "feature"])
+    known = wide.where(F.col(group).isNotNull())
+    return known.join(quartiles, [group, "feature"], "left")
 
 
 def hit_rate_by(df: DataFrame, column: str) -> DataFrame:
