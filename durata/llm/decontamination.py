@@ -1,95 +1,86 @@
 """Benchmark decontamination by spaced seeds, with substitution-tolerant verification.
 
 Tokens are lower-case words without ASCII punctuation. A seed is a fixed mask over a window
-of tokens: the positions it ignores may differ, the others are hashed together. Hashes of
-all windows of the documents are joined with those of the benchmark; around each hit the two
-token sequences are compared along the same alignment, and any segment is an overlap that has
+of tokens: the positions it ignores may differ, the others are hashed together. Seeds of the
+documents are joined with those of the benchmark; around each hit the two token sequences are
+compared along the same alignment (diagonal), and any segment is an overlap that has
 at least ``min_overlap`` tokens (or the whole of a shorter item of at least a window) of which
 ``similarity`` match. Of several the one with the most matches above that share is reported.
 
-The benchmark goes to the tasks in blocks of at most ``block_tokens`` tokens, a documented
-bound whatever its size, and every document is compared with every block; so the documents
-are never shuffled and a benchmark passage held by a third of them costs no skew. Windows
-with a token that the benchmark lacks at a hashed position are passed over without hashing.
+How it scales: benchmark items are distinct texts before they are hashed, in tasks, and never
+pass through the driver. The only thing of theirs that every task holds is a bit table of at
+most ``FILTER_BITS`` bits: a document seed without its three bits set is in no item and is not
+written. A fuller table lets more seeds through and loses none. What is left is joined with
+the benchmark's seeds; hits are reduced to distinct (text, item, diagonal), so copies of a
+document count once, and only texts with a hit are read again to cut out the tokens that lie
+opposite an item. Sides of the joins are broadcast only if their counted bytes are at most
+``BROADCAST_BYTES``; beyond it, a seed, item or text with over ``hot`` rows is split over
+copies of the other side's row. Tokens and texts are compared as 64-bit hashes.
 
 Null texts count as empty and are clean; items shorter than a window are matched only whole
 and only if they have at least ``shortest`` tokens; null ids, repeated rows and items stay
-as they are; ids of documents and items may have any type. An empty benchmark leaves every document clean; other columns pass through.
+as they are; ids of documents and items may have any type. An empty benchmark leaves every
+document clean; other columns of any name pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from durata.llm.common import anonymous, discard, stored
+
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: 1: hashed, 0: ignored (may differ).
 MASKS = ("11111111", "110110110011", "101100111011", "111001011011", "110111000111")
 _RNG = np.random.default_rng(20240229)
 _FACTORS = (_RNG.integers(1, 2**63, 64, np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Bits of the table of benchmark seeds: per seed, in all, and set by a seed.
+BITS_PER_SEED, FILTER_BITS, PROBES = 64, 1 << 27, 3
+#: The largest side of a join that is broadcast, in counted bytes.
+BROADCAST_BYTES = 16 << 20
+#: Tokens of a worker's cache of hashes; rows of an Arrow batch that a task returns.
+CACHE, BATCH = 1_000_000, 100_000
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().translate(None, PUNCTUATION).split()
 
 
-@dataclass
-class Block:
-    """Part of a benchmark: token ids one after the other, and sorted seed hashes per mask."""
-
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    ids: np.ndarray = None
-    item: np.ndarray = None
-    starts: np.ndarray = None
-    ends: np.ndarray = None
-    labels: pa.Array = None
-    seeds: list = field(default_factory=list)
-
-    @classmethod
-    def build(cls, labels: pa.Array, texts: list[bytes]) -> Block:
-        self = cls(labels=labels)
-        ids: list[int] = []
-        item: list[int] = []
-        starts, ends = [], []
-        for number, text in enumerate(texts):
-            words = tokens(text)
-            starts.append(len(ids))
-            for w in words:
-                ids.append(self.vocabulary.setdefault(w, len(self.vocabulary) + 1))
-                item.append(number)
-            ends.append(len(ids))
-        self.ids, self.item = np.array(ids, np.int64), np.array(item, np.int64)
-        self.starts, self.ends = np.array(starts, np.int64), np.array(ends, np.int64)
-        for mask in MASKS:
-            at, hashes = seed_hashes(self.ids, mask)
-            inside = self.item[at] == self.item[at + len(mask) - 1] if len(at) else np.empty(0, bool)
-            at, hashes = at[inside], hashes[inside]
-            order = np.argsort(hashes, kind="stable")
-            self.seeds.append((hashes[order], at[order]))
-        return self
+class TokenHashes(dict):
+    """64-bit hashes of tokens, each computed once per worker (bounded)."""
+
+    def __missing__(self, token: bytes) -> int:
+        h = self[token] = xxhash.xxh64_intdigest(token)
+        return h
 
+    def of(self, text: bytes) -> np.ndarray:
+        if len(self) > CACHE:
+            self.clear()
+        return np.array([self[w] for w in tokens(text)], np.uint64)
 
-def seed_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts without an unknown token at a hashed position, and their hashes."""
+
+def seed_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
+    """The hash of every window under a mask, different for each mask."""
     n = len(ids) - len(mask) + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    care = [i for i, c in enumerate(mask) if c == "1"]
-    known = ids > 0
-    ok = known[care[0] : care[0] + n].copy()
-    for i in care[1:]:
-        ok &= known[i : i + n]
-    at = np.flatnonzero(ok)
-    h = np.zeros(len(at), np.uint64)
-    for i in care:
-        h += ids[at + i].astype(np.uint64) * _FACTORS[i]
-        h ^= h >> np.uint64(29)
-    return at, h
+        return np.empty(0, np.uint64)
+    h = np.full(n, int(mask, 2), np.uint64)
+    for i, c in enumerate(mask):
+        if c == "1":
+            h += ids[i : i + n] * _FACTORS[i]
+            h ^= h >> np.uint64(29)
+    return h
+
+
+def probe(h: np.ndarray, size: int, k: int) -> np.ndarray:
+    """The ``k``-th place of each hash in a table of ``size`` bits (a power of two)."""
+    return ((h * _FACTORS[-1 - k]) >> np.uint64(20)) & np.uint64(size - 1)
 
 
 def best_segment(match: np.ndarray, similarity: float, least: int) -> tuple[int, int] | None:
@@ -114,119 +105,221 @@ def best_segment(match: np.ndarray, similarity: float, least: int) -> tuple[int,
     return int(starts[k]), int(at[k]) + least
 
 
-def overlaps(block: Block, ids: np.ndarray, min_overlap: int, similarity: float, shortest: int):
-    """(item index, tokens, matching tokens) of the verified overlaps of one document."""
-    diagonals = set()
-    for mask, (hashes, places) in zip(MASKS, block.seeds, strict=True):
-        if not len(hashes):
-            continue
-        at, h = seed_hashes(ids, mask)
-        if not len(at):
-            continue
-        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            continue
-        width = (hi - lo)[hit]
-        offset = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-        where = places[np.repeat(lo[hit], width) + offset]
-        shift = np.repeat(at[hit], width) - where
-        pairs = np.unique(np.stack([block.item[where], shift]), axis=1)
-        diagonals.update(zip(pairs[0].tolist(), pairs[1].tolist(), strict=True))
-    best: dict[int, tuple[int, int]] = {}
-    for item, shift in diagonals:
-        start = max(int(block.starts[item]), -shift)
-        stop = min(int(block.ends[item]), len(ids) - shift)
-        match = block.ids[start:stop] == ids[start + shift : stop + shift]
-        whole = int(block.ends[item] - block.starts[item])
-        found = best_segment(match, similarity, max(min(min_overlap, whole), shortest))
-        if found:
-            a, b = found
-            best[item] = max(best.get(item, (0, 0)), (b - a, int(match[a:b].sum())))
-    return [(i, n, m) for i, (n, m) in sorted(best.items())]
-
-
-def blocks(benchmark: DataFrame, id_col: str, text: str, block_tokens: int) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_tokens`` tokens at most; one at a time."""
-    items = benchmark.select(
-        F.col(id_col).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("x")
+def _rows(names: list[str], columns: list[np.ndarray | pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
+def items_of(benchmark: DataFrame, text: str) -> DataFrame:
+    """(ih, n, held): hash, token count and token hashes of every distinct benchmark text."""
+    texts = benchmark.select(F.col(text).cast("string").alias("x")).where("x is not null").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
+        for batch in batches:
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                ids = hashes.of(raw)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, 1), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())],
+                    names=["ih", "n", "held"],
+                )
+
+    return texts.selectExpr("xxhash64(x) as ih", "cast(x as binary) as x").mapInArrow(run, "ih long, n long, held binary")
+
+
+def seeds_of(items: DataFrame) -> DataFrame:
+    """(ih, n, h, pos): every seed of every item; ``h`` is the hash as a signed number."""
+    names = ["ih", "n", "h", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ih, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(held, np.uint64)
+                for mask in MASKS:
+                    h = seed_hashes(ids, mask)
+                    for at in range(0, len(h), BATCH):
+                        part = h[at : at + BATCH]
+                        same = [np.full(len(part), x, np.int64) for x in (ih, len(ids))]
+                        yield _rows(names, [*same, part.view(np.int64), np.arange(at, at + len(part))])
+
+    return items.select("ih", "held").mapInArrow(run, "ih long, n long, h long, pos long")
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """The bit table of all seeds, in 64-bit words; at most ``FILTER_BITS`` bits."""
+    n = seeds.count()
+    size = 64
+    while size < min(FILTER_BITS, BITS_PER_SEED * n):
+        size *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield _rows(["bit"], [np.concatenate([probe(h, size, k).view(np.int64) for k in range(PROBES)])])
+
+    bits = seeds.select("h").mapInArrow(run, "bit long")
+    words = bits.groupBy(F.expr("shiftright(bit, 6) as w")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("v")
+    ).toArrow()
+    table = np.zeros(size // 64, np.int64)
+    table[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return table.view(np.uint64)
+
+
+def hits_of(texts: DataFrame, table: np.ndarray) -> DataFrame:
+    """(th, h, at): the seeds of ``texts`` (th, x) whose bits are set in the table."""
+    held = texts.sparkSession.sparkContext.broadcast(table)
+    names = ["th", "h", "at"]
+
+    def found(ids: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for mask in MASKS:
+            h = seed_hashes(ids, mask)
+            at = np.arange(len(h))
+            for k in range(PROBES):
+                bit = probe(h[at], 64 * len(words), k)
+                at = at[(words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+                if not len(at):
+                    break
+            if len(at):
+                yield h[at].view(np.int64), at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, words = TokenHashes(), held.value
+        for batch in batches:
+            ready: list[tuple] = []
+            rows = 0
+            for th, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for h, at in found(hashes.of(raw), words):
+                    ready.append((np.full(len(at), th, np.int64), h, at))
+                    rows += len(at)
+                if rows > BATCH:
+                    yield _rows(names, [np.concatenate(c) for c in zip(*ready, strict=True)])
+                    ready, rows = [], 0
+            if ready:
+                yield _rows(names, [np.concatenate(c) for c in zip(*ready, strict=True)])
+
+    return texts.selectExpr("th", "cast(x as binary) as x").mapInArrow(run, "th long, h long, at long")
+
+
+def spread(big: DataFrame, other: DataFrame, key: str, hot: int, weight: str = "64L") -> DataFrame:
+    """Inner join on ``key``. ``other`` is broadcast if its bytes, the sum of ``weight``, are few;
+    else rows of ``big`` with a key that has over ``hot`` of them meet one of several copies."""
+    if (other.agg(F.sum(F.expr(weight))).first()[0] or 0) <= BROADCAST_BYTES:
+        return big.join(F.broadcast(other), key)
+    counts = big.groupBy(key).agg(F.count("*").alias("c")).where(f"c > {hot}")
+    copies = stored(counts.selectExpr(key, f"cast(c div {hot} + 1 as int) as copies"))
+    salt = F.expr(f"pmod(xxhash64({', '.join(big.columns)}), coalesce(copies, 1))").alias("salt")
+    left = big.join(copies, key, "left").select(*big.columns, salt)
+    right = other.join(copies, key, "left").select(
+        *other.columns, F.explode(F.expr("sequence(0L, coalesce(copies, 1) - 1L)")).alias("salt")
+    )
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
+def segments_of(texts: DataFrame, diagonals: DataFrame) -> DataFrame:
+    """(th, ih, start, seg): the tokens of a text opposite an item from its token ``start`` on."""
+    count = diagonals.groupBy("th").agg(F.count("*").alias("c"))
+    lists = diagonals.join(count, "th").groupBy("th", F.expr("pmod(xxhash64(ih, shift), c div 1024 + 1) as part")).agg(
+        *[F.collect_list(F.struct("ih", "n", "shift")).alias("d")]
+    )
+    one = texts.join(count.select("th"), "th", "left_semi").groupBy("th").agg(F.min("x").alias("x"))
+    names = ["th", "ih", "start", "seg"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
+        for batch in batches:
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                ids = hashes.of(raw)
+                ih, start, seg = [], [], []
+                for d in batch.column(2)[i].as_py():
+                    ih.append(d["ih"])
+                    start.append(max(0, -d["shift"]))
+                    seg.append(ids[max(0, d["shift"]) : d["shift"] + d["n"]].tobytes())
+                th = pa.array(np.full(len(ih), batch.column(0)[i].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [th, pa.array(ih, pa.int64()), pa.array(start, pa.int64()), pa.array(seg, pa.binary())], names=names
+                )
+
+    rows = one.join(lists, "th").selectExpr("th", "cast(x as binary) as x", "d")
+    return rows.mapInArrow(run, "th long, ih long, start long, seg binary")
+
+
+def verified(pairs: DataFrame, min_overlap: int, similarity: float, shortest: int) -> DataFrame:
+    """(th, ih, overlap, matching) of the diagonals in ``pairs`` with an overlap."""
+    names = ["th", "ih", "overlap", "matching"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, same = [], [], []
+            for i in range(batch.num_rows):
+                start, seg, item = (batch.column(k)[i].as_py() for k in (2, 3, 4))
+                seg, item = np.frombuffer(seg, np.uint64), np.frombuffer(item, np.uint64)
+                match = item[start : start + len(seg)] == seg
+                got = best_segment(match, similarity, max(min(min_overlap, len(item)), shortest))
+                if got:
+                    rows.append(i)
+                    sizes.append(got[1] - got[0])
+                    same.append(int(match[got[0] : got[1]].sum()))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()), pa.array(same, pa.int64())],
+                names=names,
+            )
+
+    return pairs.select("th", "ih", "start", "seg", "held").mapInArrow(
+        run, "th long, ih long, overlap long, matching long"
+    )
+
+
+def overlaps(
+    texts: DataFrame, benchmark: DataFrame, item_text: str, min_overlap: int, similarity: float, shortest: int, hot: int
+) -> DataFrame:
+    """(th, ih, overlap, matching) over distinct texts ``texts`` (th, x) and benchmark texts."""
+    items = stored(items_of(benchmark, item_text))
+    seeds = stored(seeds_of(items))
+    hits = stored(hits_of(texts, seed_filter(seeds)))
+    met = spread(hits, seeds, "h", hot).selectExpr("th", "ih", "n", "at - pos as shift")
+    diagonals = stored(met.distinct())
+    segments = stored(segments_of(texts, diagonals))
+    pairs = spread(segments, items.select("ih", "held"), "ih", hot, "length(held) + 64")
+    best = verified(pairs, min_overlap, similarity, shortest).groupBy("th", "ih").agg(
+        F.max(F.struct("overlap", "matching")).alias("b")
     )
-    size = items.agg(F.sum(F.expr("length(x)"))).first()[0] or 0
-    n = max(1, -(-size // (2 * block_tokens)))
-    for b in range(n):
-        part = items.where(F.expr(f"pmod(xxhash64(i, x), {n}) = {b}")) if n > 1 else items
-        got = part.select("i", F.col("x").cast("binary")).toArrow()
-        kind = got.schema.field("i").type
-        labels = pa.concat_arrays([pa.array([], kind), *got.column("i").chunks])
-        yield Block.build(labels, got.column("x").to_pylist())
+    out = stored(best.selectExpr("th", "ih", "b.overlap as overlap", "b.matching as matching"))
+    discard(items, seeds, hits, diagonals, segments)
+    return out
 
 
-def _ids(block: Block, text: bytes) -> np.ndarray:
-    get = block.vocabulary.get
-    return np.array([get(w, 0) for w in tokens(text)], np.int64)
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """(th, x): hash and text of the documents that have one."""
+    return docs.select(F.col(text).cast("string").alias("x")).where("x <> ''").selectExpr("xxhash64(x) as th", "x")
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
     item_col: str = "item_id", item_text: str = "text", min_overlap: int = 10,
-    similarity: float = 0.8, shortest: int = 8, block_tokens: int = 1_000_000,
+    similarity: float = 0.8, shortest: int = 8, hot: int = 100_000,
 ) -> DataFrame:
     """(id, item_id, overlap, matching) for every document and item with an overlap."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col), F.col(text).cast("string").alias("__text"))
-    kind = base.schema[id_col].dataType.simpleString()
-    item_kind = benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, item_id {item_kind}, overlap long, matching long"
-    out = None
-    for block in blocks(benchmark, item_col, item_text, block_tokens):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            b = held.value
-            for batch in batches:
-                rows, items, sizes, same = [], [], [], []
-                for i, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                    for k, n, m in overlaps(b, _ids(b, raw or b""), min_overlap, similarity, shortest):
-                        rows.append(i)
-                        items.append(k)
-                        sizes.append(n)
-                        same.append(m)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(rows, pa.int64())),
-                        b.labels.take(pa.array(items, pa.int64())),
-                        pa.array(sizes, pa.int64()), pa.array(same, pa.int64()),
-                    ],
-                    names=[id_col, "item_id", "overlap", "matching"],
-                )
-
-        part = base.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = overlaps(_texts(docs, text), benchmark, item_text, min_overlap, similarity, shortest, hot)
+    ids = docs.select(F.col(id_col).alias("id"), F.expr(f"xxhash64(cast(`{text}` as string)) as th"))
+    names = benchmark.select(F.col(item_col).alias("item"), F.expr(f"xxhash64(cast(`{item_text}` as string)) as ih"))
+    rows = spread(ids, spread(found, names, "ih", hot), "th", hot)
+    return rows.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "overlap", "matching")
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id",
     item_text: str = "text", min_overlap: int = 10, similarity: float = 0.8, shortest: int = 8,
-    block_tokens: int = 1_000_000,
+    hot: int = 100_000,
 ) -> DataFrame:
     """The documents without an overlap, all columns as they are."""
-    spark: SparkSession = docs.sparkSession
-    place = docs.columns.index(text)
-    for block in blocks(benchmark, item_col, item_text, block_tokens):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            b = held.value
-            for batch in batches:
-                clean = [
-                    not overlaps(b, _ids(b, raw or b""), min_overlap, similarity, shortest)
-                    for raw in batch.column(place).cast(pa.binary()).to_pylist()
-                ]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    rows, at = anonymous(docs)
+    found = overlaps(_texts(docs, text), benchmark, item_text, min_overlap, similarity, shortest, hot)
+    bad = stored(found.select("th").distinct())
+    if bad.count() * 64 <= BROADCAST_BYTES:
+        bad = F.broadcast(bad)
+    hashed = F.xxhash64(F.col(at[text]).cast("string"))
+    return rows.join(bad, hashed == F.col("th"), "left_anti").toDF(*docs.columns)
 
 
 def op9_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

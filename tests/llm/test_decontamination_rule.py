@@ -44,3 +44,48 @@ def test_decontamination_at_the_similarity(spark):
     got = {(r.doc_id, r.item_id): (r.overlap, r.matching) for r in decontamination.contaminated(docs, bench).collect()}
     assert got[0, 0] == (39, 32)
     assert set(got) == {(i, i) for i in range(61)}
+
+
+def slow_overlaps(docs, items):
+    """(doc, item): (overlap, matching), over every diagonal on which some mask agrees."""
+    out = {}
+    for d, text in docs:
+        a = decontamination.tokens(text.encode())
+        for i, item in items:
+            b = decontamination.tokens(item.encode())
+            for shift in range(-len(b) + 1, len(a)):
+                low, high = max(0, -shift), min(len(b), len(a) - shift)
+                match = [a[k + shift] == b[k] for k in range(low, high)]
+                seeded = any(
+                    all(match[at + k] for k, c in enumerate(mask) if c == "1")
+                    for mask in decontamination.MASKS
+                    for at in range(len(match) - len(mask) + 1)
+                )
+                got = seeded and decontamination.best_segment(np.array(match), 0.8, max(min(10, len(b)), 8))
+                if got:
+                    found = (got[1] - got[0], sum(match[got[0] : got[1]]))
+                    out[d, i] = max(out.get((d, i), found), found)
+    return out
+
+
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    rng = random.Random(10)
+    items = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(5, 30)))) for i in range(12)]
+    items += [(50, items[0][1]), (51, "z " * 30), (52, "")]
+    docs = []
+    for d in range(40):
+        copy = rng.choice(items)[1].split()
+        copy = [rng.choice("abcdef") if rng.random() < 0.1 else w for w in copy]
+        around = [[rng.choice("abcdefghij") for _ in range(rng.randint(0, 15))] for _ in range(2)]
+        docs.append((d, " ".join(around[0] + copy + around[1])))
+    docs += [(100, docs[0][1]), (101, "z " * 3000), (102, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = slow_overlaps([d for d in docs if d[0] != 101], items)
+    for bits in (decontamination.FILTER_BITS, 64):
+        monkeypatch.setattr(decontamination, "FILTER_BITS", bits)
+        got = {(r.doc_id, r.item_id): (r.overlap, r.matching) for r in decontamination.contaminated(df, bench).collect()}
+        assert got.pop((101, 51)) == (30, 30)
+        assert got == want
+    clean = {r.doc_id for r in decontamination.decontaminate(df, bench).collect()}
+    assert clean == {d for d, _ in docs} - {d for d, _ in want} - {101}

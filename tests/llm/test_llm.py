@@ -412,7 +412,7 @@ def test_mixing(spark, documents, odd):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(odd.limit(0)).count() == 0
 
 
-def test_decontamination(spark, documents, odd):
+def test_decontamination(spark, documents, odd, monkeypatch):
     words = [f"t{i}" for i in range(400)]
     items = spark.createDataFrame([(1, " ".join(words[:40])), (2, " ".join(words[100:130])), (3, None)], "item_id long, text string")
     changed = list(words[:40])
@@ -422,8 +422,9 @@ def test_decontamination(spark, documents, odd):
         (3, " ".join(words[200:300])), (4, " ".join(words[0:6] + words[200:240])), (5, "z " * 5000 + " ".join(words[100:130])),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (10, 10**6):
-        got = decontamination.contaminated(df, items, block_tokens=block).collect()
+    for hot, limit in ((2, -1), (10**6, decontamination.BROADCAST_BYTES)):
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+        got = decontamination.contaminated(df, items, hot=hot).collect()
         assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (5, 2)]
     assert sorted(r.doc_id for r in decontamination.decontaminate(df, items).collect()) == [3, 4]
     assert decontamination.decontaminate(odd, items).count() == len(ODD)
