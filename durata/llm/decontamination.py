@@ -44,8 +44,8 @@ _FACTORS = (_RNG.integers(1, 2**63, 64, np.uint64) << np.uint64(1)) | np.uint64(
 BITS_PER_SEED, FILTER_BITS, PROBES = 64, 1 << 27, 3
 #: The largest side of a join that is broadcast, in counted bytes.
 BROADCAST_BYTES = 16 << 20
-#: Tokens of a worker's cache of hashes; rows of an Arrow batch that a task returns.
-CACHE, BATCH = 1_000_000, 100_000
+#: Tokens in a worker's cache of hashes; tokens (of several texts, or one) hashed at once.
+CACHE, BATCH = 300_000, 100_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -53,29 +53,36 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class TokenHashes(dict):
-    """64-bit hashes of tokens, each computed once per worker (bounded)."""
+    """64-bit hashes of tokens, eight bytes each, computed once per worker (bounded)."""
 
-    def __missing__(self, token: bytes) -> int:
-        h = self[token] = xxhash.xxh64_intdigest(token)
+    def __missing__(self, token: bytes) -> bytes:
+        h = self[token] = xxhash.xxh64_digest(token)
         return h
 
-    def of(self, text: bytes) -> np.ndarray:
+    def of(self, text: bytes) -> bytes:
         if len(self) > CACHE:
             self.clear()
-        return np.array([self[w] for w in tokens(text)], np.uint64)
+        return b"".join(map(self.__getitem__, tokens(text)))
 
 
-def seed_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of every window under a mask, different for each mask."""
-    n = len(ids) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.full(n, int(mask, 2), np.uint64)
-    for i, c in enumerate(mask):
-        if c == "1":
-            h += ids[i : i + n] * _FACTORS[i]
-            h ^= h >> np.uint64(29)
-    return h
+def seed_hashes(held: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The hash of every window of these token hashes, ``BATCH`` windows at a time.
+
+    Per slice and mask: the first window, the mask's width, and the hashes.
+    """
+    ids = np.frombuffer(held, np.uint64)
+    widest = max(map(len, MASKS))
+    for low in range(0, len(ids), BATCH):
+        part = ids[low : low + BATCH + widest - 1]
+        # token hashes are spread evenly, and so are their sums with odd factors
+        scaled = [part * f for f in _FACTORS[:widest]]
+        for mask in MASKS:
+            n = max(0, min(BATCH, len(part) - len(mask) + 1))
+            h = np.full(n, int(mask, 2), np.uint64)
+            for i, c in enumerate(mask):
+                if c == "1":
+                    h += scaled[i][i : i + n]
+            yield low, len(mask), h
 
 
 def probe(h: np.ndarray, size: int, k: int) -> np.ndarray:
@@ -117,9 +124,9 @@ def items_of(benchmark: DataFrame, text: str) -> DataFrame:
         hashes = TokenHashes()
         for batch in batches:
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                ids = hashes.of(raw)
+                held = hashes.of(raw)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())],
+                    [batch.column(0).slice(i, 1), pa.array([len(held) // 8], pa.int64()), pa.array([held], pa.binary())],
                     names=["ih", "n", "held"],
                 )
 
@@ -133,13 +140,9 @@ def seeds_of(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ih, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(held, np.uint64)
-                for mask in MASKS:
-                    h = seed_hashes(ids, mask)
-                    for at in range(0, len(h), BATCH):
-                        part = h[at : at + BATCH]
-                        same = [np.full(len(part), x, np.int64) for x in (ih, len(ids))]
-                        yield _rows(names, [*same, part.view(np.int64), np.arange(at, at + len(part))])
+                for low, _, h in seed_hashes(held):
+                    same = [np.full(len(h), x, np.int64) for x in (ih, len(held) // 8)]
+                    yield _rows(names, [*same, h.view(np.int64), np.arange(low, low + len(h))])
 
     return items.select("ih", "held").mapInArrow(run, "ih long, n long, h long, pos long")
 
@@ -167,35 +170,41 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
 
 def hits_of(texts: DataFrame, table: np.ndarray) -> DataFrame:
     """(th, h, at): the seeds of ``texts`` (th, x) whose bits are set in the table."""
-    held = texts.sparkSession.sparkContext.broadcast(table)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
     names = ["th", "h", "at"]
 
-    def found(ids: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for mask in MASKS:
-            h = seed_hashes(ids, mask)
+    def found(ths: list[int], held: list[bytes]) -> pa.RecordBatch:
+        """The hits of some texts, whose tokens are hashed as one sequence."""
+        words = shared.value
+        ends = np.cumsum([len(x) // 8 for x in held])
+        home = np.repeat(np.arange(len(held)), np.diff(ends, prepend=0))
+        rows = [(np.empty(0, np.int64),) * 3]
+        for low, width, h in seed_hashes(b"".join(held)):
             at = np.arange(len(h))
             for k in range(PROBES):
                 bit = probe(h[at], 64 * len(words), k)
                 at = at[(words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
-                if not len(at):
-                    break
-            if len(at):
-                yield h[at].view(np.int64), at
+            at = at[home[low + at] == home[low + at + width - 1]]
+            rows.append((home[low + at], h[at].view(np.int64), low + at))
+        doc, h, at = (np.concatenate(c) for c in zip(*rows, strict=True))
+        starts = ends - [len(x) // 8 for x in held]
+        return _rows(names, [np.array(ths, np.int64)[doc], h, at - starts[doc]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, words = TokenHashes(), held.value
+        hashes = TokenHashes()
         for batch in batches:
-            ready: list[tuple] = []
-            rows = 0
+            ths: list[int] = []
+            held: list[bytes] = []
+            size = 0
             for th, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for h, at in found(hashes.of(raw), words):
-                    ready.append((np.full(len(at), th, np.int64), h, at))
-                    rows += len(at)
-                if rows > BATCH:
-                    yield _rows(names, [np.concatenate(c) for c in zip(*ready, strict=True)])
-                    ready, rows = [], 0
-            if ready:
-                yield _rows(names, [np.concatenate(c) for c in zip(*ready, strict=True)])
+                ths.append(th)
+                held.append(hashes.of(raw))
+                size += len(held[-1])
+                if size > 8 * BATCH:
+                    yield found(ths, held)
+                    ths, held, size = [], [], 0
+            if ths:
+                yield found(ths, held)
 
     return texts.selectExpr("th", "cast(x as binary) as x").mapInArrow(run, "th long, h long, at long")
 
@@ -228,12 +237,12 @@ def segments_of(texts: DataFrame, diagonals: DataFrame) -> DataFrame:
         hashes = TokenHashes()
         for batch in batches:
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                ids = hashes.of(raw)
+                held = hashes.of(raw)
                 ih, start, seg = [], [], []
                 for d in batch.column(2)[i].as_py():
                     ih.append(d["ih"])
                     start.append(max(0, -d["shift"]))
-                    seg.append(ids[max(0, d["shift"]) : d["shift"] + d["n"]].tobytes())
+                    seg.append(held[8 * max(0, d["shift"]) : 8 * (d["shift"] + d["n"])])
                 th = pa.array(np.full(len(ih), batch.column(0)[i].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [th, pa.array(ih, pa.int64()), pa.array(start, pa.int64()), pa.array(seg, pa.binary())], names=names

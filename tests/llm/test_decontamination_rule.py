@@ -82,7 +82,8 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = slow_overlaps([d for d in docs if d[0] != 101], items)
-    for bits in (decontamination.FILTER_BITS, 64):
+    for bits, batch in ((decontamination.FILTER_BITS, 7), (64, decontamination.BATCH)):
+        monkeypatch.setattr(decontamination, "BATCH", batch)
         monkeypatch.setattr(decontamination, "FILTER_BITS", bits)
         got = {(r.doc_id, r.item_id): (r.overlap, r.matching) for r in decontamination.contaminated(df, bench).collect()}
         assert got.pop((101, 51)) == (30, 30)
