@@ -82,11 +82,23 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = slow_overlaps([d for d in docs if d[0] != 101], items)
-    for bits, batch in ((decontamination.FILTER_BITS, 7), (64, decontamination.BATCH)):
-        monkeypatch.setattr(decontamination, "BATCH", batch)
+    for bits in (decontamination.FILTER_BITS, 64):
         monkeypatch.setattr(decontamination, "FILTER_BITS", bits)
         got = {(r.doc_id, r.item_id): (r.overlap, r.matching) for r in decontamination.contaminated(df, bench).collect()}
         assert got.pop((101, 51)) == (30, 30)
         assert got == want
     clean = {r.doc_id for r in decontamination.decontaminate(df, bench).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in want} - {101}
+
+
+def test_seeds_are_the_same_in_slices(monkeypatch):
+    held = decontamination.TokenHashes().of(b"a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3)
+
+    def found():
+        return sorted((w, low + i, x) for low, w, h in decontamination.seed_hashes(held) for i, x in enumerate(h.tolist()))
+
+    want = found()
+    assert len(want) == sum(79 - len(mask) for mask in decontamination.MASKS)
+    for size in (1, 7, 77):
+        monkeypatch.setattr(decontamination, "BATCH", size)
+        assert found() == want
