@@ -1,9 +1,10 @@
 """Exact order statistics without gathering a column, or a key's values, in one place.
 
 Small inputs use ``percentile``. Beyond ``small`` values that aggregate would hold one
-map entry per distinct value in a single task, so the wanted ranks are bracketed by a
-bounded-size sketch and the bracket is narrowed by counting passes; every pass is a
-map-side-combined aggregate with a state of fixed size.
+map entry per distinct value in a single task, so one pass sketches all columns, a second
+counts the values at and between the sketched cuts, and a third ranks the few values of the
+gaps that hold a wanted rank. The number of passes depends neither on the columns nor on
+the probabilities.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from durata.operators.partials import batch_matrix
 from durata.operators.scan import equi_depth_splits, prefix_sums, with_bucket
 
 #: Values that the maps of one aggregate hold at most, over all its columns.
@@ -45,13 +49,15 @@ def exact_quantiles(
             for p in probs:
                 at = p * (counts[i] - 1)
                 ranks.setdefault(i, set()).update({math.floor(at), math.ceil(at)})
-        values = _order_statistics(cols, ranks, {i: counts[i] for i in big}, small)
+        values = _order_statistics(cols, ranks, {i: counts[i] for i in big})
         for i in big:
             found = []
             for p in probs:
                 at = p * (counts[i] - 1)
-                lo, hi = values[i, math.floor(at)], values[i, math.ceil(at)]
-                found.append(lo + (hi - lo) * (at - math.floor(at)))
+                below, above = math.floor(at), math.ceil(at)
+                lo, hi = values[i, below], values[i, above]
+                # as ``percentile`` interpolates, to the last bit
+                found.append(lo if lo == hi else (above - at) * lo + (at - below) * hi)
             out[names[i]] = found
     return {n: out[n] for n in names}
 
@@ -70,79 +76,78 @@ def _batches(items: Iterable, size: Callable[..., int], most: int) -> Iterator[l
 
 
 def _order_statistics(
-    cols: DataFrame, ranks: dict[int, set[int]], counts: dict[int, int], small: int
+    cols: DataFrame, ranks: dict[int, set[int]], counts: dict[int, int]
 ) -> dict[tuple[int, int], float]:
+    """Values of the wanted ranks (from 0) of columns ``c0``, ``c1``, ...
+
+    A column's cell 2j holds the values between its sketched cuts j - 1 and j, cell 2j + 1
+    those equal to cut j. The cuts enclose every wanted rank closely, so the cells whose
+    values are fetched are a small share of the rows; a poor sketch makes them larger only.
+    """
+    places = list(ranks)
+    names = [f"c{i}" for i in places]
+    margin = 2.0 / SKETCH_ACCURACY
+    sketches = []
+    for i in places:
+        near = {min(1.0, max(0.0, k / counts[i] + d)) for k in ranks[i] for d in (-margin, margin)}
+        wanted = F.array(*[F.lit(p) for p in sorted(near)])
+        sketches.append(F.percentile_approx(f"c{i}", wanted, SKETCH_ACCURACY))
+    cuts = [np.unique(np.array(c)) for c in cols.agg(*sketches).first()]
+
+    def cells(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        matrix = batch_matrix(batch, names)
+        for j, cut in enumerate(cuts):
+            x = matrix[:, j]
+            x = x[~np.isnan(x)]
+            at = np.searchsorted(cut, x, "left")
+            yield j, x, 2 * at + (cut[np.minimum(at, len(cut) - 1)] == x)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(2 * len(cut) + 1, dtype=np.int64) for cut in cuts]
+        for batch in batches:
+            for j, _, cell in cells(batch):
+                held[j] += np.bincount(cell, minlength=len(held[j]))
+        for j, n in enumerate(held):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), j)), pa.array(np.arange(len(n))), pa.array(n)], names=["col", "cell", "n"]
+            )
+
+    upto = [np.zeros(2 * len(cut) + 1, dtype=np.int64) for cut in cuts]
+    counted = cols.mapInArrow(count, "col long, cell long, n long").groupBy("col", "cell")
+    for r in counted.agg(F.sum("n").alias("n")).collect():
+        upto[r["col"]][r["cell"]] = r["n"]
     done: dict[tuple[int, int], float] = {}
-    # open brackets: target -> (lo, hi, values below lo, values inside [lo, hi])
-    extremes = cols.agg(
-        *[f for i in ranks for f in (F.min(f"c{i}"), F.max(f"c{i}"))]
-    ).first()
-    open_: dict[tuple[int, int], tuple[float, float, int, int]] = {}
-    for j, i in enumerate(ranks):
+    gaps: list[tuple[int, int, int, int]] = []
+    open_: list[np.ndarray] = [np.zeros(len(x), dtype=bool) for x in upto]
+    for j, i in enumerate(places):
+        upto[j] = np.cumsum(upto[j])
         for k in ranks[i]:
-            open_[i, k] = (extremes[2 * j], extremes[2 * j + 1], 0, counts[i])
-    while open_:
-        for key, (lo, hi, _, _) in list(open_.items()):
-            if lo == hi:
-                done[key] = lo
-                del open_[key]
-        close = {t: b for t, b in open_.items() if b[3] <= small}
-        for part in _batches(list(close), lambda t, c=close: c[t][3], small):
-            exprs = []
-            for i, k in part:
-                lo, hi, below, inside = close[i, k]
-                p = (k - below + 0.5) / inside
-                exprs.append(
-                    F.expr(
-                        f"percentile_disc({p!r}D) within group (order by case when "
-                        f"c{i} >= {lo!r}D and c{i} <= {hi!r}D then c{i} end)"
-                    )
-                )
-            row = cols.agg(*exprs).first()
-            for j, t in enumerate(part):
-                done[t] = row[j]
-                del open_[t]
-        if not open_:
-            break
-        probes = []
-        for (i, k), (lo, hi, below, inside) in open_.items():
-            margin = 2.0 / SKETCH_ACCURACY
-            p = (k - below + 0.5) / inside
-            x = F.when((F.col(f"c{i}") >= lo) & (F.col(f"c{i}") <= hi), F.col(f"c{i}"))
-            wanted = F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin)))
-            probes.append(F.percentile_approx(x, wanted, SKETCH_ACCURACY))
-        sketch = cols.agg(*probes).first()
-        targets = list(open_)
-        tallies = []
-        for j, (i, _) in enumerate(targets):
-            c, s0, s1 = F.col(f"c{i}"), F.lit(sketch[j][0]), F.lit(sketch[j][1])
-            middle = (c > s0) & (c < s1)
-            tallies += [
-                F.count_if(c < s0),
-                F.count_if(c == s0),
-                F.count_if(middle),
-                F.count_if((c == s1) & (s1 > s0)),
-                F.max(F.when(c < s0, c)),
-                F.min(F.when(middle, c)),
-                F.max(F.when(middle, c)),
-                F.min(F.when(c > s1, c)),
-            ]
-        counted = cols.agg(*tallies).first()
-        for j, t in enumerate(targets):
-            lo, hi, below, inside = open_[t]
-            n_lt, n_s0, n_mid, n_s1, top_lt, mid_lo, mid_hi, next_gt = counted[8 * j : 8 * j + 8]
-            k = t[1]
-            if k < n_lt:
-                open_[t] = (lo, top_lt, below, n_lt - below)
-            elif k < n_lt + n_s0:
-                open_[t] = (sketch[j][0], sketch[j][0], n_lt, n_s0)
-            elif k < n_lt + n_s0 + n_mid:
-                open_[t] = (mid_lo, mid_hi, n_lt + n_s0, n_mid)
-            elif k < n_lt + n_s0 + n_mid + n_s1:
-                open_[t] = (sketch[j][1], sketch[j][1], n_lt + n_s0 + n_mid, n_s1)
+            cell = int(np.searchsorted(upto[j], k, "right"))
+            if cell % 2:
+                done[i, k] = float(cuts[j][cell // 2])
             else:
-                seen = n_lt + n_s0 + n_mid + n_s1
-                open_[t] = (next_gt, hi, seen, below + inside - seen)
+                open_[j][cell] = True
+                gaps.append((j, cell, k - (int(upto[j][cell - 1]) if cell else 0), k))
+    if not gaps:
+        return done
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j, x, cell in cells(batch):
+                kept = open_[j][cell]
+                if kept.any():
+                    col = np.full(int(kept.sum()), j)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(col), pa.array(cell[kept]), pa.array(x[kept])], names=["col", "cell", "x"]
+                    )
+
+    values = cols.mapInArrow(fetch, "col long, cell long, x double").groupBy("col", "cell", "x")
+    running = Window.partitionBy("col", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(running))
+    wanted = cols.sparkSession.createDataFrame(gaps, "col long, cell long, inside long, rank long")
+    hit = ranked.join(F.broadcast(wanted), ["col", "cell"]).where("upto - n <= inside and inside < upto")
+    for r in hit.select("col", "rank", "x").collect():
+        done[places[r["col"]], r["rank"]] = r["x"]
     return done
 
 
