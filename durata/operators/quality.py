@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from durata.constants import PROB_COLS, PSI_ALERT, SUBMISSION_COLUMNS
 from durata.functions.columns import is_floating, nn
+from durata.operators.partials import partition_cells
 from durata.operators.quantiles import exact_quantiles
 
 PSI_EPS = 1e-6
@@ -321,20 +322,28 @@ def histogram(df: DataFrame, columns: list[str], bins: int, by: list[str] | None
 def psi(base: DataFrame, other: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """Population stability index on the base side's quantile bins, alert above 0.2."""
     edges = exact_quantiles(base, {c: nn(c) for c in columns}, [i / bins for i in range(bins + 1)])
-    structs = []
-    for c in columns:
-        inner = sorted({e for e in edges[c] if e is not None})[1:-1]
-        v = _sql_value(c)
-        index = " + ".join(["0", *[f"int({v} > {float(e)!r}D)" for e in inner]])
-        structs.append(f"named_struct('feature','{c}','bin',{index})")
-    tall = (
-        base.select(*columns, F.lit(1).alias("__base"))
-        .unionByName(other.select(*columns, F.lit(0).alias("__base")))
-        .selectExpr("__base", f"inline(array({', '.join(structs)}))")
-        .filter("bin is not null")
-    )
-    counts = tall.groupBy("feature", "bin").agg(
-        F.sum("__base").alias("nb"), F.sum(1 - F.col("__base")).alias("no")
+    inner = [np.array(sorted({float(e) for e in edges[c] if e is not None})[1:-1]) for c in columns]
+
+    def cells(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(columns), bins, 2))
+        for j, cut in enumerate(inner):
+            # a column without cuts is one bin of all rows
+            seen = ~np.isnan(x[:, j]) if len(cut) else np.ones(len(x), dtype=bool)
+            cell = 2 * np.searchsorted(cut, x[seen, j], "left") + (x[seen, -1] == 1)
+            out[j] = np.bincount(cell, minlength=2 * bins).reshape(bins, 2)
+        return out.ravel()
+
+    values = [f"{_sql_value(c)} as `c{i}`" for i, c in enumerate(columns)]
+    both = base.selectExpr(*values, "1D as side").unionByName(other.selectExpr(*values, "0D as side"))
+    names = F.array(*[F.lit(c) for c in columns])
+    counts = (
+        partition_cells(both, cells, len(columns) * bins * 2)
+        .groupBy(
+            names[F.expr(f"pos div {2 * bins}").cast("int")].alias("feature"),
+            F.expr(f"pos div 2 % {bins}").alias("bin"),
+        )
+        .agg(F.sum(F.expr("if(pos % 2 = 1, v, 0)")).alias("nb"), F.sum(F.expr("if(pos % 2 = 0, v, 0)")).alias("no"))
+        .filter("nb + no > 0")
     )
     totals = counts.groupBy("feature").agg(F.sum("nb").alias("tb"), F.sum("no").alias("to_"))
     p = f"greatest(nb / tb, {PSI_EPS!r}D)"
