@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from durata.constants import CORRELATION_THRESHOLD, MI_THRESHOLD, TIME
 from durata.functions.columns import nn
+from durata.operators.partials import partition_cells
 from durata.operators.quality import _sql_value
 from durata.operators.quantiles import exact_quantiles
 from durata.operators.stats import correlations
@@ -15,30 +16,34 @@ from durata.operators.stats import correlations
 MI_BINS = 16
 
 
-def _bin_text(c: str, edges: list[float]) -> str:
-    inner = sorted({float(e) for e in edges if e is not None})[1:-1]
-    v = _sql_value(c)
-    terms = " + ".join(["0", *[f"int({v} > {e!r}D)" for e in inner]])
-    return f"if({v} is null, null, {terms})"
-
-
 def mutual_information(
     df: DataFrame, columns: list[str], target: str = TIME, bins: int = MI_BINS
 ) -> DataFrame:
     """Binned mutual information (nats) of each column with the target, highest first.
 
-    Both sides are cut at their quantiles; the joint counts are one aggregate of at most
-    ``bins`` squared cells per column.
+    Both sides are cut at their quantiles; a task counts its rows into ``bins`` squared cells
+    per column, whatever the number of rows.
     """
     probs = [i / bins for i in range(bins + 1)]
     edges = exact_quantiles(df, {c: nn(c) for c in [*columns, target]}, probs)
-    cells = ", ".join(
-        f"named_struct('feature','{c}','bx',{_bin_text(c, edges[c])})" for c in columns
+    inner = {c: np.array(sorted({float(e) for e in x if e is not None})[1:-1]) for c, x in edges.items()}
+
+    def cells(x: np.ndarray) -> np.ndarray:
+        y = x[:, -1]
+        by = np.searchsorted(inner[target], y, "left")
+        out = np.zeros((len(columns), bins * bins))
+        for j, c in enumerate(columns):
+            seen = ~(np.isnan(x[:, j]) | np.isnan(y))
+            bx = np.searchsorted(inner[c], x[seen, j], "left")
+            out[j] = np.bincount(bx * bins + by[seen], minlength=bins * bins)
+        return out.ravel()
+
+    numbers = df.selectExpr(*[f"{_sql_value(c)} as `c{i}`" for i, c in enumerate([*columns, target])])
+    names = F.array(*[F.lit(c) for c in columns])
+    joint = partition_cells(numbers, cells, len(columns) * bins * bins).where("v > 0").select(
+        names[F.expr(f"pos div {bins * bins}").cast("int")].alias("feature"),
+        F.expr(f"pos div {bins} % {bins}").alias("bx"), F.expr(f"pos % {bins}").alias("by"), F.col("v").alias("n"),
     )
-    tall = df.selectExpr(
-        f"{_bin_text(target, edges[target])} as by", f"inline(array({cells}))"
-    ).filter("bx is not null and by is not null")
-    joint = tall.groupBy("feature", "bx", "by").agg(F.count("*").cast("double").alias("n"))
     px = joint.groupBy("feature", "bx").agg(F.sum("n").alias("nx"))
     py = joint.groupBy("feature", "by").agg(F.sum("n").alias("ny"))
     total = joint.groupBy("feature").agg(F.sum("n").alias("nt"))

@@ -17,7 +17,9 @@ from durata.operators.ensemble import (
     simplex_grid,
 )
 from durata.operators.metrics import auc, calibration_curve
+from durata.operators.quality import psi
 from durata.operators.quantiles import exact_quantiles, keyed_quantiles
+from durata.operators.selection import mutual_information
 from durata.operators.stats import describe_by
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
@@ -135,3 +137,52 @@ def test_concordance_lets_go_of_its_rows(spark):
     for _ in range(3):
         assert concordance(df.where("key is not null"), ["key"], cuts=3, group_rows=20).count() == 2
     assert held().size() - before <= 3
+
+
+def test_exact_quantiles_passes_do_not_grow(spark, monkeypatch):
+    """Many columns and probabilities beyond the limit: a few passes, bits as ``percentile``."""
+    rng = random.Random(15)
+    rows = [tuple(rng.choice([rng.gauss(0, 1), 0.5, None]) for _ in range(8)) for _ in range(900)]
+    names = [f"x{i}" for i in range(8)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    probs, wide = [i / 16 for i in range(17)], []
+    plain = type(df).agg
+
+    def agg(self, *exprs):
+        wide.append(len(exprs))
+        return plain(self, *exprs)
+
+    monkeypatch.setattr(type(df), "agg", agg)
+    got = exact_quantiles(df, {c: F.col(c) for c in names}, probs, small=20)
+    assert max(wide) <= len(names) and len(wide) <= 4
+    monkeypatch.undo()
+    assert got == exact_quantiles(df, {c: F.col(c) for c in names}, probs, small=10**6)
+
+
+def test_bins_of_wide_tables_are_counted_per_task(spark):
+    """PSI and mutual information against numpy, with missing values and a constant column."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 3)).round(1)
+    x[rng.random((700, 3)) < 0.1] = np.nan
+    y, side = np.where(x[:, 0] > 0, x[:, 1], rng.normal(size=700)), rng.random(700) < 0.6
+    data = [(*map(float, r), 4.0, float(t), bool(s)) for r, t, s in zip(x, y, side, strict=True)]
+    df = spark.createDataFrame(data, "a double, b double, c double, one double, t double, base boolean").repartition(4)
+
+    def binned(v, edges):
+        return np.searchsorted(np.unique(edges)[1:-1], v, "left")
+
+    got = {r.feature: r.psi for r in psi(df.where("base"), df.where("not base"), ["a", "b", "c", "one"]).collect()}
+    scores = {r.feature: r.mi_score for r in mutual_information(df, ["a", "b", "c", "one"], "t").collect()}
+    assert got["one"] == 0 and scores["one"] == pytest.approx(0, abs=1e-12)
+    for j, c in enumerate("abc"):
+        p, q = ([x[s & ~np.isnan(x[:, j]), j]] for s in (side, ~side))
+        edges = np.quantile(p[0], np.arange(11) / 10)
+        p, q = (np.maximum(np.bincount(binned(v[0], edges), minlength=10) / len(v[0]), 1e-6) for v in (p, q))
+        assert got[c] == pytest.approx(((p - q) * np.log(p / q)).sum())
+        known, seen = ~np.isnan(x[:, j]), ~np.isnan(y)
+        both = known & seen
+        cut = [np.quantile(v, np.arange(17) / 16) for v in (x[known, j], y[seen])]
+        n, _, _ = np.histogram2d(binned(x[both, j], cut[0]), binned(y[both], cut[1]), bins=[np.arange(17), np.arange(17)])
+        n /= n.sum()
+        expected = np.outer(n.sum(1), n.sum(0))
+        assert scores[c] == pytest.approx((n[n > 0] * np.log(n[n > 0] / expected[n > 0])).sum())
