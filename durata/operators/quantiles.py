@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from durata.operators.partials import batch_matrix
-from durata.operators.scan import equi_depth_splits, prefix_sums, with_bucket
+from durata.operators.scan import POINTS, equi_depth_splits, prefix_sums, sketched_quantiles, with_bucket
 
 #: Values that the maps of one aggregate hold at most, over all its columns.
 SMALL = 2_000_000
-SKETCH_ACCURACY = 10_000
+#: Share of the values by which the sketched cuts lie beside a wanted rank.
+MARGIN = 4.0 / POINTS
 
 
 def exact_quantiles(
@@ -31,8 +32,6 @@ def exact_quantiles(
     """Linear-interpolation quantiles of several (nullable, NaN-free) expressions at once."""
     names = list(exprs)
     cols = df.select(*[exprs[n].cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    # The first pass both counts and answers the small case; the sketch-sized state of
-    # ``approx_percentile`` (not the exact map) is what runs on big inputs.
     counts = cols.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in range(len(names))]).first()
     out: dict[str, list[float | None]] = {}
     little = [i for i in range(len(names)) if counts[i] <= small]
@@ -86,13 +85,10 @@ def _order_statistics(
     """
     places = list(ranks)
     names = [f"c{i}" for i in places]
-    margin = 2.0 / SKETCH_ACCURACY
-    sketches = []
-    for i in places:
-        near = {min(1.0, max(0.0, k / counts[i] + d)) for k in ranks[i] for d in (-margin, margin)}
-        wanted = F.array(*[F.lit(p) for p in sorted(near)])
-        sketches.append(F.percentile_approx(f"c{i}", wanted, SKETCH_ACCURACY))
-    cuts = [np.unique(np.array(c)) for c in cols.agg(*sketches).first()]
+    near = [
+        sorted({min(1.0, max(0.0, k / counts[i] + d)) for k in ranks[i] for d in (-MARGIN, MARGIN)}) for i in places
+    ]
+    cuts = [np.unique(c) for c in sketched_quantiles(cols, names, near)]
 
     def cells(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         matrix = batch_matrix(batch, names)
