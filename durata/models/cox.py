@@ -24,7 +24,7 @@ from durata.constants import EVENT, HORIZONS, ID, TIME
 from durata.functions.impute import MedianImputer, Standardizer
 from durata.models.base import HorizonModel, default_features, with_probabilities
 from durata.models.newton import Smooth, minimise, stationarity
-from durata.models.trees import RANGE_ROWS, summed
+from durata.models.trees import pass_partitions, summed
 from durata.operators.partials import batch_matrix
 
 TERMS = 1_000_000  # tied hits summed at once
@@ -52,7 +52,7 @@ class TimeSorted:
     """Standardised rows ranged and sorted by time, with the passes of one evaluation."""
 
     def __init__(self, df: DataFrame, p: int) -> None:
-        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+        parts = pass_partitions(df)
         # the row key spreads a time shared by many rows over several partitions
         self.df = df.repartitionByRange(parts, "t", "key").sortWithinPartitions("t").persist()
         self.p, self.partitions = p, self.df.rdd.getNumPartitions()

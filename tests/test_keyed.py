@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,8 +18,10 @@ from durata.operators.ensemble import (
     simplex_grid,
 )
 from durata.operators.metrics import auc, calibration_curve
+from durata.models.trees import FoldBins, training_table
 from durata.operators.quality import psi
 from durata.operators.quantiles import exact_quantiles, keyed_quantiles
+from durata.operators.scan import POINTS, equi_depth_splits_of, sketched_quantiles
 from durata.operators.selection import mutual_information
 from durata.operators.stats import describe_by
 
@@ -186,3 +189,30 @@ def test_bins_of_wide_tables_are_counted_per_task(spark):
         n /= n.sum()
         expected = np.outer(n.sum(1), n.sum(0))
         assert scores[c] == pytest.approx((n[n > 0] * np.log(n[n > 0] / expected[n > 0])).sum())
+
+
+def test_cuts_of_many_columns_meet_in_groups_of_their_own(spark):
+    """Cut points within their share of the ranks: skew, ties, missing and infinite values, no values."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([np.sort(rng.lognormal(size=40_000)), rng.integers(0, 3, 40_000), np.full(40_000, np.nan)])
+    x[:50, 0], x[-50:, 0] = np.nan, np.inf
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"])).repartition(6)
+    found = sketched_quantiles(df, ["a", "b", "c"], [[0.1, 0.5, 0.9], [0.5], [0.5]])
+    known = np.sort(x[50:, 0])
+    assert np.abs(np.searchsorted(known, found[0]) / len(known) - [0.1, 0.5, 0.9]).max() < 2 / POINTS
+    assert found[1].tolist() == [1.0] and len(found[2]) == 0
+    assert np.isfinite(equi_depth_splits_of(df, ["a", "b", "c"], 50)[0]).all()
+
+
+def test_training_tables_have_a_partition_a_core(spark):
+    """Tables in many small partitions, or in one, are passed over by one task a core."""
+    rows = [(i, float(i % 7), 1.0 + i % 11, i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, x double, time_to_hit_hours double, event int")
+    cores = spark.sparkContext.defaultParallelism
+    for parts in (1, 5 * cores):
+        cut = df.repartition(parts)
+        bins = FoldBins.fit(cut, ["x"], [-1], "-2", 8)
+        for order in (None, "t"):
+            table = training_table(cut, bins, {"t": "time_to_hit_hours"}, 1, order=order)
+            assert table.partitions == cores and table.df.count() == 300
+            table.df.unpersist()
