@@ -18,7 +18,9 @@ from durata.operators.ensemble import (
     simplex_grid,
 )
 from durata.operators.metrics import auc, calibration_curve
+from durata.models.marginal import KaplanMeierModel
 from durata.models.trees import FoldBins, training_table
+from durata.models.validation import oof_predictions
 from durata.operators.quality import psi
 from durata.operators.quantiles import exact_quantiles, keyed_quantiles
 from durata.operators.scan import POINTS, equi_depth_splits_of, sketched_quantiles
@@ -216,3 +218,17 @@ def test_training_tables_have_a_partition_a_core(spark):
             table = training_table(cut, bins, {"t": "time_to_hit_hours"}, 1, order=order)
             assert table.partitions == cores and table.df.count() == 300
             table.df.unpersist()
+
+
+def test_fold_predictions_have_few_partitions(spark):
+    """Predictions of k folds lie in k partitions a core, however the rows came."""
+    rows = [(i, float(i % 7), 1.0 + i % 50, i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, x double, time_to_hit_hours double, event long")
+    cores = spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(5 * cores))
+    try:
+        out = oof_predictions(KaplanMeierModel, df, ["x"], 3)
+        assert out.rdd.getNumPartitions() <= 3 * cores and out.count() == 400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
