@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
 import numpy as np
 
@@ -46,12 +46,13 @@ def stationarity(theta: np.ndarray, grad: np.ndarray, l1: np.ndarray) -> float:
     return float(np.where(theta == 0, at_zero, np.abs(grad + l1 * np.sign(theta))).max(initial=0.0))
 
 
-def minimise(
-    evaluate: Callable[[np.ndarray], Smooth], theta: np.ndarray, l1: np.ndarray, max_iter: int,
-    tol: float, longest: float,
-) -> tuple[np.ndarray, Smooth, int]:
+#: Asks for the smooth part at a point; ends with (point, smooth part there, evaluations).
+Steps = Generator[np.ndarray, Smooth, tuple[np.ndarray, Smooth, int]]
+
+
+def newton_steps(theta: np.ndarray, l1: np.ndarray, max_iter: int, tol: float, longest: float) -> Steps:
     """Proximal Newton with backtracking; steps are at most ``longest`` in any coordinate."""
-    got, used = evaluate(theta), 1
+    got, used = (yield theta), 1
     for _ in range(max_iter):
         value, grad, hess = got
         if stationarity(theta, grad, l1) < tol:
@@ -62,7 +63,7 @@ def minimise(
         fall = float(grad @ step) + float(l1 @ np.abs(theta + step)) - before
         for _ in range(25):
             trial = theta + size * step
-            new = evaluate(trial)
+            new = yield trial
             used += 1
             if np.isfinite(new[0]) and new[0] + float(l1 @ np.abs(trial)) <= value + before + 1e-4 * size * fall + 1e-15:
                 break
@@ -71,3 +72,26 @@ def minimise(
             break
         theta, got = trial, new
     return theta, got, used
+
+
+def minimise_together(
+    evaluate: Callable[[dict[int, np.ndarray]], dict[int, Smooth]], runs: dict[int, Steps]
+) -> dict[int, tuple[np.ndarray, Smooth, int]]:
+    """Several minimisations side by side: ``evaluate`` takes the points of all that still run."""
+    found, asked = {}, {k: next(run) for k, run in runs.items()}
+    while asked:
+        got, asked = evaluate(asked), {}
+        for k, smooth in got.items():
+            try:
+                asked[k] = runs[k].send(smooth)
+            except StopIteration as end:
+                found[k] = end.value
+    return found
+
+
+def minimise(
+    evaluate: Callable[[np.ndarray], Smooth], theta: np.ndarray, l1: np.ndarray, max_iter: int,
+    tol: float, longest: float,
+) -> tuple[np.ndarray, Smooth, int]:
+    steps = newton_steps(theta, l1, max_iter, tol, longest)
+    return minimise_together(lambda asked: {0: evaluate(asked[0])}, {0: steps})[0]
