@@ -20,6 +20,7 @@ from durata.constants import EVENT, HORIZONS, ID, PROB_COLS, TIME
 from durata.functions.columns import enforce_monotonicity
 from durata.functions.labels import horizon_label, scored_at
 from durata.models.base import FIT_THREADS
+from durata.models.trees import pass_partitions
 from durata.operators.ensemble import members_wide
 
 
@@ -89,6 +90,7 @@ class MetaLearner:
         n, *spans = wide.select(*[horizon_label(h).alias(f"y{h}") for h in HORIZONS]).selectExpr(
             "count(*)", *[f"array(min(y{h}), max(y{h}))" for h in HORIZONS]
         ).first()
+        parts = pass_partitions(wide)
 
         def one(i: int) -> Any:
             lo, hi = spans[i]
@@ -99,7 +101,8 @@ class MetaLearner:
                 featuresCol="__m", regParam=1.0 / (self.c * max(n, 1)), elasticNetParam=0.0,
                 standardization=False, maxIter=1000,
             )
-            return est.fit(self._vector(wide, PROB_COLS[i]).select("__m", label))
+            # every step of the fit is a pass over these rows
+            return est.fit(self._vector(wide, PROB_COLS[i]).select("__m", label).coalesce(parts))
 
         with ThreadPoolExecutor(FIT_THREADS) as pool:
             self.models = list(pool.map(one, range(len(HORIZONS))))
