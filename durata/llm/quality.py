@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from durata.llm.common import anonymous, checkpoint, small, texts_map
+from durata.llm.common import anonymous, checkpoint, slices, small, texts_map
 from durata.llm.toxicity import training_rows
 
 SAMPLE = 6000
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     rows = training_rows(docs, labels, id_col, text, label, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [shape(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(made, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"]
@@ -220,7 +220,7 @@ def with_quality(
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(place).cast(pa.binary()).to_pylist()
             x = np.array([shape(t or b"") for t in texts], float).reshape(-1, N_SHAPE)
             e = np.round(held.value.logits(x), 9)
