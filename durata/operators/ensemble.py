@@ -20,11 +20,8 @@ from durata.constants import (
 )
 from durata.functions.columns import enforce_monotonicity
 from durata.functions.labels import horizon_label, scored_at
-from durata.operators.concordance import concordance
-from durata.operators.metrics import core_scores, hybrid_score
-
-#: Candidates whose risks are ranked in one job: rows are repeated that often at most.
-BATCH = 16
+from durata.operators.concordance import concordances
+from durata.operators.metrics import core_scores, weighted_brier
 
 
 def normalized_weights(weights: dict[str, float]) -> dict[str, float]:
@@ -47,7 +44,9 @@ def members_wide(predictions: DataFrame, models: list[str], keep: list[str] | No
         for c in PROB_COLS
     ]
     first = [F.expr(f"any_value(`{c}`) as `{c}`") for c in keep]
-    return predictions.groupBy(ID).agg(*first, *aggs, F.count("*").alias("__members"))
+    # an id has a row a member: partial aggregates would be as many, each with every member's columns
+    rows = predictions.select(*dict.fromkeys([ID, "model", *keep, *PROB_COLS])).repartition(ID)
+    return rows.groupBy(ID).agg(*first, *aggs, F.count("*").alias("__members"))
 
 
 def check_members(predictions: DataFrame, models: list[str]) -> None:
@@ -95,7 +94,9 @@ def score_candidates(
     wide: DataFrame, models: list[str], candidates: list[tuple[float, ...]], objective: str
 ) -> list[float]:
     """Objective of every candidate (higher is better), all scored in the same jobs."""
-    structs = []
+    if objective not in ("hybrid", "brier"):
+        raise ValueError(f"Unknown objective: {objective}")
+    structs, risks = [], []
     for j, weights in enumerate(candidates):
         texts = combine_columns(models, list(weights), "")
         fields = [f"'candidate',{j}"]
@@ -105,15 +106,25 @@ def score_candidates(
             top = running[0] if len(running) == 1 else f"greatest({', '.join(running)})"
             fields.append(f"'{c}',least(greatest({top}, 0D), 1D)")
         structs.append(f"named_struct({', '.join(fields)})")
+        risks.append(f"least(greatest({top}, 0D), 1D)")
+    # a mean per candidate: only the tasks' sums are shuffled
     tall = wide.selectExpr(TIME, EVENT, f"inline(array({', '.join(structs)}))")
-    if objective == "hybrid":
-        scores = hybrid_score(tall, ["candidate"]).select("candidate", "hybrid_score")
-    elif objective == "brier":
-        scores = core_scores(tall, ["candidate"]).select("candidate", (-F.col("brier_mean")))
+    if objective == "brier":
+        scores = core_scores(tall, ["candidate"]).select("candidate", "brier_mean")
     else:
-        raise ValueError(f"Unknown objective: {objective}")
-    got = {r[0]: r[1] for r in scores.collect()}
-    return [got.get(j) if got.get(j) is not None else -np.inf for j in range(len(candidates))]
+        scores = weighted_brier(tall, ["candidate"]).select("candidate", "weighted_brier")
+    error = {r[0]: r[1] for r in scores.collect()}
+    if objective == "brier":
+        return [-error[j] if error.get(j) is not None else -np.inf for j in range(len(candidates))]
+    return _hybrids(wide, risks, [error.get(j) for j in range(len(candidates))])
+
+
+def _hybrids(wide: DataFrame, risks: list[str], error: list[float | None]) -> list[float]:
+    """Hybrid scores from the candidates' risks (SQL texts over ``wide``) and errors."""
+    return [
+        HYBRID_C_WEIGHT * c + HYBRID_BRIER_WEIGHT * (1 - e) if c is not None and e is not None else -np.inf
+        for c, e in zip(concordances(wide, risks), error, strict=True)
+    ]
 
 
 def error_moments(wide: DataFrame, n: int, known_only: bool) -> dict[int, np.ndarray] | None:
@@ -154,18 +165,8 @@ def score_by_moments(
     if objective == "brier":
         return list(-sum(brier.values()) / len(brier))
     error = sum(BRIER_WEIGHTS[h] * b for h, b in brier.items())
-    ranks: dict[int, float] = {}
-    for start in range(0, len(candidates), BATCH):
-        risks = []
-        for j, weights in enumerate(candidates[start : start + BATCH], start):
-            terms = " + ".join(f"{x!r}D * `prob_72h__{i}`" for i, x in enumerate(weights))
-            risks.append(f"named_struct('candidate', {j}, 'prob_72h', least(greatest({terms}, 0D), 1D))")
-        tall = wide.selectExpr(TIME, EVENT, f"inline(array({', '.join(risks)}))")
-        ranks |= {r["candidate"]: r["c_index"] for r in concordance(tall, ["candidate"]).collect()}
-    return [
-        HYBRID_C_WEIGHT * ranks[j] + HYBRID_BRIER_WEIGHT * (1 - error[j]) if ranks.get(j) is not None else -np.inf
-        for j in range(len(candidates))
-    ]
+    terms = [" + ".join(f"{x!r}D * `prob_72h__{i}`" for i, x in enumerate(weights)) for weights in candidates]
+    return _hybrids(wide, [f"least(greatest({x}, 0D), 1D)" for x in terms], list(error))
 
 
 def optimize_weights(
@@ -188,7 +189,7 @@ def optimize_weights(
         return {models[0]: 1.0}
     if objective not in ("hybrid", "brier"):
         raise ValueError(f"Unknown objective: {objective}")
-    wide = members_wide(predictions, models, [TIME, EVENT]).persist()
+    wide = members_wide(predictions, models, [TIME, EVENT]).drop(ID, "__members").persist()
     moments = error_moments(wide, len(models), objective == "hybrid")
     equal = tuple(1.0 / len(models) for _ in models)
     candidates = [equal, *simplex_grid(len(models), grid_steps)]
