@@ -80,7 +80,8 @@ def node_rows(path: str, model: HorizonModel) -> Iterator[tuple]:
         for t, tree in enumerate(trees):
             for n, f in enumerate(tree.feature):
                 value = np.atleast_1d(np.asarray(tree.value[n], dtype=float)).tolist()
-                yield path, s, t, n, f, tree.cut[n], tree.left[n], tree.right[n], tree.depth[n], value
+                fields = (f, tree.cut[n], tree.left[n], tree.right[n], tree.depth[n])
+                yield path, s, t, n, *map(int, fields), value
 
 
 def read_trees(nodes: DataFrame) -> dict[str, dict[int, list[Tree]]]:
