@@ -83,10 +83,18 @@ class MetaLearner:
         return VectorAssembler(inputCols=parts, outputCol="__m", handleInvalid="keep").transform(wide)
 
     def fit(self, predictions: DataFrame, members: list[str]) -> MetaLearner:
+        if not members:
+            raise ValueError("no members given")
+        wide = members_wide(predictions, members, [TIME, EVENT]).persist()
+        self.fit_wide(wide, members)
+        wide.unpersist()
+        return self
+
+    def fit_wide(self, wide: DataFrame, members: list[str]) -> MetaLearner:
+        """As ``fit``, from stored rows of ``members_wide`` with the targets."""
         if not members:
             raise ValueError("no members given")
         self.members = list(members)
-        wide = members_wide(predictions, self.members, [TIME, EVENT]).persist()
         n, *spans = wide.select(*[horizon_label(h).alias(f"y{h}") for h in HORIZONS]).selectExpr(
             "count(*)", *[f"array(min(y{h}), max(y{h}))" for h in HORIZONS]
         ).first()
@@ -106,14 +114,17 @@ class MetaLearner:
 
         with ThreadPoolExecutor(FIT_THREADS) as pool:
             self.models = list(pool.map(one, range(len(HORIZONS))))
-        wide.unpersist()
         return self
 
     def predict(self, predictions: DataFrame) -> DataFrame:
         have = {r[0] for r in predictions.select("model").distinct().collect()}
         if have != set(self.members):
             raise ValueError(f"expected {len(self.members)} models, got {len(have)}")
-        out = members_wide(predictions, self.members)
+        return self.combine(members_wide(predictions, self.members)).select(ID, *PROB_COLS)
+
+    def combine(self, wide: DataFrame) -> DataFrame:
+        """The rows of ``members_wide`` with the combined probabilities, row by row."""
+        out, kept = wide, [c for c in wide.columns if c not in PROB_COLS]
         for h, m in zip(HORIZONS, self.models, strict=True):
             col = f"prob_{h}h"
             if isinstance(m, float):
@@ -127,7 +138,7 @@ class MetaLearner:
             out = m.transform(self._vector(out, col)).withColumn(
                 col, F.coalesce(F.nanvl(p, F.lit(None)), F.lit(0.0))
             ).drop("__m")
-        return enforce_monotonicity(out.select(ID, *PROB_COLS))
+        return enforce_monotonicity(out.select(*kept, *PROB_COLS))
 
 
 @dataclass

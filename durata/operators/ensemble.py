@@ -21,7 +21,7 @@ from durata.constants import (
 from durata.functions.columns import enforce_monotonicity
 from durata.functions.labels import horizon_label, scored_at
 from durata.operators.concordance import concordances
-from durata.operators.metrics import core_scores, weighted_brier
+from durata.operators.metrics import brier_censor_aware, core_scores, weighted_brier
 
 
 def normalized_weights(weights: dict[str, float]) -> dict[str, float]:
@@ -72,6 +72,14 @@ def weighted_average(
     return enforce_monotonicity(sums)
 
 
+def average_of(wide: DataFrame, models: list[str], weights: dict[str, float]) -> DataFrame:
+    """``weighted_average`` row by row: the rows of ``members_wide`` with the combined probabilities."""
+    w = normalized_weights(weights)
+    texts = combine_columns(models, [w.get(m, 0.0) for m in models], "")
+    kept = [c for c in wide.columns if c not in PROB_COLS]
+    return enforce_monotonicity(wide.selectExpr(*[f"`{c}`" for c in kept], *[f"{x} as `{c}`" for c, x in texts.items()]))
+
+
 def combine_columns(models: list[str], weights: list[float], out: str) -> dict[str, str]:
     """SQL text of one weighted combination over the wide member columns."""
     return {
@@ -169,6 +177,22 @@ def score_by_moments(
     return _hybrids(wide, [f"least(greatest({x}, 0D), 1D)" for x in terms], list(error))
 
 
+def hybrid_of_columns(df: DataFrame, sets: dict[str, list[str]]) -> list[tuple[str, float | None, float | None, float | None]]:
+    """(name, hybrid_score, weighted_brier, c_index) of prediction sets that lie side by side in
+    the columns of ``df`` (a column per horizon); rows are not repeated per set. Persist ``df``."""
+    at = {h: i for i, h in enumerate(HORIZONS)}
+    aggs = [brier_censor_aware(h, cols[at[h]]) for cols in sets.values() for h in BRIER_WEIGHTS]
+    row, n = df.agg(*aggs).first(), len(BRIER_WEIGHTS)
+    ranks = concordances(df, [f"`{cols[at[max(HORIZONS)]]}`" for cols in sets.values()])
+    out = []
+    for i, (name, c) in enumerate(zip(sets, ranks, strict=True)):
+        parts = row[i * n : (i + 1) * n]
+        brier = None if None in parts else sum(w * x for w, x in zip(BRIER_WEIGHTS.values(), parts, strict=True))
+        known = c is not None and brier is not None
+        out.append((name, HYBRID_C_WEIGHT * c + HYBRID_BRIER_WEIGHT * (1.0 - brier) if known else None, brier, c))
+    return out
+
+
 def optimize_weights(
     predictions: DataFrame,
     models: list[str],
@@ -190,6 +214,17 @@ def optimize_weights(
     if objective not in ("hybrid", "brier"):
         raise ValueError(f"Unknown objective: {objective}")
     wide = members_wide(predictions, models, [TIME, EVENT]).drop(ID, "__members").persist()
+    out = best_weights(wide, models, objective, rounds, grid_steps)
+    wide.unpersist()
+    return out
+
+
+def best_weights(
+    wide: DataFrame, models: list[str], objective: str = "hybrid", rounds: int = 3, grid_steps: int = 4
+) -> dict[str, float]:
+    """As ``optimize_weights``, from stored rows of ``members_wide`` with the targets."""
+    if len(models) == 1:
+        return {models[0]: 1.0}
     moments = error_moments(wide, len(models), objective == "hybrid")
     equal = tuple(1.0 / len(models) for _ in models)
     candidates = [equal, *simplex_grid(len(models), grid_steps)]
@@ -215,5 +250,4 @@ def optimize_weights(
                 moved.add(tuple(w))
         candidates = sorted(moved)
         step /= 2
-    wide.unpersist()
     return normalized_weights(dict(zip(models, best, strict=True)))

@@ -17,14 +17,13 @@ from durata.models.base import default_features
 from durata.models.importance import compare_top_n, permutation_importance, recursive_elimination
 from durata.models.stacking import IsotonicCalibrator, MetaLearner
 from durata.models.validation import (
-    KEY_METRICS,
     cross_validate,
     holdout_predictions,
     oof_predictions,
     refit_and_predict,
 )
-from durata.operators.ensemble import optimize_weights, weighted_average
-from durata.operators.metrics import all_metrics, hybrid_score
+from durata.operators.ensemble import average_of, best_weights, hybrid_of_columns, members_wide, weighted_average
+from durata.operators.metrics import all_metrics
 from durata.operators.quality import validate_dataset, validate_submission
 from durata.session import cut_lineage
 from durata.sources.tables import (
@@ -173,8 +172,8 @@ def run_ensemble(
 ) -> tuple[DataFrame, DataFrame]:
     """Members, three ensembles, best pick by out-of-fold hybrid score, guarded calibration.
 
-    Returns (test predictions of the winner, comparison table). Member predictions stay
-    in long tables, so every comparison is one keyed job over all candidates.
+    Returns (test predictions of the winner, comparison table). Out-of-fold predictions lie side by
+    side in one row an id, where members and ensembles are combined and compared without a shuffle more.
     """
     features = default_features(train, features)
     names = list(factories)
@@ -200,31 +199,34 @@ def run_ensemble(
             for n, f in factories.items()
         ]
     )
-    targets = train.select(*truth)
-    weights = optimize_weights(oof, names)
-    stack = MetaLearner().fit(oof, names)
+    # one row an id: weights, meta-learners and the three ensembles work on it row by row
+    wide = cut_lineage(members_wide(oof, names, [TIME, EVENT]).drop("__members"))
+    weights = best_weights(wide, names)
+    stack = MetaLearner().fit_wide(wide, names)
     blend = MetaLearner().fit(holdout, names)
     combine = {
         "weighted_average": lambda p: weighted_average(p, weights),
         "stacking": stack.predict,
         "blending": blend.predict,
     }
-    combined = [
-        tagged(fn(oof).join(targets, ID), n).select(*cols) for n, fn in combine.items()
-    ]
-    candidates = collected([oof, *combined])
-    scores = hybrid_score(candidates, ["model"])
-    comparison = [tuple(r) for r in scores.select("model", *KEY_METRICS).collect()]
+    scored, sets = wide, {n: [f"{c}__{i}" for c in PROB_COLS] for i, n in enumerate(names)}
+    for n, fn in {
+        "weighted_average": lambda w: average_of(w, names, weights), "stacking": stack.combine, "blending": blend.combine,
+    }.items():
+        sets[n] = [f"{c}__{n}" for c in PROB_COLS]
+        scored = fn(scored).withColumnsRenamed(dict(zip(PROB_COLS, sets[n], strict=True)))
+    scored = cut_lineage(scored)
+    comparison = hybrid_of_columns(scored, sets)
     best, best_hybrid = max(((r[0], r[1]) for r in comparison if r[1] is not None), key=lambda t: (t[1], t[0]))
     final = combine[best](test_preds) if best in combine else (
         test_preds.filter(F.col("model") == best).select(ID, *PROB_COLS)
     )
     if calibrate:
-        best_oof = candidates.filter(F.col("model") == best)
+        best_oof = scored.selectExpr(*truth, *[f"`{x}` as `{c}`" for c, x in zip(PROB_COLS, sets[best], strict=True)])
         calibrator = IsotonicCalibrator().fit(best_oof)
-        after = hybrid_score(cut_lineage(calibrator.transform(best_oof))).first()
-        comparison.append((f"{best}_calibrated", *[after[m] for m in KEY_METRICS]))
-        if after["hybrid_score"] >= best_hybrid:
+        after = cut_lineage(calibrator.transform(best_oof))
+        comparison += hybrid_of_columns(after, {f"{best}_calibrated": PROB_COLS})
+        if comparison[-1][1] >= best_hybrid:
             final = calibrator.transform(final)
     final = enforce_monotonicity(final)
     table = train.sparkSession.createDataFrame(
